@@ -1,10 +1,12 @@
 """Operators for preparing training corpora. Nothing else in the library imports this subpackage."""
 
-from quillscan.llm import exact_dedup, mixing
+from quillscan.llm import exact_dedup, mixing, packing, token_blocks
 
 QUERIES = {
+    "op1_token_blocks": token_blocks.query,
     "op5_mix_sources": mixing.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_pack_sequences": packing.query,
 }
 
 ORACLE_SQL = {
