@@ -1,12 +1,13 @@
 """Operators for preparing training corpora. Nothing else in the library imports this subpackage."""
 
-from quillscan.llm import exact_dedup, fingerprints, language_id, mixing, packing, token_blocks, toxicity
+from quillscan.llm import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, token_blocks, toxicity
 
 QUERIES = {
     "op1_token_blocks": token_blocks.query,
     "op2_fingerprints": fingerprints.query,
     "op4_toxicity": toxicity.query,
     "op5_mix_sources": mixing.query,
+    "op7_near_dedup": near_dedup.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_pack_sequences": packing.query,
     "op10_language": language_id.query,
