@@ -1,18 +1,20 @@
 """Byte-level BPE ids through the tokenizers library, with whole words remembered.
 
-The vocabulary's splitter never lets a token span a single space between two other characters, so a
-text is the concatenation of its space-led words and each distinct word needs encoding only once.
-Texts where that does not hold (runs of white space, or white space at an end) are encoded whole.
+The vocabulary's splitter never lets a token span a single space or line end between two other
+characters, so a text is the concatenation of its words, each with the space or line end before it,
+and each distinct word needs encoding only once. Texts where that does not hold (runs of white space, or white space at an end) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import compress
+from operator import not_
 
 import numpy as np
 
 END_ID = 2
-REMEMBER, TOGETHER = 600_000, 50
+REMEMBER, TOGETHER = 1_200_000, 50
 
 
 class Encoder:
@@ -24,56 +26,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        leading = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]
-        size = self.tokenizer.get_vocab_size()
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(leading) for i in range(size)])
-        self.words: dict[str, bytes | None] = {}
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        mark = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c + "a")[0][0][0]
+        self.opens, self.breaks = (np.array([t.startswith(mark(c)) for t in tokens]) for c in " \n")
+        self.words: dict[str, bytes | bool] = {}
         self.marks = {m: self.whole(m) for m in ".,;:"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        good, tails, known = [], [], self.words
+        known, tails, spaced, lines = self.words, [], [], []
         for word in new:
-            if not word or word[0].isspace() or word[-1].isspace():
-                known[word] = None
-            elif word[-1] in ".,;:" and word[:-1].isalpha():  # a mark after letters is split off by itself
+            own = word[1:] if word[:1] == "\n" else word
+            if not own or own[0].isspace() or own[-1].isspace():
+                known[word] = False
+            elif own[-1] in ".,;:" and own[:-1].isalpha():  # a mark after letters is split off by itself
                 tails.append(word)
             else:
-                good.append(word)
-        good += {w[:-1] for w in tails}.difference(known, good)
-        groups = [good[i : i + TOGETHER] for i in range(0, len(good), TOGETHER)]
+                (spaced if own is word else lines).append(word)
+        bare = {w[:-1] for w in tails}.difference(known, spaced, lines)
+        self._code(spaced + [w for w in bare if w[0] != "\n"], " ", self.opens)
+        self._code(lines + [w for w in bare if w[0] == "\n"], "", self.breaks)
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in tails)
+
+    def _code(self, words: list[str], lead: str, opens: np.ndarray) -> None:
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for i in range(0, len(groups), 100):
             some = groups[i : i + 100]
-            for part, coded in zip(some, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in some], add_special_tokens=False)):
+            for part, coded in zip(some, self.tokenizer.encode_batch_fast([lead + lead.join(p) for p in some], add_special_tokens=False)):
                 ids = np.array(coded.ids, "<u4")
-                at = np.flatnonzero(self.opens[ids])
+                at = np.flatnonzero(opens[ids])
                 if len(at) != len(part):
-                    known.update((word, self.whole(" " + word)) for word in part)
+                    self.words.update((word, self.whole(lead + word)) for word in part)
                     continue
                 data, ends = ids.tobytes(), (4 * np.append(at[1:], len(ids))).tolist()
-                known.update(zip(part, [data[a:b] for a, b in zip((4 * at).tolist(), ends)]))
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in tails)
+                self.words.update(zip(part, [data[a:b] for a, b in zip((4 * at).tolist(), ends)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
         if len(self.words) > REMEMBER:
             self.words.clear()
-        new = set().union(*(s[1:] for s in split)).difference(self.words)
-        self._learn(new)
-        out, get = [], self.words.__getitem__
-        for text, parts in zip(texts, split):
+        get, rows, new = self.words.get, [], set()
+        for text in texts:
+            parts = text.replace("\n", " \n").split(" ")
+            head, parts = parts[0], parts[1:]
+            coded = list(map(get, parts))
+            if all(coded):
+                rows.append((head, coded, (), ()))
+            else:
+                holes = list(compress(range(len(coded)), map(not_, coded)))
+                rows.append((head, coded, holes, (gaps := [parts[i] for i in holes])))
+                new.update(gaps)
+        self._learn(new.difference(self.words))
+        out = []
+        for text, (head, coded, holes, gaps) in zip(texts, rows):
             if not text:
                 out.append(b"")
                 continue
-            if not parts[0] or parts[0][-1].isspace():
-                out.append(self.whole(text))
-                continue
-            try:
-                out.append(b"".join([self.whole(parts[0]), *map(get, parts[1:])]))
-            except TypeError:
+            for i, word in zip(holes, gaps):
+                coded[i] = get(word)
+            if not head or head[-1].isspace() or not all(coded):
                 out.append(self.whole(text))
+            else:
+                out.append(self.whole(head) + b"".join(coded))
         return out
 
 

@@ -46,7 +46,7 @@ def pack(doc_ids: list, lengths: list[int], ids: np.ndarray, block: int = BLOCK,
     low = grid.min(axis=1) if nb else np.zeros(0, np.uint32)
     diff = grid - low[:, None]
     at = min(block - 1, int(percentile * block))
-    width = _width(np.sort(diff, axis=1)[:, at]) if nb else np.zeros(0, np.int64)
+    width = _width(np.partition(diff, at, axis=1)[:, at]) if nb else np.zeros(0, np.int64)
     high = diff >> np.minimum(width, 31).astype(np.uint32)[:, None]
     high[width == 32] = 0
     row, col = np.nonzero(high)
