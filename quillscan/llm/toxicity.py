@@ -22,7 +22,7 @@ from quillscan.llm._bytes import ALNUM, flat, mix, pieces, prefix, span, words
 from quillscan.llm._store import crc_part, documents
 
 #: Bound of the training sample: documents of either label, drawn among those of at most so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 2500, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 1200, 10_000
 LEXICON, MIN_DOCS, STEPS, MOST_EVIDENCE = 2000, 3, 300, 20.0
 #: Lengths in bytes of the prefixes that are features beside the whole word.
 PREFIXES = (4, 5, 6)
@@ -214,20 +214,23 @@ def fit_chain(texts: list[str], labels: np.ndarray) -> dict | None:
     return model | {"slope": float(a), "shift": float(c)}
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> dict | None:
-    """Model from a bounded, hash-drawn sample of rows with a label of 0 or 1: about ``sample_docs`` of each.
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> dict | None:
+    """Model from a bounded, hash-drawn sample of documents with a label of 0 or 1: about ``sample_docs`` of each.
 
-    Rows without a label or text are not used, nor are texts of over ``SAMPLE_CHARS`` characters, so the driver
-    sees a bounded number of characters.
+    Sampling reads the labels alone; the drawn ids, at most about twice ``sample_docs`` of them, are broadcast to
+    the documents, whose text is not shuffled. Rows without a label or text are not used, nor are texts of over
+    ``SAMPLE_CHARS`` characters, so the driver sees a bounded number of characters.
     """
     label, text = F.col(f"`{label_col}`").cast("int"), F.col(f"`{text_col}`")
-    rows = labelled.where(label.isin(0, 1) & (F.length(text) <= SAMPLE_CHARS))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    rows = labels.select(F.col(f"`{id_col}`").alias("labelled"), label.alias("label")).where(F.col("label").isin(0, 1))
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("toxic-sample")), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("labelled", F.lit("toxic-sample")), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1, sample_docs / n) * (1 << 30)))])
-    got = sorted((r[0], r[1], r[2]) for r in rows.where(draw < F.element_at(share, label)).select(F.col(f"`{id_col}`").cast("string"), text, label).collect())
+    drawn = F.broadcast(rows.where(draw < F.element_at(share, F.col("label"))))
+    sample = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(drawn, F.col("id") == F.col("labelled"))
+    got = sorted((r[0], r[1], r[2]) for r in sample.select(F.col("id").cast("string"), "text", "label").collect())
     return fit_chain([g[1] for g in got], np.array([g[2] for g in got]))
 
 
@@ -258,18 +261,17 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int,probability:double>>")
 
 
-def _labelled(docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("labelled"), "toxic")
-    labels = labels.where(crc_part("labelled", 5) != 0)
-    return docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("labelled"))
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels to learn from: those of ids whose crc32 is no multiple of 5."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_part("doc_id", 5) != 0)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = score(docs, fit(_labelled(docs, sf_dir)))
+    out = score(docs, fit(docs, _labels(spark, sf_dir)))
     return out.select("doc.doc_id", (crc_part("doc.doc_id", 5) == 0).alias("held_out"), "score", "predicted", "spans")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the columns are those of ``docs``."""
-    return score(docs, fit(_labelled(docs, sf_dir))).where("predicted = 0").select("doc.*")
+    return score(docs, fit(docs, _labels(spark, sf_dir))).where("predicted = 0").select("doc.*")
