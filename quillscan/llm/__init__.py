@@ -1,10 +1,11 @@
 """Operators for preparing training corpora. Nothing else in the library imports this subpackage."""
 
-from quillscan.llm import bloom_lm, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, token_blocks, toxicity
+from quillscan.llm import bloom_lm, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, substring_dedup, token_blocks, toxicity
 
 QUERIES = {
     "op1_token_blocks": token_blocks.query,
     "op2_fingerprints": fingerprints.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_toxicity": toxicity.query,
     "op5_mix_sources": mixing.query,
     "op6_bloom_lm": bloom_lm.query,
