@@ -31,13 +31,16 @@ def detected(tables: Tables, rules: Mapping[str, Any], only: tuple[str, ...] = (
 
 
 def analyze(tables: Tables, rules: Mapping[str, Any] | None = None, language: str = "auto", verify_links: bool = False, check=None) -> Analysis:
-    """Findings, category scores and summary of every book in ``tables``. Links are only checked where asked for."""
+    """Findings, category scores and summary of every book in ``tables``. Links are only checked where asked for.
+
+    The findings are kept, since scores, summaries and reports all read them.
+    """
     rules = load_rules() if rules is None else rules
     languages = post.resolve_language(tables, language)
     found = detected(tables, rules)
     if verify_links:
         found = found.unionByName(link_findings(tables, rules, check))
-    found = post.identified(post.deduplicated(post.localized(found, languages)))
+    found = post.identified(post.deduplicated(post.localized(found, languages))).persist()
     scores = scoring.category_scores(found, tables.books, rules)
     return Analysis(tables, found, scores, scoring.summaries(found, scores, languages, rules, verify_links))
 
