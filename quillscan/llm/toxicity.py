@@ -22,7 +22,7 @@ from quillscan.llm._bytes import ALNUM, flat, mix, pieces, prefix, span, words
 from quillscan.llm._store import crc_part, documents
 
 #: Bound of the training sample: documents of either label, drawn among those of at most so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 1200, 10_000
+SAMPLE_DOCS, SAMPLE_CHARS = 800, 10_000
 LEXICON, MIN_DOCS, STEPS, MOST_EVIDENCE = 2000, 3, 300, 20.0
 #: Lengths in bytes of the prefixes that are features beside the whole word.
 PREFIXES = (4, 5, 6)
