@@ -74,7 +74,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     edge = (
         joined(cells.withColumn("upto", F.sum("size").over(running)), quota)
-        .where("upto > quota")
+        .where("upto > quota and quota > 0")
         .groupBy("source")
         .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"), "quota")).alias("e"))
         .select(F.col("source").alias("s"), "e.*")

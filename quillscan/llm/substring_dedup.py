@@ -19,7 +19,6 @@ packed arrays, so no name's contexts have to meet in one task.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
