@@ -143,7 +143,11 @@ def fit_chain(texts: list[str], labels: np.ndarray) -> dict | None:
     bad = np.bincount(col, weights=(y * share)[row], minlength=len(every))
     good = np.bincount(col, weights=((1 - y) * share)[row], minlength=len(every))
     scale = share * np.where(y > 0, 0.5 / (y * share).sum(), 0.5 / ((1 - y) * share).sum())
-    leans = (bad >= MIN_DOCS) & (bad / (y * share).sum() >= 3 * (good + 0.5) / ((1 - y) * share).sum())
+    # a feature must lean to toxic documents by more than the best of so many features would by chance
+    total = np.array([(y * share).sum(), ((1 - y) * share).sum()])
+    expected = np.outer(total / total.sum(), bad + good)
+    strength = 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(e, 1e-9)), 0) for seen, e in zip((bad, good), expected))
+    leans = (bad >= MIN_DOCS) & (bad / total[0] >= 3 * (good + 0.5) / total[1]) & (strength >= 2 * np.log(len(every)))
     if not leans.any():
         return None
     place_of = np.where(leans, np.cumsum(leans) - 1, -1)
