@@ -7,14 +7,18 @@ and each distinct word needs encoding only once. Texts where that does not hold
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 from itertools import compress
 from operator import not_
 
 import numpy as np
 
 END_ID = 2
-REMEMBER, TOGETHER = 1_200_000, 50
+_TAIL = re.compile(r"(\n?[^\W\d_]+)([^\w\s']+)")
+#: Words remembered in each of two generations, and words coded in one call of the library.
+REMEMBER, TOGETHER = 250_000, 50
 
 
 class Encoder:
@@ -30,7 +34,8 @@ class Encoder:
         mark = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c + "a")[0][0][0]
         self.opens, self.breaks = (np.array([t.startswith(mark(c)) for t in tokens]) for c in " \n")
         self.words: dict[str, bytes | bool] = {}
-        self.marks = {m: self.whole(m) for m in ".,;:"}
+        self.old: dict[str, bytes | bool] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -38,17 +43,24 @@ class Encoder:
     def _learn(self, new: set[str]) -> None:
         known, tails, spaced, lines = self.words, [], [], []
         for word in new:
-            own = word[1:] if word[:1] == "\n" else word
-            if not own or own[0].isspace() or own[-1].isspace():
-                known[word] = False
-            elif own[-1] in ".,;:" and own[:-1].isalpha():  # a mark after letters is split off by itself
-                tails.append(word)
+            if word.isalpha():
+                spaced.append(word)
+            elif cut := _TAIL.fullmatch(word):  # marks after letters are split off by themselves
+                tails.append((word, *cut.groups()))
             else:
-                (spaced if own is word else lines).append(word)
-        bare = {w[:-1] for w in tails}.difference(known, spaced, lines)
+                own = word[1:] if word[:1] == "\n" else word
+                if not own or own[0].isspace() or own[-1].isspace():
+                    known[word] = False
+                else:
+                    (spaced if own is word else lines).append(word)
+        bare = {w for _, w, _ in tails}.difference(known, spaced, lines)
         self._code(spaced + [w for w in bare if w[0] != "\n"], " ", self.opens)
         self._code(lines + [w for w in bare if w[0] == "\n"], "", self.breaks)
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in tails)
+        if len(self.marks) > REMEMBER // 10:
+            self.marks.clear()
+        for marks in {m for _, _, m in tails}.difference(self.marks):
+            self.marks[marks] = self.whole(marks)
+        known.update([(w, known[a] + self.marks[b]) for w, a, b in tails])
 
     def _code(self, words: list[str], lead: str, opens: np.ndarray) -> None:
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
@@ -64,31 +76,39 @@ class Encoder:
                 self.words.update(zip(part, [data[a:b] for a, b in zip((4 * at).tolist(), ends)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBER:
-            self.words.clear()
+        """Ids of each text. Nothing here is cyclic, so the collector rests while many small objects are made."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > REMEMBER:  # what is still in use moves over from the old generation
+            self.old, self.words = self.words, {}
         get, rows, new = self.words.get, [], set()
         for text in texts:
-            parts = text.replace("\n", " \n").split(" ")
-            head, parts = parts[0], parts[1:]
+            parts = ("\n" + text.replace("\n", " \n")).split(" ")  # the first word is coded as if after a line end
             coded = list(map(get, parts))
             if all(coded):
-                rows.append((head, coded, (), ()))
+                rows.append((coded, (), ()))
             else:
                 holes = list(compress(range(len(coded)), map(not_, coded)))
-                rows.append((head, coded, holes, (gaps := [parts[i] for i in holes])))
+                rows.append((coded, holes, (gaps := [parts[i] for i in holes])))
                 new.update(gaps)
+        again = new & self.old.keys()
+        self.words.update(zip(again, map(self.old.__getitem__, again)))
         self._learn(new.difference(self.words))
         out = []
-        for text, (head, coded, holes, gaps) in zip(texts, rows):
-            if not text:
-                out.append(b"")
-                continue
+        for text, (coded, holes, gaps) in zip(texts, rows):
             for i, word in zip(holes, gaps):
                 coded[i] = get(word)
-            if not head or head[-1].isspace() or not all(coded):
-                out.append(self.whole(text))
+            if all(coded):
+                out.append(b"".join(coded)[4:])
             else:
-                out.append(self.whole(head) + b"".join(coded))
+                out.append(self.whole(text) if text else b"")
         return out
 
 

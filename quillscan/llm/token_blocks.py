@@ -49,7 +49,7 @@ def pack(doc_ids: list, lengths: list[int], ids: np.ndarray, block: int = BLOCK,
     width = _width(np.partition(diff, at, axis=1)[:, at]) if nb else np.zeros(0, np.int64)
     high = diff >> np.minimum(width, 31).astype(np.uint32)[:, None]
     high[width == 32] = 0
-    row, col = np.nonzero(high)
+    row, col = np.divmod(np.flatnonzero(high > 0), block)
     per_block = np.bincount(row, minlength=nb).astype(np.uint8 if block < 256 else np.uint16)
     words = block // 32 * width
     starts = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
