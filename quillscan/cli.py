@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from quillscan.plans import report
-from quillscan.plans.analyze import Analysis, analyze, compared, fails
+from quillscan.plans.analyze import Analysis, analyze, fails
 from quillscan.plans.rules import load_rules
 from quillscan.sources.files import parse_source
 

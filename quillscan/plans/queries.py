@@ -49,11 +49,14 @@ sents AS (
 """
 
 
-def seeded(spark: SparkSession, sf_dir: str, book: str = "source") -> Tables:
-    """Documents as text files of one book for each source, seeds included."""
+PLAIN_BASE = BASE.replace(SEED_SQL, "text")
+
+
+def seeded(spark: SparkSession, sf_dir: str, book: str = "source", seeds: bool = True) -> Tables:
+    """Documents as text files of one book for each source, with seeds or as they are."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = F.lpad(F.col("doc_id").cast("string"), 8, "0")
-    return from_texts(rows.select(F.col(book).cast("string").alias("book_id"), F.col("doc_id").alias("chapter_seq"), F.concat(name, F.lit(".txt")).alias("file"), name.alias("title"), F.expr(SEED_SQL).alias("text")))
+    return from_texts(rows.select(F.col(book).cast("string").alias("book_id"), F.col("doc_id").alias("chapter_seq"), F.concat(name, F.lit(".txt")).alias("file"), name.alias("title"), F.expr(SEED_SQL if seeds else "text").alias("text")))
 
 
 def query(name: str, sql: str | None = None, base: bool = True):
@@ -200,9 +203,9 @@ PAR_ELIGIBLE = _eligible("(SELECT *, 0 AS sent, row_number() OVER (PARTITION BY
 
 
 def _exact(label: str, base: str) -> None:
-    @query(f"exact_{label}", f", {base} SELECT book_id, 'exact_{label}' AS code, {PLACE}, 1.0::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY book_id, norm ORDER BY sent_seq) AS nth FROM forms) WHERE nth > 1")
+    @query(f"exact_{label}", f"WITH {PLAIN_BASE} , {base} SELECT book_id, 'exact_{label}' AS code, {PLACE}, 1.0::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY book_id, norm ORDER BY sent_seq) AS nth FROM forms) WHERE nth > 1", base=False)
     def _(spark, sf):
-        s, p = repetition.eligible(seeded(spark, sf), 5)
+        s, p = repetition.eligible(seeded(spark, sf, seeds=False), 5)
         return shown(repetition.exact(s if label == "sentence" else p, label))
 
 

@@ -88,7 +88,7 @@ def render_html(report: dict[str, Any]) -> str:
             counts[key(f)] = counts.get(key(f), 0) + 1
         data[name] = dict(sorted(counts.items()))
     payload = json.dumps(data, ensure_ascii=False, sort_keys=True, separators=(",", ":")).replace("</", "<\\/")
-    title = html.escape(report["book"]["title"] or "ebook-risk-report")
+    title = html.escape(report["book"]["title"] or "Review signals")
     script = (
         "const d=JSON.parse(document.getElementById('data').textContent),q=i=>document.getElementById(i);"
         "for(const [i,o] of [['category',d.category_counts],['severity',d.severity_counts]])for(const k in o)q(i).add(new Option(k+' ('+o[k]+')',k));"
