@@ -29,8 +29,8 @@ def values(paragraphs: DataFrame) -> DataFrame:
 
 def names(sentences: DataFrame) -> DataFrame:
     """Distinct full names of a book with their surname and the first sentence that has them."""
-    rows = sentences.select("book_id", "sent_seq", "file", "chapter", "par", "sent", "text", F.explode(matches(F.col("text"), NAME)).alias("name"))
-    firsts = rows.groupBy("book_id", "name").agg(F.min(F.struct("sent_seq", "file", "chapter", "par", "sent", "text")).alias("f"))
+    rows = sentences.select("book_id", "ord", "file", "chapter", "par", "sent", "text", F.explode(matches(F.col("text"), NAME)).alias("name"))
+    firsts = rows.groupBy("book_id", "name").agg(F.min(F.struct("ord", "file", "chapter", "par", "sent", "text")).alias("f"))
     return firsts.select("book_id", "name", casefold(F.element_at(F.split("name", " "), -1)).alias("surname"), "f.*")
 
 

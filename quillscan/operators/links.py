@@ -25,9 +25,9 @@ REDIRECTS, PORTS, RESPONSE_BYTES = 3, (80, 443), 64 * 1024
 def candidates(tables: Tables, max_links: int = 100) -> DataFrame:
     """The first ``max_links`` different URLs of each book in reading order, each at the first sentence that has it."""
     rows = tables.sentences.where(F.lower("text").contains("http")).select("*", F.posexplode(matches(F.col("text"), URL)).alias("nth", "url"))
-    place = F.struct("sent_seq", "nth", "file", "chapter", "par", "sent", "text")
+    place = F.struct("ord", "nth", "file", "chapter", "par", "sent", "text")
     firsts = rows.groupBy("book_id", "url").agg(F.min(place).alias("f")).select("book_id", "url", "f.*")
-    order = F.row_number().over(Window.partitionBy("book_id").orderBy("sent_seq", "nth"))
+    order = F.row_number().over(Window.partitionBy("book_id").orderBy("ord", "nth"))
     return firsts.withColumn("n", order).where(F.col("n") <= max_links)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillscan.functions.text import casefold, percent, words
 from quillscan.operators._findings import findings, setting, union
-from quillscan.tables import FINDINGS, Tables
+from quillscan.tables import FINDINGS, Tables, reading_order
 
 ACTION = "Compare the occurrences and retain, vary, or remove intentional repetition."
 
@@ -26,8 +26,8 @@ def _budget(rules, name: str, default: int) -> int:
 def eligible(tables: Tables, minimum: int) -> tuple[DataFrame, DataFrame]:
     """Sentences and paragraphs of enough tokens, with their tokens, normal form and reading order."""
     w = words(casefold(F.col("text")))
-    sentences = tables.sentences.select("book_id", "file", "chapter", "par", "sent", F.struct(F.col("sent_seq").alias("a"), F.lit(0).alias("b")).alias("ord"), "text", w.alias("w"))
-    paragraphs = tables.paragraphs.select("book_id", "file", "chapter", "par", F.lit(0).alias("sent"), F.struct(F.col("chapter_seq").alias("a"), F.col("par").alias("b")).alias("ord"), "text", w.alias("w"))
+    sentences = tables.sentences.select("book_id", "file", "chapter", "par", "sent", "ord", "text", w.alias("w"))
+    paragraphs = tables.paragraphs.select("book_id", "file", "chapter", "par", F.lit(0).alias("sent"), reading_order(F.lit(0)).alias("ord"), "text", w.alias("w"))
     return tuple(rows.where(F.size("w") >= minimum).withColumn("norm", F.array_join("w", " ")) for rows in (sentences, paragraphs))
 
 

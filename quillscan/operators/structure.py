@@ -21,7 +21,7 @@ ACTION = "Check the book structure and revise the source or navigation metadata
 def chapter_keys(tables: Tables) -> DataFrame:
     """Chapters with their first and last sentence, the keys of both, and the shape of their headings."""
     blank = F.trim(F.regexp_replace("text", f"[{SPACE}]+", " ")) == ""
-    place = F.struct("sent_seq", "par", "sent", "text")
+    place = F.struct("ord", "par", "sent", "text")
     ends = tables.sentences.where(~blank).groupBy("book_id", "chapter_seq").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     w = lambda c: words(casefold(F.col(c)))
     shape = F.transform("headings", lambda h: casefold(F.regexp_replace(h, r"\p{Nd}+", "#")))

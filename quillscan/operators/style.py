@@ -37,7 +37,7 @@ def detect(tables: Tables, rules=None) -> DataFrame:
     ], ACTION)
     chapters = rows.groupBy("book_id", "chapter_seq").agg(
         F.count(F.lit(1)).alias("sentences"), F.sum(((n > 0) & F.col("is_passive")).cast("long")).alias("passives"), F.sum("n_words").alias("words"), F.sum("nominals").alias("nominals"),
-        F.min(F.struct("sent_seq", "file", "chapter", "par", "sent", "text")).alias("f"),
+        F.min(F.struct("ord", "file", "chapter", "par", "sent", "text")).alias("f"),
     ).select("*", "f.*")
     ratio = F.col("passives") / F.col("sentences")
     share = F.when(F.col("words") > 0, F.col("nominals") / F.col("words"))

@@ -73,8 +73,9 @@ def resolve_language(tables: Tables, language: str = "auto") -> DataFrame:
         return books.withColumn("language", F.lit(language))
     declared = tables.metadata.where("key = 'language'").groupBy("book_id").agg(F.min(F.struct("pos", "value"))["value"].alias("declared"))
     code = F.regexp_replace(F.lower("declared"), "_", "-")
-    ends = F.sum(F.length("text") + 1).over(Window.partitionBy("book_id").orderBy("sent_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    head = tables.sentences.where("sent_seq <= 10001").select("book_id", "text", (ends - F.length("text") - 1).alias("before")).where("before < 10000")
+    reading = Window.partitionBy("book_id").orderBy("ord")
+    ends = F.sum(F.length("text") + 1).over(reading.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    head = tables.sentences.withColumn("n", F.row_number().over(reading)).where("n <= 10001").select("book_id", "text", (ends - F.length("text") - 1).alias("before")).where("before < 10000")
     hangul = F.substring("text", F.lit(1), (F.lit(10000) - F.col("before")).cast("int")).rlike("[가-힣]")
     korean = head.where(hangul).select("book_id").distinct().withColumn("hangul", F.lit(True))
     rows = books.join(declared, "book_id", "left").join(korean, "book_id", "left")

@@ -13,7 +13,7 @@ from quillscan.plans import post, scoring
 from quillscan.plans.analyze import compared, search
 from quillscan.plans.rules import load_rules
 from quillscan.sources.files import read_html, resource_references, spine_chapters
-from quillscan.tables import Tables, from_texts
+from quillscan.tables import Tables, from_texts, numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,7 +89,7 @@ def _(spark, sf):
 
 @query("sentences", "SELECT book_id, file, par::BIGINT AS par, sent::BIGINT AS sent, sent_seq::BIGINT AS sent_seq, text FROM sents")
 def _(spark, sf):
-    return seeded(spark, sf).sentences.select("book_id", "file", F.col("par").cast("long").alias("par"), F.col("sent").cast("long").alias("sent"), F.col("sent_seq").cast("long").alias("sent_seq"), "text")
+    return numbered(seeded(spark, sf).sentences).select("book_id", "file", F.col("par").cast("long").alias("par"), F.col("sent").cast("long").alias("sent"), F.col("sent_seq").cast("long").alias("sent_seq"), "text")
 
 
 @query("word_counts", "SELECT p.book_id, p.words, s.sentences FROM (SELECT book_id, sum(len(regexp_extract_all(text, '[^ ]+')))::BIGINT AS words FROM pars GROUP BY 1) p JOIN (SELECT book_id, count(*) AS sentences FROM sents GROUP BY 1) s USING (book_id)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillscan.functions.text import split_paragraphs, split_sentences
@@ -13,7 +13,7 @@ BOOKS = "book_id string, source_path string, sha256 string"
 METADATA = "book_id string, pos int, key string, value string"
 CHAPTERS = "book_id string, chapter_seq long, file string, title string, toc_title string, headings array<string>"
 PARAGRAPHS = "book_id string, chapter_seq long, file string, chapter string, par int, text string"
-SENTENCES = "book_id string, chapter_seq long, file string, chapter string, par int, sent int, sent_seq long, text string"
+SENTENCES = "book_id string, chapter_seq long, file string, chapter string, par int, sent int, ord struct<chapter_seq:bigint,par:int,sent:int>, text string"
 RESOURCES = "book_id string, res_seq int, path string, media_type string, size long, sha256 string, referenced boolean, alt_text string, width int, height int"
 FINDINGS = "book_id string, severity string, category string, code string, file string, chapter string, paragraph int, sentence int, excerpt string, reason string, review_action string, weight double"
 
@@ -38,22 +38,28 @@ class Tables:
             df.unpersist()
 
 
-def sentences_of(paragraphs: DataFrame) -> DataFrame:
-    """Sentences with their order in the book.
+def reading_order(sent: Column) -> Column:
+    """Sort key of a sentence within its book; made of the row alone, so that no detector needs a shuffle for it."""
+    return F.struct("chapter_seq", "par", sent.cast("int").alias("sent"))
 
-    The order is counted within chapters and shifted by the sentences of the chapters before, so that only one row for
-    each chapter is ever sorted together.
-    """
+
+def sentences_of(paragraphs: DataFrame) -> DataFrame:
+    """Sentences of paragraphs, with their place in the reading order. A map over rows."""
     rows = paragraphs.select("book_id", "chapter_seq", "file", "chapter", "par", F.posexplode(split_sentences(F.col("text"))).alias("sent", "text"))
-    return with_order(rows)
+    return rows.withColumn("ord", reading_order(F.col("sent")))
+
 
+def numbered(sentences: DataFrame) -> DataFrame:
+    """Sentences with ``sent_seq``, their number in the book from 1.
 
-def with_order(rows: DataFrame) -> DataFrame:
-    sizes = rows.groupBy("book_id", "chapter_seq").agg(F.count(F.lit(1)).alias("n"))
+    Numbers are counted within chapters and shifted by the sentences of the chapters before, so that only one row for
+    each chapter is ever sorted together.
+    """
+    sizes = sentences.groupBy("book_id", "chapter_seq").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("book_id").orderBy("chapter_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    place = F.row_number().over(Window.partitionBy("book_id", "chapter_seq").orderBy("par", "sent"))
+    place = F.row_number().over(Window.partitionBy("book_id", "chapter_seq").orderBy("ord"))
     offsets = sizes.select("book_id", "chapter_seq", before.alias("before"))
-    return rows.withColumn("place", place).join(offsets, ["book_id", "chapter_seq"]).select("book_id", "chapter_seq", "file", "chapter", "par", "sent", (F.col("before") + F.col("place")).alias("sent_seq"), "text")
+    return sentences.withColumn("place", place).join(offsets, ["book_id", "chapter_seq"]).withColumn("sent_seq", F.col("before") + F.col("place")).drop("before", "place")
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -74,7 +80,7 @@ def from_sentences(spark: SparkSession, chapters: list[tuple], metadata: dict[st
     chapter_rows = [(book_id, i, c[0], c[1], c[3] if len(c) > 3 else "", list(c[4]) if len(c) > 4 else []) for i, c in enumerate(chapters)]
     par_rows = [(book_id, i, c[0], c[1], p, t) for i, c in enumerate(chapters) for p, t in enumerate(c[2])]
     paragraphs = spark.createDataFrame(par_rows, PARAGRAPHS)
-    sentences = with_order(paragraphs.select("book_id", "chapter_seq", "file", "chapter", "par", F.lit(0).alias("sent"), "text"))
+    sentences = paragraphs.withColumn("sent", F.lit(0)).withColumn("ord", reading_order(F.col("sent")))
     return Tables(
         spark.createDataFrame([(book_id, source_path, "")], BOOKS),
         spark.createDataFrame([(book_id, i, k, v) for i, (k, v) in enumerate((metadata or {}).items())], METADATA),

@@ -51,7 +51,7 @@ def test_directory(spark, tmp_path):
     (book / "unused.png").write_bytes(b"u")
     t = parse_source(spark, book)
     assert [(r.file, r.title) for r in t.chapters.orderBy("chapter_seq").collect()] == [("nested/a b+.txt", "a b+"), ("z.html", "Head")]
-    assert [(r.par, r.sent) for r in t.sentences.where("chapter_seq = 0").orderBy("sent_seq").collect()] == [(0, 0), (1, 0), (1, 1)]
+    assert [(r.par, r.sent) for r in t.sentences.where("chapter_seq = 0").orderBy("ord").collect()] == [(0, 0), (1, 0), (1, 1)]
     assert {r.key: r.value for r in t.metadata.collect()} == {"title": "a b+", "language": "ko", "author": "A B"}
     assert [(r.path, r.referenced, r.alt_text) for r in t.resources.orderBy("path").collect()] == [("i.png", True, "x"), ("unused.png", False, None)]
     digest = hashlib.sha256()
