@@ -17,14 +17,16 @@ import numpy as np
 
 END_ID = 2
 _TAIL = re.compile(r"(\n?[^\W\d_]+)([^\w\s']+)")
-#: Words remembered in each of two generations, and words coded in one call of the library.
-REMEMBER, TOGETHER = 250_000, 50
+#: Words remembered in each of two generations (about 200 bytes a word), where other steps share the worker and
+#: where it has nothing else to hold; and words coded in one call of the library.
+REMEMBER, REMEMBER_ALONE, TOGETHER = 250_000, 600_000, 50
 
 
 class Encoder:
     """``encode(texts)`` gives for each text its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
+        self.remember = remember
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,7 +58,7 @@ class Encoder:
         bare = {w for _, w, _ in tails}.difference(known, spaced, lines)
         self._code(spaced + [w for w in bare if w[0] != "\n"], " ", self.opens)
         self._code(lines + [w for w in bare if w[0] == "\n"], "", self.breaks)
-        if len(self.marks) > REMEMBER // 10:
+        if len(self.marks) > self.remember // 10:
             self.marks.clear()
         for marks in {m for _, _, m in tails}.difference(self.marks):
             self.marks[marks] = self.whole(marks)
@@ -86,7 +88,7 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBER:  # what is still in use moves over from the old generation
+        if len(self.words) > self.remember:  # what is still in use moves over from the old generation
             self.old, self.words = self.words, {}
         get, rows, new = self.words.get, [], set()
         for text in texts:
@@ -112,14 +114,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remember: int = REMEMBER) -> Encoder:
+    """One encoder for each worker process, vocabulary file and number of words to remember."""
+    if (path, remember) not in _encoders:
+        _encoders[path, remember] = Encoder(path, remember)
+    return _encoders[path, remember]
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscan.llm._store import documents, written
-from quillscan.llm._tokens import END_ID, encoder, slices, vocabulary
+from quillscan.llm._tokens import END_ID, REMEMBER, REMEMBER_ALONE, encoder, slices, vocabulary
 
 CAPACITY, CHUNK, ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITES = 1024, 4096, 2, 2, 4, 6, 2
 
@@ -105,7 +105,7 @@ def evolve(sizes: np.ndarray, capacity: int, seeds: list[np.ndarray], rng: np.ra
     return people
 
 
-def token_table(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBER) -> DataFrame:
     """Per row of ``docs``: key (unique), doc_id, n_tokens, crcs (one for each piece). Written once."""
     path = tokenizer or vocabulary()
 
@@ -115,7 +115,7 @@ def token_table(docs: DataFrame, tokenizer: str | None = None, capacity: int = C
             names, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 counts, crcs = [], []
-                for ids in encoder(path).encode(texts[a:b]):
+                for ids in encoder(path, remember).encode(texts[a:b]):
                     ids += end
                     n = len(ids) // 4
                     cut = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), remember=REMEMBER_ALONE)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

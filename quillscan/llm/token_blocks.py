@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillscan.llm._store import documents, written
-from quillscan.llm._tokens import END_ID, encoder, slices, vocabulary
+from quillscan.llm._tokens import END_ID, REMEMBER, REMEMBER_ALONE, encoder, slices, vocabulary
 
 BLOCK, PERCENTILE, SEGMENT_TOKENS = 128, 0.9, 1_000_000
 _HEAD = struct.Struct("<4sIQQQI")
@@ -114,7 +114,7 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(doc_ids, null)], lengths, grid.reshape(-1)[:n]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS, id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBER) -> DataFrame:
     """Encode every text, append ``end_id``, and write segments in ascending id order; returns the segment table.
 
     Columns: part and seg (their order is the documents' order), n_docs, n_tokens, payload. Null text is an
@@ -137,7 +137,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                for doc, ids in zip(names[a:b], encoder(path).encode(texts[a:b])):
+                for doc, ids in zip(names[a:b], encoder(path, remember).encode(texts[a:b])):
                     doc_ids.append(doc)
                     sizes.append(len(ids) // 4 + 1)
                     data += [ids, end]
@@ -175,4 +175,4 @@ def read_tokens(segments: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_tokens(write_tokens(documents(spark, sf_dir)))
+    return read_tokens(write_tokens(documents(spark, sf_dir), remember=REMEMBER_ALONE))
