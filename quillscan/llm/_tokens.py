@@ -19,7 +19,7 @@ END_ID = 2
 _TAIL = re.compile(r"(\n?[^\W\d_]+)([^\w\s']+)")
 #: Words remembered in each of two generations (about 200 bytes a word), where other steps share the worker and
 #: where it has nothing else to hold; and words coded in one call of the library.
-REMEMBER, REMEMBER_ALONE, TOGETHER = 250_000, 600_000, 50
+REMEMBER, REMEMBER_ALONE, TOGETHER = 250_000, 700_000, 50
 
 
 class Encoder:

@@ -56,15 +56,14 @@ def pack(doc_ids: list, lengths: list[int], ids: np.ndarray, block: int = BLOCK,
     payload = np.zeros(starts[-1], "<u4")
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        lanes = (diff[rows].T.astype(np.uint64)) & np.uint64((1 << w) - 1)
-        out = np.zeros((block // 32 * w + 1, len(rows)), np.uint64)
+        lanes = np.ascontiguousarray(diff[rows].T) & np.uint32((1 << w) - 1)
+        out = np.zeros((block // 32 * w, len(rows)), np.uint32)
         for j in range(block):
             word, shift = divmod(j * w, 32)
-            x = lanes[j] << np.uint64(shift)
-            out[word] |= x & np.uint64(0xFFFFFFFF)
+            out[word] |= lanes[j] << np.uint32(shift)
             if shift + w > 32:
-                out[word + 1] |= x >> np.uint64(32)
-        payload[starts[rows][:, None] + np.arange(block // 32 * w)] = out[:-1].T
+                out[word + 1] |= lanes[j] >> np.uint32(32 - shift)
+        payload[starts[rows][:, None] + np.arange(block // 32 * w)] = out.T
     patches = high[row, col]
     wide = 4 if len(patches) and patches.max() > 0xFFFF else 2
     null = np.array([d is None for d in doc_ids], np.uint8)
@@ -98,15 +97,14 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     grid = np.zeros((nb, block), np.uint32)
     for w in np.unique(width[width > 0]).tolist():
         rows, used = np.flatnonzero(width == w), block // 32 * w
-        words = np.zeros((used + 1, len(rows)), np.uint64)
-        words[:-1] = payload[starts[rows][:, None] + np.arange(used)].T
+        words = np.ascontiguousarray(payload[starts[rows][:, None] + np.arange(used)].T)
         lanes = np.empty((block, len(rows)), np.uint32)
         for j in range(block):
             word, shift = divmod(j * w, 32)
-            x = words[word] >> np.uint64(shift)
+            x = words[word] >> np.uint32(shift)
             if shift + w > 32:
-                x |= words[word + 1] << np.uint64(32 - shift)
-            lanes[j] = x & np.uint64((1 << w) - 1)
+                x |= words[word + 1] << np.uint32(32 - shift)
+            lanes[j] = x & np.uint32((1 << w) - 1)
         grid[rows] = lanes.T
     row = np.repeat(np.arange(nb), per_block)
     grid[row, col] |= patches.astype(np.uint32) << width[row].astype(np.uint32)
