@@ -25,8 +25,8 @@ from quillscan.llm._graph import components
 from quillscan.llm._store import documents, written
 
 SHINGLE, THRESHOLD, REGISTERS, BAND_ROWS = 5, 0.8, 80, 4
-#: Rounds with a random centre; bands and block length of the comparison of what is left.
-ROUNDS, LAST_BANDS, BLOCK = 1, 10, 512
+#: Rounds with a random centre; bands (all) and block length of the comparison of what is left.
+ROUNDS, LAST_BANDS, BLOCK = 1, REGISTERS // BAND_ROWS, 512
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 

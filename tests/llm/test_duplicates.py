@@ -93,6 +93,28 @@ def test_near_classes(spark, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(classes_by_force(texts)))
 
 
+def far_pairs(pairs, others):
+    """Pairs at similarity 0.8 that share one or two buckets, all in the last ten bands, each among others that fill its buckets."""
+    rng, texts = random.Random(8), []
+    changed = lambda base, k: [f"x{rng.random()}" if i in k else w for i, w in enumerate(base)]
+    while len(texts) < pairs * (others + 2):
+        base = [[f"w{rng.random()}" for _ in range(50)] for _ in range(500)]
+        both = [(b, changed(b, {rng.randrange(8, 42)})) for b in base]
+        raw, offsets = near_dedup.flat(pa.array([" ".join(w) for pair in both for w in pair]))
+        row, s, _, _ = near_dedup.shingles(raw, offsets)
+        sign = near_dedup.signatures(*near_dedup.multiset(row, s), 1000).reshape(500, 2, 20, 4)
+        same = (sign[:, 0] == sign[:, 1]).all(axis=2)
+        for k in np.flatnonzero(same[:, 10:].any(axis=1) & (same.sum(axis=1) < 3) & ~same[:, :10].any(axis=1)).tolist()[: pairs - len(texts) // (others + 2)]:
+            texts += [" ".join(w) for w in both[k]] + [" ".join(changed(base[k], {0, rng.choice([15, 25, 35])})) for _ in range(others)]
+    return texts
+
+
+def test_near_classes_of_crowded_last_bands(spark):
+    texts = far_pairs(12, 24)
+    got = near_dedup.classes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(classes_by_force(texts)))
+
+
 def test_near_edges(odd, none):
     got = near_dedup.classes(odd).collect()
     assert len(got) == odd.count() and near_dedup.classes(none).count() == 0
