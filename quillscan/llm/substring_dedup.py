@@ -9,9 +9,9 @@ twice in one, go on, dealt by name into blocks.
 
 *Search.* In a block, contexts are cut into phrases where a hash of the ``CUT`` bytes before is a multiple of
 ``PHRASE``, so equal passages get equal phrases. A suffix array over the phrases, by linear grouping construction,
-brings suffixes with the same passage next to each other; runs of neighbours that share ``SHARED`` bytes are the
-candidates, and windows are compared within them exactly, by their hashes. Windows with too few phrase ends for that
-are compared directly.
+brings suffixes with the same passage together; runs of neighbours that share the whole phrases within ``SHARED`` bytes,
+those of equal phrases taken together, are the candidates, and windows are compared within them exactly, by their
+hashes. Windows with too few phrase ends for that, or no whole phrase there, are compared directly.
 
 *Hot names.* Of a name with more than ``HOT`` different contexts the windows are dealt by their own hash instead, in
 packed arrays, so no name's contexts have to meet in one task.
@@ -93,18 +93,23 @@ def repeats_in(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
         here, there = marked[array[:-1]], marked[array[1:]]
         fits = (here + SHARED <= offsets[owner[here] + 1]) & (there + SHARED <= offsets[owner[there] + 1])
         alike = np.zeros(len(here), bool)
-        # whole phrases within SHARED bytes; equal ones stand next to each other in the array
-        reach = np.searchsorted(marked, marked + SHARED, "right") - 1
+        # whole phrases within SHARED bytes, all of whose ends a window held here has before its last byte
+        reach = np.searchsorted(marked, marked + SHARED) - 1
         reach = marked[np.maximum(reach, np.arange(len(marked)))]
         of = np.empty(total + 1, np.int64)
         of[marked] = reach
         span_here, span_there = of[here] - here, of[there] - there
         same = fits & (span_here == span_there)
         alike[same] = span(sums, here[same], of[here[same]]) == span(sums, there[same], of[there[same]])
-        family[array] = np.cumsum(np.r_[True, ~alike]) - 1
+        # equal whole phrases may stand apart in the array, where longer phrases follow them: runs of one string are one family
+        run = np.cumsum(np.r_[True, ~alike]) - 1
+        head = marked[array[np.flatnonzero(np.r_[True, ~alike])]]
+        _, string = np.unique(span(sums, head, of[head]), return_inverse=True)
+        family[array] = string[run]
         count = np.bincount(family[:-1])
         lone = count[family[:-1]] < 2
         family[:-1][lone] = -2
+        family[:-1][reach == marked] = -1
     group = np.where(usable, family[k], -1)
     look = np.flatnonzero(group != -2)
     key = mix(hashes[look] ^ mix((group[look] + 2).astype(np.uint64)))

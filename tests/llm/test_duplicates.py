@@ -178,6 +178,34 @@ def test_repeated_passages(spark, hot):
     assert got == dict(enumerate(removed_by_force(texts, 400)))
 
 
+@pytest.mark.parametrize("filling", [".", "- ", "abc", "=-=-"])
+def test_repeated_passages_of_short_periods(spark, filling):
+    rng = random.Random(6)
+    prose = lambda n: "".join(rng.choice("abcdefg hij klm") for _ in range(n))
+    texts = []
+    for k in range(12):
+        heading = prose(rng.randint(20, 60))
+        for _ in range(rng.randint(2, 4)):
+            texts.append(prose(rng.randint(1, 300)) + heading + (filling * 500)[: rng.randint(400, 500)] + prose(rng.randint(1, 300)))
+    got = {r.doc_id: bytes(r.kept) for r in substring_dedup.removals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(removed_by_force(texts, 400)))
+
+
+def test_repeats_with_text_of_any_kind_after_them():
+    rng = random.Random(7)
+    prose = lambda n: "".join(rng.choice("abcdefg hij klm") for _ in range(n)).encode()
+    for _ in range(40):
+        shared = prose(rng.randint(20, 300))
+        shared += b"." * (400 + rng.randint(0, 40) - len(shared))
+        texts = [prose(rng.randint(0, 30)) + shared + prose(rng.randint(0, 300)) for _ in range(rng.randint(2, 6))]
+        seen = {}
+        for t in texts:
+            for i in range(len(t) - 399):
+                seen[t[i : i + 400]] = seen.get(t[i : i + 400], 0) + 1
+        for t, found in zip(texts, substring_dedup.repeats_in(texts)):
+            assert found.tolist() == [seen.get(t[i : i + 400], 0) > 1 for i in range(len(t) - 399)] + [False] * min(399, len(t))
+
+
 def test_repeated_passages_edges(odd, none):
     rows = odd.collect()
     got = sorted((r.doc_id is None, r.doc_id or 0, bytes(r.kept)) for r in substring_dedup.removals(odd).collect())
