@@ -2,7 +2,8 @@
 
 The vocabulary's splitter never lets a token span a single space or line end between two other
 characters, so a text is the concatenation of its words, each with the space or line end before it,
-and each distinct word needs encoding only once. Texts where that does not hold (runs of white space, or white space at an end) are encoded whole.
+and each distinct word needs encoding only once. Texts where that does not hold (runs of white space, white space at an
+end, or the content of an added token such as <|endoftext|>, which the library codes as that token) are encoded whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         mark = lambda c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c + "a")[0][0][0]
         self.opens, self.breaks = (np.array([t.startswith(mark(c)) for t in tokens]) for c in " \n")
@@ -92,6 +93,9 @@ class Encoder:
             self.old, self.words = self.words, {}
         get, rows, new = self.words.get, [], set()
         for text in texts:
+            if any(token in text for token in self.added):
+                rows.append(([None], (), ()))
+                continue
             parts = ("\n" + text.replace("\n", " \n")).split(" ")  # the first word is coded as if after a line end
             coded = list(map(get, parts))
             if all(coded):

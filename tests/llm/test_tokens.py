@@ -23,6 +23,15 @@ def test_remembered_words_are_coded_like_whole_texts(text):
     assert e.encode([text])[0] == e.whole(text)
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "some words <|endoftext|> more words", "<|endoftext|>", " <|endoftext|>\n", "a<|endoftext|><|endoftext|> b", "<|endoftext| >", "plain words"])
+def test_added_tokens_are_coded_like_the_library_codes_them(text):
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
+    got = Encoder(vocabulary()).encode([text, "other words", text])
+    assert np.frombuffer(got[0], "<u4").tolist() == np.frombuffer(got[2], "<u4").tolist() == want
+
+
 @pytest.fixture(autouse=True)
 def _shared(encoder):
     test_remembered_words_are_coded_like_whole_texts.encoder = encoder
