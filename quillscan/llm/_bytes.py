@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -29,7 +32,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most_bytes: int = 2_000_000, most_rows: int = 2_000):
+def pieces(offsets: np.ndarray, most_bytes: int = 1_000_000, most_rows: int = 2_000):
     """Ranges of rows with about so many bytes, one row at least: whole rows, so a very long text stands alone."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -39,6 +42,46 @@ def pieces(offsets: np.ndarray, most_bytes: int = 2_000_000, most_rows: int = 2_
         a = b
 
 
+def release() -> None:
+    """Give freed memory back to the system, since Python workers outlive tasks."""
+    if len(_powers[0]) > 4_000_000:
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+def lean(run):
+    """``run`` over a task's batches, with ``release`` at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def lean_groups(run, every: int = 32_000_000):
+    """``run`` over the table of a group, with ``release`` after so many bytes of them."""
+    held = [0]
+
+    def wrapped(table):
+        out = run(table)
+        held[0] += table.nbytes
+        if held[0] > every:
+            held[0] = 0
+            del table
+            release()
+        return out
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm._bytes import flat, mix, pieces, prefix, span, words
+from quillscan.llm._bytes import flat, lean, lean_groups, mix, pieces, prefix, span, words
 from quillscan.llm._store import crc_part, documents, partitions, written
 
 EPSILON, LEVEL_BASE, PROBES, BITS, MOST_BYTES, BIGRAM_SHARE = 2e-8, 1.5, 7, 10, 128 << 20, 0.15
@@ -244,7 +244,7 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
     word_bits, pair_bits = (max(3, int(np.ceil(np.log2(partitions(spark) * k)))) for k in (0.5, 2))
     ask, ask_schema = _requests(word_bits, pair_bits)
     answer, answer_schema = _reduced(word_bits, word_bits)
-    packed = written(rows.select("key", "train", "text").mapInArrow(ask, ask_schema).groupBy("kind", "bucket").applyInArrow(answer, answer_schema), "lm-counts")
+    packed = written(rows.select("key", "train", "text").mapInArrow(lean(ask), ask_schema).groupBy("kind", "bucket").applyInArrow(lean_groups(answer), answer_schema), "lm-counts")
     tokens, types = packed.where("kind = 'stat'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     least = max(2, int(np.ceil(epsilon * tokens)))
 
@@ -257,7 +257,7 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_pydict({"kind": [r["kind"]], "place": pa.array([r["place"]], pa.int32()), "data": pa.array([data], pa.binary()), "mass": [int(kept.sum())], "kept": [len(kept)]})
 
     grams = packed.where("kind in ('word', 'pair')").select("kind", "place", "a", "b")
-    filled = {(r["kind"], r["place"]): r for r in grams.mapInArrow(fill, "kind string, place int, data binary, mass long, kept long").collect()}
+    filled = {(r["kind"], r["place"]): r for r in grams.mapInArrow(lean(fill), "kind string, place int, data binary, mass long, kept long").collect()}
     empty = segment(np.zeros(0, "<u8"), np.zeros(0, "<i8"), 1, 8)
     one = lambda kind, bits: Filter([bytes(filled[kind, k]["data"]) if (kind, k) in filled else empty for k in range(1 << bits)], least)
     words_kept = [r for (kind, _), r in filled.items() if kind == "word"]
@@ -271,8 +271,8 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
                 row, h = token_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.bincount(row, minlength=b - a)), pa.array(shared.value.score(row, h, b - a))], names=["key", "doc_id", "n_tokens", "score"])
 
-    judged = rows.select("key", "text", "id").mapInArrow(judge, f"key long, doc_id {rows.schema['id'].dataType.simpleString()}, n_tokens long, score double")
-    base = packed.where("kind = 'part'").groupBy("place").applyInArrow(_documents_parts, "key long, gain double, n_known long")
+    judged = rows.select("key", "text", "id").mapInArrow(lean(judge), f"key long, doc_id {rows.schema['id'].dataType.simpleString()}, n_tokens long, score double")
+    base = packed.where("kind = 'part'").groupBy("place").applyInArrow(lean_groups(_documents_parts), "key long, gain double, n_known long")
     floor = float(np.log10(tokens + 0.1 * (types + 1)))
     return judged.join(base, "key").select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * floor).alias("base_score"), "score")
 

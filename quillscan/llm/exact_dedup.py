@@ -6,7 +6,8 @@ neighbouring texts. Splitters are sampled from a bounded key (first 64 character
 so what the driver sees of the sample has a fixed width per row whatever the texts' lengths.
 
 Hot groups: a salt from doc_id is part of the sort key, so a group of copies becomes at most
-``SALTS`` runs in as many places; runs (one row each) are then merged by the text's SHA-256.
+``SALTS`` runs in as many places; runs (one row each) are then merged by the text's SHA-256, so that
+between runs texts are told apart by that digest, not by a comparison of all bytes.
 """
 
 from __future__ import annotations
@@ -75,7 +76,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of every group of equal texts; the columns are those of ``docs``."""
+    """Keep one row of every group of equal texts, that of the largest id; the columns are those of ``docs``.
+
+    Null text is empty; of rows that repeat both id and text one stays; a null id stays only where a group has no other;
+    an empty table gives no rows; other columns are carried along whatever their names.
+    """
     return exact_groups(docs, carry=True).where("kept").select("doc.*")
 
 

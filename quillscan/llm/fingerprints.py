@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm._bytes import flat, pieces
+from quillscan.llm._bytes import flat, lean, pieces
 from quillscan.llm._store import documents, partitions
 
 BUCKETS, GAPS, LENGTH_STEP, LENGTH_MOST = 256, (4, 9), 1.1, 24
@@ -70,7 +70,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rendered(*digests(batch.column(1))), pa.string())], names=["doc", "fingerprint"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, fingerprint string")
+    return rows.mapInArrow(lean(run), f"doc {rows.schema['doc'].dataType.simpleString()}, fingerprint string")
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +125,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             })
             yield out.filter(pa.array(own))
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

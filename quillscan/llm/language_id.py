@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm._bytes import flat
+from quillscan.llm._bytes import flat, lean
 from quillscan.llm._store import crc_part, documents
 
 WINDOW, WIDTHS, FILTERS, EMBED, TAPS = 256, (2, 3, 4), 8, 8, 4
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score)})
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: every document as often as the mix reads it; the columns are those of ``docs``."""
+    """The mixed corpus: every document as often as the mix reads it; the columns are those of ``docs``.
+
+    Null text has size 0; a null source is a source of its own; sources of size 0 are left out, as are documents that
+    the fraction of a pass misses; rows that repeat an id are taken together; an empty table gives no rows.
+    """
     _, plan = mix_plan(docs)
     plan = plan.select(F.col("source").alias("s"), "passes", "cut", "pick")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), order_hash(F.col("doc_id")).alias("h"))

@@ -5,8 +5,8 @@ a full piece is a sequence of its own. The left-overs are bin-packed: they are d
 chunks of about ``CHUNK`` documents, and every chunk evolves on ``ISLANDS`` islands (one task's group
 each). A genome assigns items to bins; crossover injects whole well-filled bins of one parent into the
 other, drops the bins that now repeat an item, and best-fits the displaced items. After each epoch an
-island's elites migrate to the next one. Evolution ends where a chunk meets its lower bound. A chunk
-wastes less than one sequence beyond what its sizes force, whatever the corpus' size.
+island's elites migrate to the next one. Evolution ends where a chunk meets its lower bound, the number of
+sequences that its tokens fill.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillscan.llm._bytes import flat, lean, pieces
 from quillscan.llm._store import documents, written
-from quillscan.llm._tokens import END_ID, REMEMBER, REMEMBER_ALONE, encoder, slices, vocabulary
+from quillscan.llm._tokens import END_ID, encoder, vocabulary
 
 CAPACITY, CHUNK, ISLANDS, EPOCHS, POPULATION, GENERATIONS, ELITES = 1024, 4096, 2, 2, 4, 6, 2
 
@@ -105,28 +106,26 @@ def evolve(sizes: np.ndarray, capacity: int, seeds: list[np.ndarray], rng: np.ra
     return people
 
 
-def token_table(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBER) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: key (unique), doc_id, n_tokens, crcs (one for each piece). Written once."""
     path = tokenizer or vocabulary()
 
     def coded(batches):
-        part, row, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                counts, crcs = [], []
-                for ids in encoder(path, remember).encode(texts[a:b]):
-                    ids += end
-                    n = len(ids) // 4
-                    cut = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    counts.append(n)
-                    crcs.append([zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(cut, cut[1:])])
-                keys = np.arange(row, row + len(counts), dtype=np.int64) + (part << 36)
-                row += len(counts)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "doc_id": names.slice(a, b - a), "n_tokens": pa.array(counts, pa.int64()), "crcs": pa.array(crcs, pa.list_(pa.int64()))})
+            names, (raw, offsets) = batch.column(0), flat(batch.column(1))
+            for a, b in pieces(offsets):
+                ids, counts = encoder(path).encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
+                data, crcs = memoryview(ids.astype("<u4")).cast("B"), []
+                for n, upto in zip(counts.tolist(), np.cumsum(counts).tolist()):
+                    cut = [upto - n, *range(upto - (n - 1) // capacity * capacity, upto + 1, capacity)]
+                    crcs.append([zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(cut, cut[1:])])
+                keys = np.arange(row, row + b - a, dtype=np.int64) + (part << 36)
+                row += b - a
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "doc_id": names.slice(a, b - a), "n_tokens": pa.array(counts), "crcs": pa.array(crcs, pa.list_(pa.int64()))})
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return written(rows.mapInArrow(coded, "key long, doc_id long, n_tokens long, crcs array<long>"), "pack-tokens")
+    return written(rows.mapInArrow(lean(coded), "key long, doc_id long, n_tokens long, crcs array<long>"), "pack-tokens")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, chunk: int = CHUNK, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 9, **columns) -> DataFrame:
@@ -204,8 +203,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), remember=REMEMBER_ALONE)
+    return pack(documents(spark, sf_dir))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of ``docs`` with their places, as ``pack`` gives them.
+
+    Null text is an empty document; every row is packed, also one that repeats another; null ids stay null; an empty table
+    gives no rows; of the columns only doc_id and text are read.
+    """
     return pack(docs)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm._bytes import flat, mix, pieces, prefix, span
+from quillscan.llm._bytes import flat, lean, lean_groups, mix, pieces, prefix, span
 from quillscan.llm._gsaca import suffix_array
 from quillscan.llm._store import documents, written
 
@@ -150,7 +150,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 row, first, windows, name, whole, again = contexts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(rid[a:b][row]), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(again)], names=["name", "whole", "rid", "first", "windows", "again"])
 
-    seen = written(rows.select("rid", "text").mapInArrow(cut, "name long, whole long, rid long, first int, windows int, again boolean"), "repeat-contexts")
+    seen = written(rows.select("rid", "text").mapInArrow(lean(cut), "name long, whole long, rid long, first int, windows int, again boolean"), "repeat-contexts")
     distinct = seen.groupBy("name", "whole", "windows").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first")).alias("at"), F.max("again").alias("again"))
     names = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"), F.max("again").alias("again")).where("contexts > 1 or n > 1 or again")
     distinct = written(distinct.drop("again").join(names.select("name", "contexts", F.col("again").alias("within")), "name"), "repeat-distinct")
@@ -169,7 +169,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["name", "whole", "hot", "data"])
 
     one = rows.select("rid", "text").join(wanted, "rid")
-    fetched = written(one.select("text", "cs").mapInArrow(fetch, "name long, whole long, hot boolean, data binary"), "repeat-bytes")
+    fetched = written(one.select("text", "cs").mapInArrow(lean(fetch), "name long, whole long, hot boolean, data binary"), "repeat-bytes")
 
     def search(table: pa.Table) -> pa.Table:
         found = [_ranges(f) for f in repeats_in(table.column("data").to_pylist(), length)]
@@ -178,7 +178,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         return pa.table({"name": table.column("name").take(keep), "whole": table.column("whole").take(keep), "found": rows})
 
     block = F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("block")
-    searched = fetched.where("not hot").select(block, "name", "whole", "data").groupBy("block").applyInArrow(search, f"name long, whole long, found {_RANGES}")
+    searched = fetched.where("not hot").select(block, "name", "whole", "data").groupBy("block").applyInArrow(lean_groups(search), f"name long, whole long, found {_RANGES}")
 
     def deal(batches):
         for batch in batches:
@@ -203,8 +203,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         rows = pa.array([[{"a": a, "b": a + 1}] for a in at[i].tolist()], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
         return pa.table({"name": name[i], "whole": whole[i], "found": rows})
 
-    dealt = fetched.where("hot").select("name", "whole", "data").mapInArrow(deal, "part int, names binary, wholes binary, at binary, h binary")
-    met = dealt.groupBy("part").applyInArrow(meet, f"name long, whole long, found {_RANGES}")
+    dealt = fetched.where("hot").select("name", "whole", "data").mapInArrow(lean(deal), "part int, names binary, wholes binary, at binary, h binary")
+    met = dealt.groupBy("part").applyInArrow(lean_groups(meet), f"name long, whole long, found {_RANGES}")
     repeats = written(resolved.unionByName(searched).unionByName(met).groupBy("name", "whole").agg(F.flatten(F.collect_list("found")).alias("found")), "repeat-found")
     where = (
         seen.join(repeats, ["name", "whole"])
@@ -232,7 +232,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     marked = rows.join(where, "rid", "left").select("id", "text", "found")
-    return marked.mapInArrow(remove, f"doc_id {rows.schema['id'].dataType.simpleString()}, n_bytes long, spans {_RANGES}, kept binary")
+    return marked.mapInArrow(lean(remove), f"doc_id {rows.schema['id'].dataType.simpleString()}, n_bytes long, spans {_RANGES}, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

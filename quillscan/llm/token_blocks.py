@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillscan.llm._bytes import flat, lean, pieces
 from quillscan.llm._store import documents, written
-from quillscan.llm._tokens import END_ID, REMEMBER, REMEMBER_ALONE, encoder, slices, vocabulary
+from quillscan.llm._tokens import END_ID, encoder, vocabulary
 
 BLOCK, PERCENTILE, SEGMENT_TOKENS = 128, 0.9, 1_000_000
 _HEAD = struct.Struct("<4sIQQQI")
@@ -112,7 +113,7 @@ def unpack(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(doc_ids, null)], lengths, grid.reshape(-1)[:n]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS, id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBER) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, append ``end_id``, and write segments in ascending id order; returns the segment table.
 
     Columns: part and seg (their order is the documents' order), n_docs, n_tokens, payload. Null text is an
@@ -126,28 +127,31 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
 
         def close():
             nonlocal seg, doc_ids, sizes, data, held
-            ids = np.frombuffer(b"".join(data), "<u4")
+            ids = np.concatenate(data)
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "payload": pa.array([pack(doc_ids, sizes, ids)], pa.binary())})
             seg, doc_ids, sizes, data, held = seg + 1, [], [], [], 0
             return row
 
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                for doc, ids in zip(names[a:b], encoder(path, remember).encode(texts[a:b])):
+            names, (raw, offsets) = batch.column(0).to_pylist(), flat(batch.column(1))
+            for a, b in pieces(offsets):
+                ids, counts = encoder(path).encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
+                done, ends = 0, np.cumsum(counts)
+                for doc, n, upto in zip(names[a:b], counts.tolist(), ends.tolist()):
                     doc_ids.append(doc)
-                    sizes.append(len(ids) // 4 + 1)
-                    data += [ids, end]
-                    held += sizes[-1]
+                    sizes.append(n)
+                    held += n
                     if held >= segment_tokens:
+                        data.append(ids[done:upto])
+                        done = upto
                         yield close()
+                data.append(ids[done:])
         if doc_ids:
             yield close()
 
     ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(segments, "part int, seg int, n_docs long, n_tokens long, payload binary"), "token-segments")
+    return written(ordered.mapInArrow(lean(segments), "part int, seg int, n_docs long, n_tokens long, payload binary"), "token-segments")
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
@@ -168,9 +172,9 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(across) - F.col("n")).drop("n")
     places = segments.select("part", "seg", "n_tokens").withColumn("seg_start", F.sum("n_tokens").over(within) - F.col("n_tokens")).drop("n_tokens")
     places = places.join(parts, "part").select("part", "seg", (F.col("base") + F.col("seg_start")).alias("base"))
-    docs = segments.select("part", "seg", "payload").mapInArrow(decode, "part int, seg int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    docs = segments.select("part", "seg", "payload").mapInArrow(lean(decode), "part int, seg int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return docs.join(places, ["part", "seg"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_tokens(write_tokens(documents(spark, sf_dir), remember=REMEMBER_ALONE))
+    return read_tokens(write_tokens(documents(spark, sf_dir)))

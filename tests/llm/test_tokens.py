@@ -1,11 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillscan.llm import packing, token_blocks
+from quillscan.llm._bytes import flat
 from quillscan.llm._tokens import Encoder, vocabulary
 
 END = np.array([2], "<u4").tobytes()
@@ -16,25 +18,41 @@ def encoder():
     return Encoder(vocabulary())
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab .,'\n\té漢<|>endoftxt1"), max_size=60))
-def test_remembered_words_are_coded_like_whole_texts(text):
-    e = test_remembered_words_are_coded_like_whole_texts.encoder
-    assert e.encode([text])[0] == e.whole(text)
+def plain(text):
+    from tokenizers import Tokenizer
 
+    if not hasattr(plain, "library"):
+        plain.library = Tokenizer.from_file(vocabulary())
+    return plain.library.encode(text, add_special_tokens=False).ids
+
+
+def coded(encoder, texts):
+    ids, counts = encoder.encode(*flat(pa.array(texts, pa.string())))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+#: Few places, so that words are forgotten and come back.
+SMALL = Encoder(vocabulary(), 256)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab .,'\n\t\u00a0é漢<|>endoftxt1"), max_size=60), max_size=5))
+def test_remembered_words_are_coded_like_the_library_codes_texts(texts):
+    assert coded(SMALL, texts) == [plain(t) + [2] for t in texts] or not texts
 
-@pytest.mark.parametrize("text", ["a<|endoftext|>b", "some words <|endoftext|> more words", "<|endoftext|>", " <|endoftext|>\n", "a<|endoftext|><|endoftext|> b", "<|endoftext| >", "plain words"])
-def test_added_tokens_are_coded_like_the_library_codes_them(text):
-    from tokenizers import Tokenizer
 
-    want = Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
-    got = Encoder(vocabulary()).encode([text, "other words", text])
-    assert np.frombuffer(got[0], "<u4").tolist() == np.frombuffer(got[2], "<u4").tolist() == want
+@pytest.mark.parametrize("at", range(6))
+def test_added_tokens_are_coded_like_the_library_codes_them(encoder, at):
+    words = "some words and more words".split(" ")
+    inside = " ".join([*words[:at], "<|endoftext|>", *words[at:]])
+    texts = [inside, inside.replace(" ", ""), "plain words", f" {inside}\n", inside + inside, "<|endoftext| >", "", None]
+    assert coded(encoder, texts) == [plain(t or "") + [2] for t in texts]
 
 
-@pytest.fixture(autouse=True)
-def _shared(encoder):
-    test_remembered_words_are_coded_like_whole_texts.encoder = encoder
+def test_very_many_and_very_long_words():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 2000)) for _ in range(4)] + ["x" * 100_000 + " y", "\n".join("ab cd" for _ in range(500))]
+    assert coded(SMALL, texts) == [plain(t) + [2] for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
@@ -77,6 +95,16 @@ def test_packing(odd, none, encoder):
     got = packing.pack(odd).collect()
     used, floor = check_pieces(got, texts, encoder, 1024)
     assert used <= floor + 1
+    want = sorted((r.doc_id is not None, r.doc_id or 0, tuple(plain(r.text or "") + [2])) for r in odd.collect())
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    whole = {}
+    for known, doc, ids in want:
+        n, cut = len(ids), [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        raw = np.array(ids, "<u4").tobytes()
+        whole.setdefault(doc if known else None, []).extend((x, y - x, zlib.crc32(raw[4 * x : 4 * y])) for x, y in zip(cut, cut[1:]))
+    assert {k: sorted(v) for k, v in pieces.items()} == {k: sorted(v) for k, v in whole.items()}
     long = sorted((r for r in got if r.doc_id == 10), key=lambda r: r.piece)
     assert len(long) > 2 and all(r.length == 1024 for r in long[1:]) and long[0].length <= 1024
     ids = encoder.whole("word " * 40_000) + END
