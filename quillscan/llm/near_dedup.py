@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm._bytes import _powers, flat, mix, pieces, prefix, span, words
+from quillscan.llm._bytes import _powers, flat, lean, lean_groups, mix, pieces, prefix, span, words
 from quillscan.llm._graph import components
 from quillscan.llm._store import documents, written
 
@@ -188,7 +188,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("raw"), text.alias("text"))
-    return written(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, raw long, content binary, sign binary"), "near-signed")
+    return written(rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, raw long, content binary, sign binary"), "near-signed")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -203,11 +203,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     with_v = pairs.join(texts.withColumnsRenamed({"content": "v", "text": "text_v"}), "v")
     both = with_v.join(texts.withColumnsRenamed({"content": "u", "text": "text_u"}), "u").select("u", "v", F.col("text_u"), F.col("text_v"))
-    return both.mapInArrow(run, "u binary, v binary")
+    return both.mapInArrow(lean(run), "u binary, v binary")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, raw (xxhash64 of its text), content, class_id (least id of its class), class_size.
+    """One row per row of ``docs``: doc_id, raw (xxhash64 of its text), content, label (name of its class), class_id (its least id), class_size.
 
     Texts with the same sequence of words are one content and always share a class, the empty sequence included;
     null text is empty. Rows may repeat an id; null ids are ignored in class_id unless a class has no other; an
@@ -253,13 +253,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         found = spanning(table.column("text").combine_chunks(), a, b, label, threshold) if label.max() > 0 else []
         return pa.table({"u": pa.array([min(name[x], name[y]) for x, y in found], pa.binary()), "v": pa.array([max(name[x], name[y]) for x, y in found], pa.binary())})
 
-    last = rest.groupBy("band", "key", "i", "j").applyInArrow(compare, "u binary, v binary").distinct()
+    last = rest.groupBy("band", "key", "i", "j").applyInArrow(lean_groups(compare), "u binary, v binary").distinct()
     labels = written(components(links.union(written(last, "near-links"))), "near-labels")
 
     of = contents.select("content").join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
     counted = signed.groupBy("content").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).join(of, "content")
     totals = counted.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    named = written(counted.join(totals, "label").select("content", "class_id", "class_size"), "near-classes")
+    named = written(counted.join(totals, "label").select("content", "label", "class_id", "class_size"), "near-classes")
     return signed.select(F.col("id").alias("doc_id"), "raw", "content").join(named, "content")
 
 
@@ -268,9 +268,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every class; the columns are those of ``docs``."""
-    found = classes(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("i"), F.col("raw").alias("r")).distinct()
+    """One document of every class, that of least id; the columns are those of ``docs``.
+
+    Null text is empty, and all texts without a word are one class. Where several rows of a class share the least id, one of
+    them stays; a row without an id stays only in a class that has no other; an empty table gives no rows.
+    """
+    known = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit(""))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "raw")
+    keep = classes(docs).groupBy("label").agg(F.min(first).alias("one")).select(known("one.doc_id").alias("i"), F.col("one.raw").alias("r"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    same = F.col("doc.doc_id").eqNullSafe(F.col("i")) & (F.xxhash64(F.coalesce(F.col("doc.text"), F.lit(""))) == F.col("r"))
-    return rows.join(keep, same, "left_semi").select("doc.*")
+    rows = rows.select(known("doc.doc_id").alias("i"), F.xxhash64(F.coalesce(F.col("doc.text"), F.lit(""))).alias("r"), "doc")
+    return rows.join(keep, ["i", "r"]).dropDuplicates(["i", "r"]).select("doc.*")

@@ -87,7 +87,6 @@ def classes_by_force(texts):
 @pytest.mark.parametrize("block", [512, 3])
 def test_near_classes(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    monkeypatch.setattr(near_dedup, "LAST_BANDS", 20)
     texts = near_texts()
     got = near_dedup.classes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(classes_by_force(texts)))
@@ -121,7 +120,9 @@ def test_near_edges(odd, none):
     same = {r.class_id for r in got if r.doc_id in (0, 1)}
     assert same == {0}
     kept = near_dedup.stage(odd.sparkSession, odd, "")
-    assert kept.columns == odd.columns
+    assert kept.columns == odd.columns and kept.count() == len({r.label for r in got})
+    twins = odd.sparkSession.createDataFrame([(1, " ".join(f"w{k}" for k in range(90)) + end) for end in ("", " x", " x")] + [(2, "other")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.stage(odd.sparkSession, twins, "").collect()) == [1, 2]
 
 
 def test_signatures_estimate_weighted_similarity():
