@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm._bytes import ALNUM, flat, mix, pieces, prefix, span, words
-from quillscan.llm._store import crc_part, documents
+from quillscan.llm._bytes import ALNUM, flat, lean, mix, pieces, prefix, release, span, words
+from quillscan.llm._store import crc_part, documents, small_batches
 
 #: Bound of the training sample: documents of either label, drawn among those of at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 800, 10_000
-LEXICON, MIN_DOCS, STEPS, MOST_EVIDENCE = 2000, 3, 300, 20.0
+LEXICON, MIN_DOCS, STEPS, ASCENT, MOST_EVIDENCE = 2000, 3, 300, 100, 20.0
 #: Lengths in bytes of the prefixes that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 
@@ -50,20 +50,24 @@ def known_of(features: np.ndarray, known: np.ndarray) -> np.ndarray:
     return at
 
 
-def chain(row: np.ndarray, place: np.ndarray, gain: np.ndarray, sizes: np.ndarray, model: dict) -> np.ndarray:
-    """Marginal probability of the toxic state at every weighted word.
+def _steps(model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The matrix of one step of the chain, scaled to largest eigenvalue 1, and its eigenvalues and vectors (right, left)."""
+    step = np.exp(np.array(model["move"])) * np.exp(np.array([0.0, model["bias"]]))[None, :]
+    values, right = np.linalg.eig(step)  # real and distinct, as all entries are positive
+    values, right = values.real, right.real
+    top = np.abs(values).max()
+    return step / top, values / top, right, np.linalg.inv(right)
+
+
+def chain(row: np.ndarray, place: np.ndarray, gain: np.ndarray, sizes: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginal probability of the toxic state at every weighted word, and the messages from its left (with it) and right.
 
     ``row`` and ``place`` (its number among the row's words) ascend; ``gain`` is the word's weight; ``sizes`` has
     the number of words of each row. Rows are worked through together, from first to last weighted word.
     """
     if not len(row):
-        return np.zeros(0)
-    step = np.exp(np.array(model["move"])) * np.exp(np.array([0.0, model["bias"]]))[None, :]
-    values, right = np.linalg.eig(step)
-    values, right = values.real, right.real
-    left = np.linalg.inv(right)
-    top = np.abs(values).max()
-    values = values / top
+        return np.zeros(0), np.zeros((0, 2)), np.zeros((0, 2))
+    _, values, right, left = _steps(model)
 
     def power(k):
         return np.einsum("ij,nj,jk->nik", right, values[None, :] ** k[:, None], left)
@@ -98,7 +102,37 @@ def chain(row: np.ndarray, place: np.ndarray, gain: np.ndarray, sizes: np.ndarra
             b[~last] = np.einsum("nij,nj->ni", power(before[nxt]), back[nxt] * np.stack([np.ones(len(nxt)), boost[nxt]], 1))
         back[at] = b / b.sum(1, keepdims=True)
     p = ahead * back
-    return p[:, 1] / p.sum(1)
+    return p[:, 1] / p.sum(1), ahead, back
+
+
+def expected_moves(row: np.ndarray, place: np.ndarray, gain: np.ndarray, sizes: np.ndarray, model: dict, ahead: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected numbers of the four transitions, and of toxic words, over all words of all rows.
+
+    Between two weighted words (or an end of the text) k transitions pass; the sum over them of the chain's state before and
+    after is a geometric one in the eigenvalues of the step.
+    """
+    step, values, right, left = _steps(model)
+    start, ones = np.array([1.0, np.exp(model["bias"])]), np.ones(2)
+    seen = back * np.stack([np.ones(len(row)), np.exp(np.clip(gain, -30, 30))], 1)
+    first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+    last = np.r_[first[1:], True] if len(row) else first
+    bare = np.setdiff1d(np.flatnonzero(sizes > 0), row)
+    inner = np.flatnonzero(~first)
+    tile = lambda v, n: np.broadcast_to(v, (n, 2))
+    a = np.concatenate([tile(start, first.sum()), ahead[inner - 1], ahead[last], tile(start, len(bare))])
+    b = np.concatenate([seen[first], seen[inner], tile(ones, last.sum()), tile(ones, len(bare))])
+    k = np.concatenate([place[first], place[inner] - place[inner - 1], (sizes[row] - 1 - place)[last], sizes[bare] - 1]).astype(float)
+    a, b = a @ right, b @ left.T
+    powers = values[None, :] ** k[:, None]
+    both = (a * powers * b).sum(1)
+    across = (powers[:, 0] - powers[:, 1]) / (values[0] - values[1])
+    once = k[:, None] * values[None, :] ** np.maximum(k - 1, 0)[:, None]
+    sums = np.empty((len(k), 2, 2))
+    sums[:, 0, 0], sums[:, 1, 1], sums[:, 0, 1], sums[:, 1, 0] = once[:, 0], once[:, 1], across, across
+    moves = step * np.einsum("np,pi,npq,jq,nq->ij", a, left, sums / both[:, None, None], right, b)
+    begins = np.r_[np.arange(first.sum()), len(k) - len(bare) + np.arange(len(bare))].astype(int)
+    at_start = start[1] * ((powers * b)[begins] @ right[1]) / both[begins]
+    return moves, float(moves[:, 1].sum() + at_start.sum())
 
 
 def tagged(texts: pa.Array, model: dict):
@@ -114,7 +148,7 @@ def tagged(texts: pa.Array, model: dict):
         hit = np.flatnonzero((at >= 0).any(axis=0))
         sizes = np.bincount(row, minlength=b - a)
         gain = np.where(at[:, hit] >= 0, weight[at[:, hit]], 0).sum(axis=0)
-        p = chain(row[hit], hit - (np.cumsum(sizes) - sizes)[row[hit]], gain, sizes, model)
+        p = chain(row[hit], hit - (np.cumsum(sizes) - sizes)[row[hit]], gain, sizes, model)[0]
         evidence[a:b] = np.bincount(row[hit], weights=p, minlength=b - a)
         found.append([row[hit] + a, starts[hit] - cut[row[hit]], ends[hit] - cut[row[hit]], p])
     return evidence, [np.concatenate(c) for c in zip(*found)]
@@ -184,29 +218,32 @@ def fit_chain(texts: list[str], labels: np.ndarray) -> dict | None:
     used = np.sort(used[np.argsort(-w[used])[:LEXICON]])
     known = vocab[used]
     at = known_of(features, known)
-    # transitions and bias from the tags' smoothed frequencies, then feature weights by ascent with exact marginals
+    # all weights by ascent of the conditional likelihood of the tags with exact marginals: what is seen less what is expected
     size = np.bincount(rows, minlength=len(y))
     place = np.arange(len(rows)) - (np.cumsum(size) - size)[rows]
     inner = rows[1:] == rows[:-1]
-    seen = np.ones((2, 2))
+    seen, toxic = np.ones((2, 2)), 1.0 + tag.sum()
     np.add.at(seen, (tag[:-1][inner], tag[1:][inner]), 1)
     rate = seen / seen.sum(1, keepdims=True)
-    bias = float(np.log(rate[0, 1] / rate[0, 0]))
-    move = np.log(rate) - np.array([0.0, bias])
     hit = np.flatnonzero((at >= 0).any(axis=0))
     at, rows, place = at[:, hit], rows[hit], place[hit]
     on, (kind, token) = at[at >= 0], np.nonzero(at >= 0)
     total = lambda x: np.bincount(on, weights=x[token], minlength=len(known))
-    gain, model = np.zeros(len(known)), {"words": known, "bias": bias, "move": move.tolist()}
+    bias = float(np.log(rate[0, 1] / rate[0, 0]))
+    gain, model = np.zeros(len(known)), {"words": known, "bias": bias, "move": (np.log(rate) - np.array([0.0, bias])).tolist()}
     sums = lambda: np.where(at >= 0, gain[at], 0).sum(axis=0)
     positive = total(tag[hit].astype(float))
-    for _ in range(60):
-        p = chain(rows, place, sums(), size, model)
+    for _ in range(ASCENT):
+        p, ahead, back = chain(rows, place, sums(), size, model)
+        moves, toxic_now = expected_moves(rows, place, sums(), size, model, ahead, back)
         slope = positive - total(p) - 0.05 * gain
         bend = len(at) * total(p * (1 - p)) + 0.05 + 0.02 * total(np.ones(len(hit)))
         gain = np.clip(gain + np.clip(slope / bend, -1, 1), -25, 25)
+        move = np.array(model["move"])
+        move += np.clip((seen - moves - 0.05 * move) / (seen + moves), -0.5, 0.5)
+        model["move"], model["bias"] = move.tolist(), model["bias"] + float(np.clip((toxic - toxic_now - 0.05 * model["bias"]) / (toxic + toxic_now), -0.5, 0.5))
     model["weights"] = gain
-    x = np.minimum(np.bincount(rows, weights=chain(rows, place, sums(), size, model), minlength=len(y)), MOST_EVIDENCE)
+    x = np.minimum(np.bincount(rows, weights=chain(rows, place, sums(), size, model)[0], minlength=len(y)), MOST_EVIDENCE)
     a, c = 1.0, -1.0
     for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
@@ -235,7 +272,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, text
     drawn = F.broadcast(rows.where(draw < F.element_at(share, F.col("label"))))
     sample = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(drawn, F.col("id") == F.col("labelled"))
     got = sorted((r[0], r[1], r[2]) for r in sample.select(F.col("id").cast("string"), "text", "label").collect())
-    return fit_chain([g[1] for g in got], np.array([g[2] for g in got]))
+    model = fit_chain([g[1] for g in got], np.array([g[2] for g in got]))
+    del got
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,7 +302,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array((q >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])))], names=["doc", "score", "predicted", "spans"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int,probability:double>>")
+    return rows.mapInArrow(lean(run), f"doc {rows.schema['doc'].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int,probability:double>>")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,5 +317,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; the columns are those of ``docs``."""
+    """Documents that are not predicted toxic; the columns are those of ``docs``.
+
+    Null and empty texts stay; rows that repeat an id or a text are judged alike; without labels of both kinds all rows
+    stay; an empty table gives no rows; other columns are carried along whatever their names.
+    """
+    small_batches(spark)
     return score(docs, fit(docs, _labels(spark, sf_dir))).where("predicted = 0").select("doc.*")

@@ -44,7 +44,7 @@ def test_marginals():
     rng = np.random.default_rng(1)
     model = {"bias": -1.3, "move": [[-0.1, 0.2], [-0.7, 0.9]]}
     step = np.exp(np.array(model["move"])) * np.exp([0, model["bias"]])[None]
-    rows, places, gains, sizes, want = [], [], [], [], []
+    rows, places, gains, sizes, want, moves, toxic = [], [], [], [], [], np.zeros((2, 2)), 0.0
     for r in range(40):
         n = int(rng.integers(1, 50))
         at = np.sort(rng.choice(n, int(rng.integers(0, min(n, 8) + 1)), replace=False))
@@ -63,7 +63,17 @@ def test_marginals():
         gains += g.tolist()
         sizes.append(n)
         want += (p[:, 1] / p.sum(1))[at].tolist()
-    assert np.allclose(toxicity.chain(np.array(rows), np.array(places), np.array(gains), np.array(sizes), model), want)
+        toxic += (p[:, 1] / p.sum(1)).sum()
+        for t in range(1, n):
+            both = a[t - 1][:, None] * step * (b[t] * u[t])[None]
+            moves += both / both.sum()
+    words = np.array(rows), np.array(places), np.array(gains), np.array(sizes), model
+    marginals, ahead, back = toxicity.chain(*words)
+    assert np.allclose(marginals, want)
+    got, number = toxicity.expected_moves(*words, ahead, back)
+    assert np.allclose(got, moves) and np.isclose(number, toxic)
+    got, number = toxicity.expected_moves(*(x[:0] for x in words[:3]), *words[3:], np.zeros((0, 2)), np.zeros((0, 2)))
+    assert np.isclose(got.sum(), sum(sizes) - len(sizes)) and 0 < number < sum(sizes)
 
 
 def test_toxic_spans(spark, odd, none):
@@ -187,6 +197,18 @@ def test_pipeline(spark, sf):
             counts.append(docs.count())
     assert counts[0] >= counts[1] >= counts[2] >= counts[3] > 0
     assert {"sequence_id", "offset", "length"} <= set(docs.columns) and docs.count() > 0
+    ran = corpus_pipeline.run(spark, sf)
+    assert sorted(ran.select("doc_id", "piece", "ids_crc32").collect()) == sorted(docs.select("doc_id", "piece", "ids_crc32").collect())
+
+
+def test_stages_on_odd_tables(spark, sf, odd, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (odd, none):
+            got = stage(spark, table, sf)
+            rows = got.count()
+            assert (rows > 0) == (table is odd) and (name == "packing" or got.columns == table.columns), name
 
 
 def test_pipeline_keeps_clean_documents(spark, sf):
