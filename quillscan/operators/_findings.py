@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from functools import reduce
 from typing import Any
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.functions.text import excerpt
+from quillscan.tables import FINDINGS
 
 
 def setting(rules: Mapping[str, Any] | None, section: str, name: str, default: Any) -> Any:
@@ -37,8 +38,22 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def exploded(rows: DataFrame, category: str, signals: list[tuple], action: str, **places: Any) -> DataFrame:
-    """One pass over ``rows`` for several (condition, code, severity, reason, weight) signals on the same item."""
+def wanted(only: Collection[str] | None, *codes: str) -> bool:
+    """Whether any of the codes is asked for; all are where ``only`` is None."""
+    return only is None or any(code in only for code in codes)
+
+
+def exploded(rows: DataFrame, category: str, signals: list[tuple], action: str, only: Collection[str] | None = None, **places: Any) -> DataFrame:
+    """One pass over ``rows`` for several (condition, code, severity, reason, weight) signals on the same item.
+
+    With ``only``, the signals of other codes are not computed.
+    """
+    signals = [s for s in signals if wanted(only, s[1])]
+    if not signals:
+        return rows.sparkSession.createDataFrame([], FINDINGS)
+    if len(signals) == 1:
+        when, code, severity, reason, weight = signals[0]
+        return findings(rows.where(when), category, code, severity, reason, action, weight, **places)
     items = [F.when(when, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), lit(reason).alias("reason"), lit(weight).cast("double").alias("weight"))) for when, code, severity, reason, weight in signals]
     rows = rows.select("*", F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s"))
     return findings(rows, category, F.col("s.code"), F.col("s.severity"), F.col("s.reason"), action, F.col("s.weight"), **places)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillscan.functions.regex import java
 from quillscan.functions.text import casefold, matches
-from quillscan.operators._findings import exploded, findings, union
+from quillscan.operators._findings import exploded, findings, union, wanted
 from quillscan.operators.style import first_sentence
 from quillscan.tables import Tables
 
@@ -34,7 +34,8 @@ def names(sentences: DataFrame) -> DataFrame:
     return firsts.select("book_id", "name", casefold(F.element_at(F.split("name", " "), -1)).alias("surname"), "f.*")
 
 
-def detect(tables: Tables, rules=None) -> DataFrame:
+def detect(tables: Tables, rules=None, only=None) -> DataFrame:
+    """Findings of the codes in ``only``, or of all."""
     listed = lambda label, column: F.concat(F.lit(f"This paragraph contains multiple {label} expressions ("), F.array_join(F.array_sort(column), ", "), F.lit("); this is a review signal, not a factual-error claim."))
     many = lambda column: F.size(column) > 1
     rows = values(tables.paragraphs).where(many("ages") | many("dates") | many("numbers"))
@@ -44,7 +45,8 @@ def detect(tables: Tables, rules=None) -> DataFrame:
         (many("dates"), "multiple_dates", "medium", listed("date", "dates"), 0.5),
         (many("percentages"), "multiple_percentages", "medium", "Multiple percentage expressions occur in one paragraph; review their denominator and context.", 0.5),
         (many("numbers"), "multiple_numbers", "medium", "Multiple numeric expressions occur in one paragraph; review whether their units and references are clear.", 0.5),
-    ], ACTION)
+    ], ACTION, only=only)
     forms = names(tables.sentences).groupBy("book_id", "surname").agg(F.array_sort(F.collect_list("name")).alias("names"), F.min(F.struct("name", "file", "chapter", "par", "sent", "text")).alias("f")).where(F.size("names") > 1).select("*", "f.*")
     reason = F.concat(F.lit("Names sharing the surname “"), F.col("surname"), F.lit("” use multiple full-name forms ("), F.array_join("names", ", "), F.lit("); review whether they identify the same person."))
-    return union([in_paragraphs, findings(forms, "consistency", "name_variant", "medium", reason, ACTION, 0.5)])
+    variants = findings(forms, "consistency", "name_variant", "medium", reason, ACTION, 0.5)
+    return union([in_paragraphs, variants]) if wanted(only, "name_variant") else in_paragraphs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillscan.functions.regex import SPACE, java
 from quillscan.functions.text import casefold, percent, words
-from quillscan.operators._findings import exploded, findings, setting, union
+from quillscan.operators._findings import exploded, findings, setting, union, wanted
 from quillscan.operators.style import first_sentence
 from quillscan.tables import FINDINGS, Tables
 
@@ -37,7 +37,8 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(common, ["book_id", key], "left_semi")
 
 
-def detect(tables: Tables, rules=None) -> DataFrame:
+def detect(tables: Tables, rules=None, only=None) -> DataFrame:
+    """Findings of the codes in ``only``, or of all."""
     of = lambda name, default: setting(rules, "structure", name, default)
     if not of("enabled", True):
         return tables.sentences.sparkSession.createDataFrame([], FINDINGS)
@@ -64,16 +65,17 @@ def detect(tables: Tables, rules=None) -> DataFrame:
     vocabulary = exploded(totals, "structure", [
         (F.col("diversity") < float(of("vocabulary_diversity_min", 0.35)), "low_vocabulary_diversity", "medium", F.concat(F.lit("Book vocabulary diversity is "), percent(F.col("diversity")), F.lit(".")), 1 - F.col("diversity")),
         (F.col("ratio") >= float(of("connector_ratio_threshold", 0.03)), "connector_density", "medium", F.concat(F.lit("Connector words account for "), percent(F.col("ratio"), 1), F.lit(" of words.")), F.col("ratio")),
-    ], ACTION, **head)
-    return union([
-        tell(remnants, "editorial_remnant", "Possible editorial placeholder or drafting note."),
-        tell(repeated(keys.where("first is not null"), "opening"), "repeated_chapter_start", "Opening phrase is repeated across chapters.", **at("first")),
-        tell(repeated(keys.where("last is not null"), "closing"), "repeated_chapter_end", "Closing phrase is repeated across chapters.", **at("last")),
-        tell(shaped, "repeated_heading_structure", "Heading structure is repeated across chapters.", text="t", par="p", sent="s", chapter="title"),
-        tell(gaps, "chapter_number_gap", gap_reason, **head),
-        tell(listed, "toc_title_issue", "TOC title is duplicate or differs from the chapter title.", **head),
-        vocabulary,
-    ])
+    ], ACTION, only, **head)
+    parts = {
+        "editorial_remnant": tell(remnants, "editorial_remnant", "Possible editorial placeholder or drafting note."),
+        "repeated_chapter_start": tell(repeated(keys.where("first is not null"), "opening"), "repeated_chapter_start", "Opening phrase is repeated across chapters.", **at("first")),
+        "repeated_chapter_end": tell(repeated(keys.where("last is not null"), "closing"), "repeated_chapter_end", "Closing phrase is repeated across chapters.", **at("last")),
+        "repeated_heading_structure": tell(shaped, "repeated_heading_structure", "Heading structure is repeated across chapters.", text="t", par="p", sent="s", chapter="title"),
+        "chapter_number_gap": tell(gaps, "chapter_number_gap", gap_reason, **head),
+        "toc_title_issue": tell(listed, "toc_title_issue", "TOC title is duplicate or differs from the chapter title.", **head),
+    }
+    parts = [part for code, part in parts.items() if wanted(only, code)] + [vocabulary] * wanted(only, "low_vocabulary_diversity", "connector_density")
+    return union(parts) if parts else tables.sentences.sparkSession.createDataFrame([], FINDINGS)
 
 
 def strip(column: str):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillscan.functions.regex import SPACE, java
 from quillscan.functions.text import words
-from quillscan.operators._findings import exploded, findings, setting, union
+from quillscan.operators._findings import exploded, findings, setting, union, wanted
 from quillscan.tables import FINDINGS, Tables
 
 # Fixed values.
@@ -25,7 +25,8 @@ def measured(tables: Tables) -> DataFrame:
     return rows.withColumn("n_words", F.size("w")).withColumn("marks", marks).withColumn("is_passive", F.col("text").rlike(PASSIVE)).withColumn("nominals", F.size(F.filter("w", lambda x: x.rlike(NOMINAL))))
 
 
-def detect(tables: Tables, rules=None) -> DataFrame:
+def detect(tables: Tables, rules=None, only=None) -> DataFrame:
+    """Findings of the codes in ``only``, or of all."""
     of = lambda name, default: setting(rules, "style_patterns", name, default)
     if not of("enabled", True):
         return tables.sentences.sparkSession.createDataFrame([], FINDINGS)
@@ -34,7 +35,7 @@ def detect(tables: Tables, rules=None) -> DataFrame:
     by_sentence = exploded(rows.where("n_words > 0"), "style_patterns", [
         (n > most, "long_sentence", "low", F.concat(F.lit("Sentence has "), n.cast("string"), F.lit(f" words, above configured review threshold {most}.")), n / F.lit(float(most))),
         (F.col("marks") / F.greatest(F.length("text"), F.lit(1)) > density, "punctuation_density", "low", "Punctuation density is above the configured review threshold.", 1.0),
-    ], ACTION)
+    ], ACTION, only=only)
     chapters = rows.groupBy("book_id", "chapter_seq").agg(
         F.count(F.lit(1)).alias("sentences"), F.sum(((n > 0) & F.col("is_passive")).cast("long")).alias("passives"), F.sum("n_words").alias("words"), F.sum("nominals").alias("nominals"),
         F.min(F.struct("ord", "file", "chapter", "par", "sent", "text")).alias("f"),
@@ -45,10 +46,12 @@ def detect(tables: Tables, rules=None) -> DataFrame:
     by_chapter = exploded(chapters, "style_patterns", [
         (ratio >= passive, "passive_distribution", "low", told("passives", "sentences", " sentences match a passive-voice heuristic."), ratio),
         (share >= nominal, "nominalization_distribution", "low", told("nominals", "words", " words match nominalization endings."), share),
-    ], ACTION)
+    ], ACTION, only=only)
     lists = tables.paragraphs.where(F.regexp_count("text", F.lit(LIST_ITEM)) >= items).select("book_id", "chapter_seq", "par", "file", "chapter", "text")
     lists = first_sentence(tables, lists)
-    return union([by_sentence, by_chapter, findings(lists, "style_patterns", "list_density", "low", "Paragraph contains several list markers.", ACTION, 1.0)])
+    by_list = [findings(lists, "style_patterns", "list_density", "low", "Paragraph contains several list markers.", ACTION, 1.0)]
+    parts = [by_sentence] * wanted(only, "long_sentence", "punctuation_density") + [by_chapter] * wanted(only, "passive_distribution", "nominalization_distribution") + by_list * wanted(only, "list_density")
+    return union(parts) if parts else lists.sparkSession.createDataFrame([], FINDINGS)
 
 
 def first_sentence(tables: Tables, paragraphs: DataFrame, needed: bool = False) -> DataFrame:

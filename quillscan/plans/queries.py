@@ -13,7 +13,7 @@ from quillscan.plans import post, scoring
 from quillscan.plans.analyze import compared, search
 from quillscan.plans.rules import load_rules
 from quillscan.sources.files import read_html, resource_references, spine_chapters
-from quillscan.tables import Tables, from_texts, numbered
+from quillscan.tables import Tables, from_texts, numbered, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,11 +52,16 @@ sents AS (
 PLAIN_BASE = BASE.replace(SEED_SQL, "text")
 
 
-def seeded(spark: SparkSession, sf_dir: str, book: str = "source", seeds: bool = True) -> Tables:
-    """Documents as text files of one book for each source, with seeds or as they are."""
+def seeded(spark: SparkSession, sf_dir: str, book: str = "source", seeds: bool | str = True) -> Tables:
+    """Documents as text files of one book for each source, with the common seeds, those of an expression, or as they are."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = F.lpad(F.col("doc_id").cast("string"), 8, "0")
-    return from_texts(rows.select(F.col(book).cast("string").alias("book_id"), F.col("doc_id").alias("chapter_seq"), F.concat(name, F.lit(".txt")).alias("file"), name.alias("title"), F.expr(SEED_SQL if seeds else "text").alias("text")))
+    return from_texts(rows.select(F.col(book).cast("string").alias("book_id"), F.col("doc_id").alias("chapter_seq"), F.concat(name, F.lit(".txt")).alias("file"), name.alias("title"), F.expr(seeds if isinstance(seeds, str) else SEED_SQL if seeds else "text").alias("text")))
+
+
+def own_base(raw: str, book: str = "source") -> str:
+    """The same tables from other texts, and with another column as the book."""
+    return BASE.replace(SEED_SQL, raw).replace("source AS book_id", f"{book} AS book_id", 1)
 
 
 def query(name: str, sql: str | None = None, base: bool = True):
@@ -100,10 +105,31 @@ def _(spark, sf):
 
 @query("tokens_casefold", f"SELECT doc_id, len(w)::BIGINT AS n, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {WORDS.format(FOLD.format('raw'))} AS w FROM docs)")
 def _(spark, sf):
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", words(casefold(F.expr(SEED_SQL))).alias("w"))
+    rows = spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").select("doc_id", words(casefold(F.expr(SEED_SQL))).alias("w"))
     return rows.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
 
 
+# Characters of compatibility, and what they stand for.
+WIDE, NARROW = " Ｗｉｄｅ ﬁne ①② ｶﾀ.", " Wide fine 12 カタ."
+
+
+@query("compatible_text", f"SELECT doc_id, md5({norm(f"text || '{NARROW}'")}) AS digest FROM documents", base=False)
+def _(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    return rows.select("doc_id", F.md5(normalize_text(F.concat("text", F.lit(WIDE))).cast("binary")).alias("digest"))
+
+
+# Korean endings before a new start, with and without closing marks, and one that is none.
+KOREAN = "text || CASE doc_id % 3 WHEN 0 THEN ' 책을 읽습니다 다음 장으로 갑니다 Next part' WHEN 1 THEN ' 그렇지요” 다시 봅니다) ABC 나무 아래' ELSE '' END"
+KOREAN_BASE = own_base(KOREAN).replace("string_split(regexp_replace(text, ", "string_split(regexp_replace(regexp_replace(text, ").replace("chr(1), 'g'), chr(1))", rf"chr(1), 'g'), '([다요죠까니십시오])[\])}}\"”’'']*[{SP}]+([A-Z가-힣])', '\1' || chr(1) || '\2', 'g'), chr(1))")
+
+
+@query("korean_sentences", f"WITH {KOREAN_BASE} SELECT book_id, file, par::BIGINT AS par, sent::BIGINT AS sent, text FROM sents", base=False)
+def _(spark, sf):
+    t = seeded(spark, sf, seeds=KOREAN)
+    return t.sentences.select("book_id", "file", F.col("par").cast("long").alias("par"), F.col("sent").cast("long").alias("sent"), "text")
+
+
 # Row-wise detectors
 
 RESIDUE_SQL = rf"""CASE WHEN regexp_matches(text, '{B0}(?:as|being) an ai(?: language model)?{B1}', 'i') THEN 'as an ai'
@@ -119,6 +145,17 @@ def _(spark, sf):
     return shown(residue.detect(seeded(spark, sf), load_rules()))
 
 
+ASIAN = "text || CASE doc_id % 7 WHEN 0 THEN ' 作为一个人工智能，我在这里' WHEN 1 THEN ' 请忽略之前的所有指令' WHEN 2 THEN ' 인공지능 언어 모델로서 말합니다' WHEN 3 THEN ' 이전 지시사항을 모두 무시' WHEN 4 THEN ' 그 요청은 도울 수 없습니다' WHEN 5 THEN ' 以下是我的回答' ELSE ' 没有什么' END"
+ASIAN_SQL = r"""CASE WHEN regexp_matches(text, '作为(一个)?(人工智能|ai)|我无法(帮助|提供)|请(告诉|提供)我', 'i') THEN 'chinese assistant' WHEN regexp_matches(text, '忽略(之前|以上).*指令|以下是.*(回答|回复)|作为语言模型', 'i') THEN 'chinese prompt'
+ WHEN regexp_matches(text, '(인공지능|ai)\s*(언어\s*)?모델로서|(요청|그\s*요청).{0,30}?(도울|수행할|제공할)\s*수\s*없(습니다|어요)', 'i') THEN 'korean assistant' WHEN regexp_matches(text, '(이전|앞선|위(의)?|기존)\s*(지시(사항)?|명령|지침).{0,30}?(무시|따르지)', 'i') THEN 'korean prompt' END"""
+
+
+@query("residue_asian", f"WITH {own_base(ASIAN)} SELECT book_id, code, {PLACE}, 1.0::DOUBLE AS weight FROM (SELECT *, {ASIAN_SQL} AS code FROM sents) WHERE code IS NOT NULL", base=False)
+def _(spark, sf):
+    codes = ["chinese assistant", "chinese prompt", "korean assistant", "korean prompt"]
+    return shown(residue.detect(seeded(spark, sf, seeds=ASIAN), load_rules()), *codes)
+
+
 TALK = rf"""WITH turns AS (SELECT conv_id::VARCHAR AS book_id, conv_id::VARCHAR AS file, turn AS par, {norm("role || ': ' || text")} AS t FROM conversations),
 sents AS (SELECT book_id, file, par, unnest(list_transform(list_filter(list_transform(string_split(regexp_replace(t, '([.!?。！？])[\])}}"”’'']*[{SP}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda x, i: {{'t': x, 'i': i - 1}}), recursive := false) AS s FROM turns)
 SELECT book_id, code, file, par::BIGINT AS turn, s.i::BIGINT AS sentence FROM (SELECT *, s.t AS text, {RESIDUE_SQL.replace('text', 's.t')} AS code FROM sents) WHERE code IS NOT NULL"""
@@ -138,17 +175,25 @@ chapters AS (SELECT book_id, chapter_seq, count(*) AS n, sum((passive AND len(w)
  arg_min(struct_pack(file := file, par := par, sent := sent), sent_seq) AS f FROM measured GROUP BY 1, 2)"""
 
 
-def _style(code: str, sql: str) -> None:
+def _style(code: str, sql: str, rules: dict | None = None) -> None:
     @query(code, f", {STYLE_BASE} {sql}")
     def _(spark, sf):
-        return shown(style.detect(seeded(spark, sf)), code)
+        return shown(style.detect(seeded(spark, sf), {"style_patterns": rules or {}}, only=[code]))
 
 
 _style("long_sentence", f"SELECT book_id, 'long_sentence' AS code, {PLACE}, round(len(w) / 40.0::DOUBLE, 6) AS weight FROM measured WHERE len(w) > 40")
 _style("punctuation_density", f"SELECT book_id, 'punctuation_density' AS code, {PLACE}, 1.0::DOUBLE AS weight FROM measured WHERE len(w) > 0 AND marks::DOUBLE / greatest(length(text), 1) > 0.18")
 CHAPTER_PLACE = "f.file AS file, f.par::BIGINT AS paragraph, f.sent::BIGINT AS sentence"
-_style("passive_distribution", f"SELECT book_id, 'passive_distribution' AS code, {CHAPTER_PLACE}, round(passives::DOUBLE / n, 6) AS weight FROM chapters WHERE passives::DOUBLE / n >= 0.35")
-_style("nominalization_distribution", f"SELECT book_id, 'nominalization_distribution' AS code, {CHAPTER_PLACE}, round(nominals::DOUBLE / words, 6) AS weight FROM chapters WHERE words > 0 AND nominals::DOUBLE / words >= 0.20")
+_style("passive_distribution", f"SELECT book_id, 'passive_distribution' AS code, {CHAPTER_PLACE}, round(passives::DOUBLE / n, 6) AS weight FROM chapters WHERE passives::DOUBLE / n >= 0.05", {"passive_ratio_threshold": 0.05})
+_style("nominalization_distribution", f"SELECT book_id, 'nominalization_distribution' AS code, {CHAPTER_PLACE}, round(nominals::DOUBLE / words, 6) AS weight FROM chapters WHERE words > 0 AND nominals::DOUBLE / words >= 0.02", {"nominal_ratio_threshold": 0.02})
+LISTED = "text || CASE doc_id % 4 WHEN 0 THEN chr(10) || chr(10) || '- one item' WHEN 1 THEN chr(10) || chr(10) || '12) another' WHEN 2 THEN chr(10) || chr(10) || 'no - item' ELSE '' END"
+
+
+@query("list_density", rf"WITH {own_base(LISTED)} SELECT book_id, 'list_density' AS code, file, par::BIGINT AS paragraph, 0::BIGINT AS sentence, 1.0::DOUBLE AS weight FROM pars WHERE regexp_matches(text, '^[{SP}]*([-*•]|\p{{Nd}}+[.)])[{SP}]+')", base=False)
+def _(spark, sf):
+    return shown(style.detect(seeded(spark, sf, seeds=LISTED), {"style_patterns": {"list_item_threshold": 1}}, only=["list_density"]))
+
+
 
 URLS = r"list_transform(regexp_extract_all(text, '(?i)https?://[^\s<>\])}]*'), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))"
 DOIS = r"list_transform(regexp_extract_all(text, '(?i)(?:doi\s*:\s*|https?://(?:dx\.)?doi\.org/)([^\s<>\])}]+)', 1), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))"
@@ -176,20 +221,25 @@ def _(spark, sf):
  len(list_distinct(regexp_extract_all(lower(text), '\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|may\s+\d{{1,2}},?\s+\d{{4}}'))) AS dates FROM pars)
  SELECT book_id, code, file, par::BIGINT AS paragraph, 0::BIGINT AS sentence, 0.5::DOUBLE AS weight FROM (SELECT *, 'multiple_ages' AS code FROM v WHERE ages > 1 UNION ALL SELECT *, 'multiple_dates' FROM v WHERE dates > 1)""")
 def _(spark, sf):
-    return shown(consistency.detect(seeded(spark, sf)), "multiple_ages", "multiple_dates")
+    return shown(consistency.detect(seeded(spark, sf), only=["multiple_ages", "multiple_dates"]))
+
 
+# Word edges are marked first (1 before, 2 after), since this engine's expressions have no look-around.
+NAMED = rf"""list_transform(regexp_extract_all(regexp_replace(text, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g'), '\x01[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+\x02(?:[{SP}]+\x01[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+\x02){{1,2}}'), lambda x: replace(replace(x, chr(1), ''), chr(2), ''))"""
+COUNTED = rf"""list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_.])(\p{{Nd}})', '\1' || chr(1) || '\2', 'g'), '(?i)\x01(?:\p{{Nd}}{{1,3}}(?:,\x01?\p{{Nd}}{{3}})+|\p{{Nd}}+(?:\.\p{{Nd}}+)?)(?:[{SP}]*(?:%|percent|por ciento))?'), lambda x: replace(x, chr(1), '')))"""
 
-@query("name_variant", r""", n AS (SELECT book_id, sent_seq, file, par, sent, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:[\s]+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,2})(?:$|[^\p{L}\p{N}_])', 1)) AS name FROM sents WHERE text LIKE 'Ada Lovelace met Augusta Lovelace%'),
- f AS (SELECT book_id, name, min(struct_pack(q := sent_seq, file := file, par := par, sent := sent)) AS f FROM n GROUP BY 1, 2)
- SELECT book_id, 'name_variant' AS code, min(name) AS name FROM (SELECT book_id, unnest(['Ada Lovelace', 'Augusta Lovelace']) AS name FROM f) GROUP BY 1""")
+
+@query("name_variant", f""", n AS (SELECT book_id, sent_seq, file, par, sent, unnest({NAMED}) AS name FROM sents),
+ f AS (SELECT book_id, name, {FOLD.format("split_part(name, ' ', -1)")} AS surname, arg_min(struct_pack(file := file, par := par, sent := sent), sent_seq) AS f FROM n GROUP BY 1, 2)
+ SELECT book_id, 'name_variant' AS code, f.file AS file, f.par::BIGINT AS paragraph, f.sent::BIGINT AS sentence, 0.5::DOUBLE AS weight FROM (SELECT book_id, surname, arg_min(f, name) AS f FROM f GROUP BY 1, 2 HAVING count(*) > 1)""")
 def _(spark, sf):
-    found = consistency.names(seeded(spark, sf).sentences).where("surname = 'lovelace'").groupBy("book_id").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return found.select("book_id", F.lit("name_variant").alias("code"), "name")
+    return shown(consistency.detect(seeded(spark, sf), only=["name_variant"]))
 
 
-@query("consistency_numbers")
+@query("consistency_numbers", f""", v AS (SELECT *, {COUNTED} AS numbers FROM pars), c AS (SELECT *, len(list_filter(numbers, lambda x: regexp_matches(x, '%|percent|por ciento', 'i'))) AS percentages FROM v)
+ SELECT book_id, code, file, par::BIGINT AS paragraph, 0::BIGINT AS sentence, 0.5::DOUBLE AS weight FROM (SELECT *, 'multiple_numbers' AS code FROM c WHERE len(numbers) > 1 UNION ALL SELECT *, 'multiple_percentages' FROM c WHERE percentages > 1)""")
 def _(spark, sf):
-    return shown(consistency.detect(seeded(spark, sf)), "multiple_numbers", "multiple_percentages", "name_variant")
+    return shown(consistency.detect(seeded(spark, sf), only=["multiple_numbers", "multiple_percentages"]))
 
 
 # Repetition
@@ -257,18 +307,23 @@ def _(spark, sf):
 NUMBERED = "CASE WHEN doc_id % 3 = 0 THEN 'Chapter ' || (doc_id // 20 + 1) WHEN doc_id % 3 = 1 THEN 'Chapter Introduction' ELSE 'Part ' || doc_id END"
 
 
+# Shapes that all share but for the number, that some share, that none shares, and none.
+HEADINGS = "CASE WHEN doc_id % 10 = 0 THEN filter(array('x'), h -> h = '') WHEN doc_id % 10 = 1 THEN array(concat('Part ', translate(doc_id, '0123456789', 'abcdefghij'))) WHEN doc_id % 10 < 5 THEN array(concat('Section ', doc_id), concat('HEADING ', doc_id % 7)) ELSE array(concat('Section ', doc_id), concat('Kind ', translate(doc_id % 3, '012', 'abc'))) END"
+SHAPES = "CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 10 = 1 THEN 'only ' || doc_id WHEN doc_id % 10 < 5 THEN 'numbered' ELSE 'kind ' || doc_id % 3 END"
+
+
 def _chapters(spark, sf) -> Tables:
     rows = spark.read.parquet(f"{sf}/documents.parquet")
     t = seeded(spark, sf)
     name = F.lpad(F.col("doc_id").cast("string"), 8, "0")
     title = F.expr(NUMBERED.replace("doc_id // 20", "doc_id div 20"))
-    chapters = rows.select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_seq"), F.concat(name, F.lit(".txt")).alias("file"), title.alias("title"), F.when(F.col("doc_id") % 5 == 0, title).when(F.col("doc_id") % 5 == 1, "Contents").otherwise("").alias("toc_title"), F.array(F.concat(F.lit("Section "), F.col("doc_id").cast("string")), F.concat(F.lit("Heading "), (F.col("doc_id") % 7).cast("string"))).alias("headings"))
+    chapters = rows.select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_seq"), F.concat(name, F.lit(".txt")).alias("file"), title.alias("title"), F.when(F.col("doc_id") % 5 == 0, title).when(F.col("doc_id") % 5 == 1, "Contents").otherwise("").alias("toc_title"), F.expr(HEADINGS).alias("headings"))
     return Tables(t.books, t.metadata, chapters, t.paragraphs, t.sentences, t.resources)
 
 
 @query("editorial_remnant", rf"SELECT book_id, 'editorial_remnant' AS code, file, par::BIGINT AS paragraph, 0::BIGINT AS sentence, 1.0::DOUBLE AS weight FROM pars WHERE regexp_matches(text, '{B0}(?:todo|tbd|xxx|lorem ipsum|insert (?:text|image)|draft(?:ing)? note){B1}|待补充|占位符|草稿', 'i')")
 def _(spark, sf):
-    return shown(structure.detect(seeded(spark, sf)), "editorial_remnant")
+    return shown(structure.detect(seeded(spark, sf), only=["editorial_remnant"]))
 
 
 def _ends(code: str, pick: str, cut: str) -> None:
@@ -278,7 +333,7 @@ def _ends(code: str, pick: str, cut: str) -> None:
 
     @query(code, sql)
     def _(spark, sf):
-        return shown(structure.detect(seeded(spark, sf)), code)
+        return shown(structure.detect(seeded(spark, sf), only=[code]))
 
 
 _ends("repeated_chapter_start", "arg_min", "list_slice({}, 1, 8)")
@@ -290,33 +345,35 @@ _ends("repeated_chapter_end", "arg_max", "list_slice({}, -8, -1)")
  x AS (SELECT *, 1 + coalesce(sum((num IS NOT NULL)::INT) OVER (PARTITION BY book_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS expected FROM n)
  SELECT book_id, 'chapter_number_gap' AS code, lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS file, 0::BIGINT AS paragraph, 0::BIGINT AS sentence, 1.0::DOUBLE AS weight FROM x WHERE regexp_matches(num, '^\\d+$') AND num::BIGINT <> expected""")
 def _(spark, sf):
-    return shown(structure.detect(_chapters(spark, sf)), "chapter_number_gap")
+    return shown(structure.detect(_chapters(spark, sf), only=["chapter_number_gap"]))
 
 
 @query("toc_title_issue", f""", c AS (SELECT source AS book_id, doc_id, {NUMBERED} AS title, CASE doc_id % 5 WHEN 0 THEN {NUMBERED} WHEN 1 THEN 'Contents' ELSE '' END AS toc FROM documents),
  n AS (SELECT *, row_number() OVER (PARTITION BY book_id, lower(toc) ORDER BY doc_id) AS nth FROM c WHERE toc <> '')
  SELECT book_id, 'toc_title_issue' AS code, lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS file, 0::BIGINT AS paragraph, 0::BIGINT AS sentence, 1.0::DOUBLE AS weight FROM n WHERE nth > 1 OR lower(toc) <> lower(title)""")
 def _(spark, sf):
-    return shown(structure.detect(_chapters(spark, sf)), "toc_title_issue")
+    return shown(structure.detect(_chapters(spark, sf), only=["toc_title_issue"]))
 
 
-@query("repeated_heading_structure", "SELECT book_id, count(*) AS chapters FROM docs GROUP BY 1 HAVING count(*) > 1")
+@query("repeated_heading_structure", f""", e AS (SELECT book_id, chapter_seq, arg_min(struct_pack(par := par, sent := sent), sent_seq) AS f FROM sents GROUP BY 1, 2),
+ k AS (SELECT source AS book_id, doc_id, {SHAPES} AS shape FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY book_id, shape) AS n FROM k WHERE shape IS NOT NULL)
+ SELECT n.book_id, 'repeated_heading_structure' AS code, lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS file, coalesce(f.par, 0)::BIGINT AS paragraph, coalesce(f.sent, 0)::BIGINT AS sentence, 1.0::DOUBLE AS weight FROM n LEFT JOIN e ON e.book_id = n.book_id AND e.chapter_seq = n.doc_id WHERE n > 1""")
 def _(spark, sf):
-    return shown(structure.detect(_chapters(spark, sf)), "repeated_heading_structure").groupBy("book_id").agg(F.count(F.lit(1)).alias("chapters"))
+    return shown(structure.detect(_chapters(spark, sf), only=["repeated_heading_structure"]))
 
 
 @query("low_vocabulary_diversity", f""", w AS (SELECT doc_id::VARCHAR AS book_id, file, unnest({WORDS.format(FOLD.format(norm('raw')))}) AS word FROM docs),
  d AS (SELECT book_id, any_value(file) AS file, count(DISTINCT word)::DOUBLE / count(*) AS d FROM w GROUP BY 1)
  SELECT book_id, 'low_vocabulary_diversity' AS code, file, 0::BIGINT AS paragraph, 0::BIGINT AS sentence, round(1 - d, 6) AS weight FROM d WHERE d < 0.35""")
 def _(spark, sf):
-    return shown(structure.detect(seeded(spark, sf, "doc_id")), "low_vocabulary_diversity")
+    return shown(structure.detect(seeded(spark, sf, "doc_id"), only=["low_vocabulary_diversity"]))
 
 
 @query("connector_density", f""", w AS (SELECT book_id, file, unnest({WORDS.format(FOLD.format('text'))}) AS word FROM pars),
  d AS (SELECT book_id, min(file) AS file, sum((word IN ('however', 'therefore', 'moreover', 'furthermore', 'additionally', 'meanwhile', 'nevertheless'))::INT)::DOUBLE / count(*) AS r FROM w GROUP BY 1)
  SELECT book_id, 'connector_density' AS code, file, 0::BIGINT AS paragraph, 0::BIGINT AS sentence, round(r, 6) AS weight FROM d""")
 def _(spark, sf):
-    return shown(structure.detect(seeded(spark, sf), {"structure": {"connector_ratio_threshold": 0.0}}), "connector_density")
+    return shown(structure.detect(seeded(spark, sf), {"structure": {"connector_ratio_threshold": 0.0}}, only=["connector_density"]))
 
 
 # Images and metadata
@@ -368,6 +425,16 @@ def _(spark, sf):
     return shown(metadata.detect(_meta(spark, sf)))
 
 
+@query("metadata_missing", """SELECT doc_id::VARCHAR AS book_id, 'missing_' || field AS code, lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS file, 0::BIGINT AS paragraph, 0::BIGINT AS sentence, 0.5::DOUBLE AS weight
+ FROM documents, (SELECT unnest(['title', 'creator', 'language', 'identifier']) AS field) WHERE NOT (field = 'title' AND doc_id % 2 = 0 OR field = 'creator' AND doc_id % 3 = 0 OR field = 'language' AND doc_id % 5 > 0 OR field = 'identifier' AND doc_id % 2 = 1)""", base=False)
+def _(spark, sf):
+    t = seeded(spark, sf, "doc_id")
+    i = F.col("book_id").cast("long")
+    pairs = [("DC.Title", F.when(i % 2 == 0, "T").otherwise("  ")), ("author", F.when(i % 3 == 0, "A").otherwise("")), ("language", F.when(i % 5 > 0, "xx").otherwise("\u00a0")), ("identifier", F.when(i % 2 == 1, "urn:1"))]
+    rows = t.books.select("book_id", F.explode(F.array(*[F.struct(F.lit(n).alias("pos"), F.lit(k).alias("key"), v.alias("value")) for n, (k, v) in enumerate(pairs)])).alias("m")).select("book_id", "m.*")
+    return shown(metadata.detect(Tables(t.books, rows.where("value is not null"), t.chapters, t.paragraphs, t.sentences, t.resources)))
+
+
 # After detection
 
 SIGNALS = f""", {CITE_BASE}, raw_found AS ({CITE_SQL} UNION ALL SELECT book_id, code, {PLACE}, 1.0::DOUBLE FROM (SELECT *, {RESIDUE_SQL} AS code FROM sents) WHERE code IS NOT NULL),
@@ -436,16 +503,28 @@ def _(spark, sf):
     return shown(search(_signals(spark, sf)[1], category="citations", severity="medium", text="READERS"))
 
 
-@query("localized_findings", """SELECT book_id, '탐지 규칙: ' AS head, count(*) AS n FROM sents WHERE regexp_matches(text, '(?i)citation needed') GROUP BY 1""")
+CITE_ACTION_KO = post.ACTIONS_KO[citations.ACTION]
+
+
+@query("localized_findings", f""", {CITE_BASE}, found AS ({CITE_SQL}), p AS (SELECT f.*, left(s.text, 160) AS start FROM found f JOIN sents s ON s.book_id = f.book_id AND s.file = f.file AND s.par = f.paragraph AND s.sent = f.sentence)
+ SELECT book_id, code, file, paragraph, sentence, '{CITE_ACTION_KO}' AS review_action, md5('인용 및 출처 검토 신호입니다. 탐지 규칙: ' || code || CASE code WHEN 'source_needed_marker' THEN '; 감지된 출처 표지: source-needed marker' ELSE '' END || '; 원문 일부: ' || start || '. 원문의 수치, 값 및 출처 문맥을 확인하세요.') AS reason FROM p""")
 def _(spark, sf):
     t = seeded(spark, sf)
-    found = post.localized(citations.detect(t), post.resolve_language(t, "ko")).where("code = 'source_needed_marker'")
-    return found.groupBy("book_id").agg(F.regexp_extract(F.min("reason"), r"입니다\. (탐지 규칙: )", 1).alias("head"), F.count(F.lit(1)).alias("n"))
+    found = post.localized(citations.detect(t), post.resolve_language(t, "ko"))
+    return found.select("book_id", "code", "file", F.col("paragraph").cast("long").alias("paragraph"), F.col("sentence").cast("long").alias("sentence"), "review_action", F.md5(F.col("reason").cast("binary")).alias("reason"))
+
+
+# Declared languages of three kinds; Hangul at the start, at the end (which counts only early enough), or nowhere.
+SPOKEN = "CASE doc_id % 4 WHEN 0 THEN '한국. ' || text WHEN 1 THEN text || ' 끝 한국어' ELSE text END"
 
 
-@query("language_resolution", "SELECT DISTINCT book_id, 'en' AS language FROM docs")
+@query("language_resolution", f"""WITH {own_base(SPOKEN, "doc_id::VARCHAR")}, t AS (SELECT book_id, string_agg(text, ' ' ORDER BY sent_seq) AS t FROM sents GROUP BY 1)
+ SELECT docs.book_id, CASE WHEN doc_id % 6 = 0 OR doc_id % 6 <> 1 AND regexp_matches(left(coalesce(t, ''), 10000), '[가-힣]') THEN 'ko' ELSE 'en' END AS language FROM docs LEFT JOIN t USING (book_id)""", base=False)
 def _(spark, sf):
-    return post.resolve_language(seeded(spark, sf))
+    t = seeded(spark, sf, "doc_id", seeds=SPOKEN)
+    i = F.col("book_id").cast("long") % 6
+    declared = t.books.select("book_id", F.lit(0).alias("pos"), F.lit("language").alias("key"), F.when(i == 0, "KO_kr").when(i == 1, "EN-gb").when(i == 2, "fr").alias("value")).where("value is not null")
+    return post.resolve_language(Tables(t.books, declared, t.chapters, t.paragraphs, t.sentences, t.resources))
 
 
 @query("link_candidates", r""", u AS (SELECT book_id, sent_seq, file, unnest(list_transform(regexp_extract_all(text, '(?i)https?://[^\s<>\])}]+'), lambda x, i: {'x': x, 'i': i})) AS u FROM sents),
@@ -490,6 +569,6 @@ def _(spark, sf):
 @query("long_sentence_risk", f", {STYLE_BASE}, t AS (SELECT book_id, sum(CASE WHEN len(w) > 40 THEN len(w) / 40.0::DOUBLE ELSE 0 END) AS s FROM measured GROUP BY 1) SELECT book_id, round(least(100.0::DOUBLE, s * 10) * 0.10, 6) AS overall_score FROM t")
 def _(spark, sf):
     t = seeded(spark, sf)
-    found = post.identified(post.deduplicated(style.detect(t).where("code = 'long_sentence'")))
+    found = post.identified(post.deduplicated(style.detect(t, only=["long_sentence"])))
     scores = scoring.category_scores(found, t.books, load_rules())
     return scores.groupBy("book_id").agg(F.round(scoring.total_score(load_rules()), 6).alias("overall_score"))

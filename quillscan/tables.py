@@ -66,9 +66,16 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` over all cores where they come in fewer parts than there are cores, as from a small file of one row group."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def from_texts(rows: DataFrame, nfkc: bool = True) -> Tables:
     """Books from (book_id, chapter_seq, file, title, text) rows, one plain-text chapter each."""
     spark = rows.sparkSession
+    rows = spread(rows, "book_id", "chapter_seq")
     chapters = rows.select("book_id", F.col("chapter_seq").cast("long").alias("chapter_seq"), "file", "title", F.lit("").alias("toc_title"), F.array().cast("array<string>").alias("headings"))
     paragraphs = rows.select("book_id", F.col("chapter_seq").cast("long").alias("chapter_seq"), "file", F.col("title").alias("chapter"), F.posexplode(split_paragraphs(F.coalesce(F.col("text"), F.lit("")), nfkc)).alias("par", "text"))
     books = rows.groupBy("book_id").agg(F.min_by("file", "chapter_seq").alias("source_path")).withColumn("sha256", F.lit(""))

@@ -10,7 +10,8 @@ import pytest
 from quillscan.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["sentences", "residue_findings", "citation_signals", "repeated_ngrams", "similar_sentence", "overall_risk", "image_findings", "metadata_findings", "link_candidates"]
+CHOSEN = ["sentences", "residue_findings", "citation_signals", "repeated_ngrams", "similar_sentence", "overall_risk", "image_findings", "metadata_findings", "link_candidates",
+    "compatible_text", "korean_sentences", "residue_asian", "passive_distribution", "list_density", "name_variant", "consistency_numbers", "repeated_heading_structure", "metadata_missing", "localized_findings", "language_resolution"]
 
 
 def plain(v):
