@@ -6,9 +6,10 @@ bigrams. A bucket's reducer therefore holds the corpus-wide counts of its n-gram
 contribute to each document's unigram score, and keeps the n-grams frequent enough for the model.
 
 The filter stores an n-gram of count c under the levels 1 .. 1 + floor(log_b(c / c_min)); a count is read back by
-probing level after level until one is absent. Kept are the n-grams with a count of ``max(2, EPSILON * N)`` or more,
-so their number, and the broadcast, have a bound (2 / EPSILON n-grams, ``MOST_BYTES`` in any case) at every corpus
-size. Each bucket fills a segment of its own.
+probing level after level until one is absent. Kept are all n-grams that occur ``LEAST`` times or more, at every corpus
+size, in a segment of its own for each bucket, so the filter grows with the corpus. Its size is checked: within
+``BROADCAST`` bytes it is broadcast to the workers; beyond, the texts' distinct n-grams are shuffled to the segments of
+their buckets and the counts read there go back to the texts. Both ways probe the same bits and give the same scores.
 
 p(w | v) = L min(1, c(vw) / c(v)) + (1 - L) p(w); p(w) is c(w) / N for kept words, and the rest of the mass is shared
 equally by the words that are not kept and one for all unseen. Words are told apart by 64-bit hashes, bigrams by 40
@@ -19,13 +20,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscan.llm._bytes import flat, lean, lean_groups, mix, pieces, prefix, span, words
-from quillscan.llm._store import crc_part, documents, partitions, written
+from quillscan.llm._store import crc_part, documents, written
 
-EPSILON, LEVEL_BASE, PROBES, BITS, MOST_BYTES, BIGRAM_SHARE = 2e-8, 1.5, 7, 10, 128 << 20, 0.15
+LEAST, LEVEL_BASE, PROBES, BITS, BIGRAM_SHARE = 2, 1.5, 7, 10, 0.15
+#: Most bytes of a filter that is broadcast, and bytes of text for each bucket of words (there are four times as many of bigrams).
+BROADCAST, BUCKET_TEXT = 128 << 20, 32 << 20
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _PAIR, _GOLD = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,7 +111,7 @@ def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.nd
 
 
 def _reduced(doc_bits: int, word_bits: int):
-    """Bucket side: statistics, kept n-grams (count 2 or more), and each document's part of the unigram score."""
+    """Bucket side: statistics, kept n-grams (count ``LEAST`` or more), and each document's part of the unigram score."""
     pack = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
 
     def run(table: pa.Table) -> pa.Table:
@@ -116,7 +120,7 @@ def _reduced(doc_bits: int, word_bits: int):
         if kind == 1:
             once, more = ([_unfive(x.as_buffer()) for x in table.column(c)] for c in ("hashes", "held"))
             h, c = _summed(once + more, [np.ones(len(x), np.uint32) for x in once] + take("counts", "<u4"))
-            return pa.Table.from_arrays([pa.array(x) for x in zip(("pair", bucket, 0, 0, pack(h[c > 1], "<u8"), pack(c[c > 1], "<i8"), b"", b""))], names=schema.names).cast(schema)
+            return pa.Table.from_arrays([pa.array(x) for x in zip(("pair", bucket, 0, 0, pack(h[c >= LEAST], "<u8"), pack(c[c >= LEAST], "<i8"), b"", b""))], names=schema.names).cast(schema)
         hashes, counts = take("hashes", "<u8"), take("counts", "<u4")
         uniq, count = _summed(hashes, counts)
         value, seen = np.log10(count + 0.1), count > 0
@@ -130,7 +134,7 @@ def _reduced(doc_bits: int, word_bits: int):
             parts.append((names, *sums))
         key, gain, known, whole = map(np.concatenate, zip(*parts))
         short = _unfive(_five(uniq, word_bits))
-        out = [("stat", bucket, int(count.sum()), int(seen.sum()), b"", b"", b"", b""), ("word", bucket, 0, 0, pack(short[count > 1], "<u8"), pack(count[count > 1], "<i8"), b"", b"")]
+        out = [("stat", bucket, int(count.sum()), int(seen.sum()), b"", b"", b"", b""), ("word", bucket, 0, 0, pack(short[count >= LEAST], "<u8"), pack(count[count >= LEAST], "<i8"), b"", b"")]
         part = (key.astype(np.uint64) * _GOLD >> np.uint64(64 - doc_bits)).astype(int)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange((1 << doc_bits) + 1))
@@ -159,11 +163,11 @@ def _slots(h: np.ndarray, level: int, bits: int):
         x = x + step
 
 
-def segment(h: np.ndarray, c: np.ndarray, least: int, most_bytes: int) -> bytes:
-    """Bloom filter of one bucket's n-grams with ``least`` occurrences or more."""
-    h, c = h[c >= least], c[c >= least]
-    top = 1 + np.floor(np.log(c / least) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
-    bits = min(max(64, BITS * int(top.sum())), 8 * most_bytes) // 8 * 8
+def segment(h: np.ndarray, c: np.ndarray) -> bytes:
+    """Bloom filter of one bucket's n-grams with ``LEAST`` occurrences or more."""
+    h, c = h[c >= LEAST], c[c >= LEAST]
+    top = 1 + np.floor(np.log(c / LEAST) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
+    bits = max(64, BITS * int(top.sum())) // 8 * 8
     on = np.zeros(bits, bool)
     level = 1
     while len(h):
@@ -176,24 +180,26 @@ def segment(h: np.ndarray, c: np.ndarray, least: int, most_bytes: int) -> bytes:
 class Filter:
     """A filter as workers see it: the segments of all buckets in one array, with where each starts."""
 
-    def __init__(self, segments: list[bytes], least: int):
-        self.data, self.least = b"".join(segments), least
+    def __init__(self, segments: list[bytes]):
+        self.data = b"".join(segments)
         self.sizes = np.array([len(s) for s in segments], np.int64)
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Stored counts of hashed n-grams (middle of the level's range), 0 for those not stored."""
         bits = int(len(self.sizes) - 1).bit_length()
-        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-        name = (h << np.uint64(bits)) >> np.uint64(24)
+        return self.counts_in((h >> np.uint64(64 - bits)).astype(np.int64), (h << np.uint64(bits)) >> np.uint64(24))
+
+    def counts_in(self, bucket: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """The same for the 40-bit names of n-grams within their buckets."""
         start = 8 * (np.cumsum(self.sizes) - self.sizes)[bucket]
         size = (8 * self.sizes)[bucket].astype(np.uint64)
-        out = np.zeros(len(h), np.int64)
-        live, level = np.arange(len(h)), 1
+        out = np.zeros(len(name), np.int64)
+        live, level = np.arange(len(name)), 1
         while len(live):
             live = self._present(name[live], start[live], size[live], live, level)
             out[live] = level
             level += 1
-        return np.where(out > 0, self.least * LEVEL_BASE ** (out - 0.5), 0.0)
+        return np.where(out > 0, LEAST * LEVEL_BASE ** (out - 0.5), 0.0)
 
     def _present(self, name, start, size, live, level) -> np.ndarray:
         """Those of ``live`` whose (n-gram, level) is in the filter."""
@@ -207,8 +213,18 @@ class Filter:
         return live
 
 
+class Read:
+    """Counts already read from a filter, in the ascending order of the n-grams' hashes."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        return self.values
+
+
 class Model:
-    """Smoothed bigram probabilities over the two filters."""
+    """Smoothed bigram probabilities over the counts of words and of bigrams."""
 
     def __init__(self, words: Filter, pairs: Filter, tokens: int, rare_mass: float, rare_types: int):
         self.words, self.pairs, self.tokens = words, pairs, tokens
@@ -231,7 +247,63 @@ class Model:
         return np.bincount(row, weights=np.log10(BIGRAM_SHARE * share + (1 - BIGRAM_SHARE) * p1[code]), minlength=n)
 
 
-def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", epsilon: float = EPSILON, most_bytes: int = MOST_BYTES) -> DataFrame:
+def _asked(word_bits: int, pair_bits: int):
+    """Task side of a filter that is not broadcast: a piece's distinct n-grams, by bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                piece, texts = batch.column(0)[k].as_py(), batch.column(1)[k].values
+                row, h = token_hashes(*flat(texts))
+                out = []
+                for kind, grams, bits in (("word", np.unique(h), word_bits), ("pair", np.unique(bigrams(row, h)[0]), pair_bits)):
+                    cut = np.r_[0, np.searchsorted(grams, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(grams)]
+                    out += [(piece, kind, j, _five(grams[cut[j] : cut[j + 1]], bits)) for j in np.flatnonzero(np.diff(cut)).tolist()]
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], names=["piece", "kind", "place", "names"])
+
+    return run
+
+
+def _probed(asked: pa.Table, segments: pa.Table) -> pa.Table:
+    """Bucket side: the counts of the n-grams that each piece asks for."""
+    names = [_unfive(x) for x in asked.column("names").to_pylist()]
+    filter_ = Filter(segments.column("data").to_pylist() or [segment(np.zeros(0, "<u8"), np.zeros(0, "<i8"))])
+    ends = np.cumsum([len(n) for n in names])
+    flat_ = np.concatenate(names) if names else np.zeros(0, "<u8")
+    read = filter_.counts_in(np.zeros(len(flat_), np.int64), flat_).astype("<f8")
+    values = [x.tobytes() for x in np.split(read, ends[:-1])] if names else []
+    return pa.table([asked.column("piece"), asked.column("kind"), asked.column("place"), pa.array(values, pa.binary())], names=["piece", "kind", "place", "counts"])
+
+
+def _judged_apart(rows: DataFrame, filled: DataFrame, model: tuple, word_bits: int, pair_bits: int) -> DataFrame:
+    """Scores with the filter left where it is: n-grams go to its segments and counts come back."""
+
+    def cut(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            offsets = flat(batch.column(1))[1]
+            for a, b in pieces(offsets, 2_500_000):
+                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(c).slice(a, b - a)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 36) + n]), *lists], names=["piece", "keys", "texts", "ids"])
+                n += 1
+
+    kind = rows.schema["id"].dataType.simpleString()
+    cuts = written(rows.select("key", "text", "id").mapInArrow(lean(cut), f"piece long, keys array<long>, texts array<string>, ids array<{kind}>"), "lm-pieces")
+    asked = cuts.select("piece", "texts").mapInArrow(lean(_asked(word_bits, pair_bits)), "piece long, kind string, place int, names binary")
+    read = asked.groupBy("kind", "place").cogroup(filled.select("kind", "place", "data").groupBy("kind", "place")).applyInArrow(_probed, "piece long, kind string, place int, counts binary")
+
+    def judge(piece: pa.Table, counts: pa.Table) -> pa.Table:
+        counts = counts.sort_by([("kind", "ascending"), ("place", "ascending")])
+        of = lambda kind: Read(np.concatenate([np.frombuffer(x, "<f8") for k, x in zip(counts.column("kind").to_pylist(), counts.column("counts").to_pylist()) if k == kind]))
+        keys, texts, ids = (piece.column(c).combine_chunks().values for c in ("keys", "texts", "ids"))
+        row, h = token_hashes(*flat(texts))
+        return pa.table({"key": keys, "doc_id": ids, "n_tokens": pa.array(np.bincount(row, minlength=len(keys))), "score": pa.array(Model(of("word"), of("pair"), *model).score(row, h, len(keys)))})
+
+    return cuts.groupBy("piece").cogroup(read.groupBy("piece")).applyInArrow(judge, f"key long, doc_id {kind}, n_tokens long, score double")
+
+
+def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; ``train`` is the Column of rows to learn from.
 
     Null text is empty, its only token being the end. Rows that repeat id and text count each on their own and get
@@ -241,37 +313,40 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"), F.col(f"`{id_col}`").alias("id"))
-    word_bits, pair_bits = (max(3, int(np.ceil(np.log2(partitions(spark) * k)))) for k in (0.5, 2))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    word_bits = max(3, int(np.ceil(np.log2(max(size, 1) / BUCKET_TEXT))))
+    pair_bits = word_bits + 2
     ask, ask_schema = _requests(word_bits, pair_bits)
     answer, answer_schema = _reduced(word_bits, word_bits)
     packed = written(rows.select("key", "train", "text").mapInArrow(lean(ask), ask_schema).groupBy("kind", "bucket").applyInArrow(lean_groups(answer), answer_schema), "lm-counts")
-    tokens, types = packed.where("kind = 'stat'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    least = max(2, int(np.ceil(epsilon * tokens)))
 
     def fill(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 h, c = np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<i8")
-                kept, bits = c[c >= least], word_bits if r["kind"] == "word" else pair_bits
-                data = segment(h, c, least, most_bytes // 2 >> bits)
-                yield pa.RecordBatch.from_pydict({"kind": [r["kind"]], "place": pa.array([r["place"]], pa.int32()), "data": pa.array([data], pa.binary()), "mass": [int(kept.sum())], "kept": [len(kept)]})
+                yield pa.RecordBatch.from_pydict({"kind": [r["kind"]], "place": pa.array([r["place"]], pa.int32()), "data": pa.array([segment(h, c)], pa.binary()), "mass": [int(c.sum())], "kept": [len(c)]})
 
     grams = packed.where("kind in ('word', 'pair')").select("kind", "place", "a", "b")
-    filled = {(r["kind"], r["place"]): r for r in grams.mapInArrow(lean(fill), "kind string, place int, data binary, mass long, kept long").collect()}
-    empty = segment(np.zeros(0, "<u8"), np.zeros(0, "<i8"), 1, 8)
-    one = lambda kind, bits: Filter([bytes(filled[kind, k]["data"]) if (kind, k) in filled else empty for k in range(1 << bits)], least)
-    words_kept = [r for (kind, _), r in filled.items() if kind == "word"]
-    model = Model(one("word", word_bits), one("pair", pair_bits), tokens, tokens - sum(r["mass"] for r in words_kept), types - sum(r["kept"] for r in words_kept))
-    shared = spark.sparkContext.broadcast(model)
-
-    def judge(batches):
-        for batch in batches:
-            raw, offsets = flat(batch.column(1))
-            for a, b in pieces(offsets):
-                row, h = token_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.bincount(row, minlength=b - a)), pa.array(shared.value.score(row, h, b - a))], names=["key", "doc_id", "n_tokens", "score"])
-
-    judged = rows.select("key", "text", "id").mapInArrow(lean(judge), f"key long, doc_id {rows.schema['id'].dataType.simpleString()}, n_tokens long, score double")
+    filled = written(grams.mapInArrow(lean(fill), "kind string, place int, data binary, mass long, kept long"), "lm-filter")
+    sums = lambda of, *names: of.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names]).first()
+    (tokens, types), (bytes_,), (mass, kept) = sums(packed.where("kind = 'stat'"), "n", "v"), sums(filled, F.length("data")), sums(filled.where("kind = 'word'"), "mass", "kept")
+    rare = tokens, tokens - mass, types - kept
+    if bytes_ <= broadcast_bytes:
+        found = {(r["kind"], r["place"]): bytes(r["data"]) for r in filled.select("kind", "place", "data").collect()}
+        empty = segment(np.zeros(0, "<u8"), np.zeros(0, "<i8"))
+        shared = spark.sparkContext.broadcast(Model(*(Filter([found.get((kind, k), empty) for k in range(1 << bits)]) for kind, bits in (("word", word_bits), ("pair", pair_bits))), *rare))
+        del found
+
+        def judge(batches):
+            for batch in batches:
+                raw, offsets = flat(batch.column(1))
+                for a, b in pieces(offsets, 1_500_000):
+                    row, h = token_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.bincount(row, minlength=b - a)), pa.array(shared.value.score(row, h, b - a))], names=["key", "doc_id", "n_tokens", "score"])
+
+        judged = rows.select("key", "text", "id").mapInArrow(lean(judge), f"key long, doc_id {rows.schema['id'].dataType.simpleString()}, n_tokens long, score double")
+    else:
+        judged = _judged_apart(rows, filled, rare, word_bits, pair_bits)
     base = packed.where("kind = 'part'").groupBy("place").applyInArrow(lean_groups(_documents_parts), "key long, gain double, n_known long")
     floor = float(np.log10(tokens + 0.1 * (types + 1)))
     return judged.join(base, "key").select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * floor).alias("base_score"), "score")

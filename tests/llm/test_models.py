@@ -138,17 +138,48 @@ def test_language_model(odd, none):
     assert {r.train_tokens for r in got} == {n} and len(got) == len(rows)
     key = lambda x: (x[0], x[1], round(x[2], 6))
     assert sorted(key((r.n_tokens, r.n_known, r.base_score)) for r in got) == sorted(map(key, want))
-    assert all(r.score < 0 for r in got) and bloom_lm.scores(none, F.lit(True)).count() == 0
+    assert all(r.score < 0 for r in got) and bloom_lm.scores(none, F.lit(True)).count() == bloom_lm.scores(none, F.lit(True), broadcast_bytes=-1).count() == 0
+    key = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in rows)
+    assert key(got) == key(bloom_lm.scores(odd, F.col("doc_id") % 3 != 0, broadcast_bytes=0).collect())
     untrained = bloom_lm.scores(odd, F.lit(False)).collect()
     assert len(untrained) == len(rows) and {r.train_tokens for r in untrained} == {0}
 
 
+def brute_scores(rows, learn):
+    """The model over dictionaries of exact counts, quantised as the filter does it."""
+    token = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [None]
+    pairs = lambda w: list(zip(["<start>", *w], w))
+    known = [token(t) for d, t in rows if learn(d)]
+    c1, c2 = Counter(x for w in known for x in w), Counter(x for w in known for x in pairs(w))
+    n, often = sum(c1.values()), [c for c in c1.values() if c > 1]
+    read = lambda c: 2 * 1.5 ** (math.floor(math.log(c / 2, 1.5) + 1e-9) + 0.5) if c > 1 else 0.0
+    rare = max(n - sum(often), 0.5) / n / (len(c1) - len(often) + 1)
+    out = []
+    for _, t in rows:
+        total = 0.0
+        for before, x in pairs(token(t)):
+            p, both, context = read(c1[x]), read(c2[before, x]), read(c1[None if before == "<start>" else before])
+            total += math.log10(0.15 * min(1, both / max(context, both, 1)) + 0.85 * (min(p / n, 0.999) if p else rare))
+        out.append(total)
+    return out
+
+
+def test_scores_against_exact_counts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, 300), 5000))) for i in range(60)] + [(60, None), (61, "one"), (62, "One one")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, apart = (sorted(bloom_lm.scores(table, F.col("doc_id") % 10 != 0, broadcast_bytes=most).collect()) for most in (bloom_lm.BROADCAST, 0))
+    assert one == apart
+    off = [abs(r.score - want) / r.n_tokens for r, want in zip(one, brute_scores(rows, lambda d: d % 10 != 0), strict=True)]
+    assert np.median(off) < 0.01 and max(off) < 0.1
+
+
 def test_filter_counts():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
     c = np.maximum(2, (rng.pareto(1, 3000) * 3).astype(np.int64))
     part, names = (h >> np.uint64(61)).astype(int), (h << np.uint64(3)) >> np.uint64(24)
-    filter_ = bloom_lm.Filter([bloom_lm.segment(names[part == k], c[part == k], 2, 1 << 20) for k in range(8)], 2)
+    filter_ = bloom_lm.Filter([bloom_lm.segment(names[part == k], c[part == k]) for k in range(8)])
     got = filter_.counts(h)
     assert (got > 0).all() and np.median(np.abs(np.log(got / c))) < 0.25
     assert (filter_.counts(rng.integers(0, 2**63, 3000, dtype=np.uint64)) > 0).mean() < 0.05
