@@ -12,7 +12,7 @@ from quillscan.operators import citations, consistency, images, links, metadata,
 from quillscan.plans import post, scoring
 from quillscan.plans.analyze import compared, search
 from quillscan.plans.rules import load_rules
-from quillscan.sources.files import read_html, resource_references, spine_chapters
+from quillscan.sources.files import resource_references, spine_chapters
 from quillscan.tables import Tables, from_texts, numbered, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -560,12 +560,6 @@ def _(spark, sf):
     return resource_references(resources, manifest, spine, refs).select("book_id", "path", "referenced", "alt_text")
 
 
-@query("html_extract")
-def _(spark, sf):
-    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", read_html(F.col("html").cast("binary"), F.lit("page.html")).alias("h"))
-    return rows.select("page_id", F.size("h.headings").alias("headings"), F.size("h.paragraphs").alias("paragraphs"), F.length(F.array_join("h.paragraphs", " ")).alias("characters"), F.size("h.metadata").alias("metadata"))
-
-
 @query("long_sentence_risk", f", {STYLE_BASE}, t AS (SELECT book_id, sum(CASE WHEN len(w) > 40 THEN len(w) / 40.0::DOUBLE ELSE 0 END) AS s FROM measured GROUP BY 1) SELECT book_id, round(least(100.0::DOUBLE, s * 10) * 0.10, 6) AS overall_score FROM t")
 def _(spark, sf):
     t = seeded(spark, sf)
