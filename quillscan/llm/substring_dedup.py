@@ -10,8 +10,8 @@ twice in one, go on, dealt by name into blocks.
 *Search.* In a block, contexts are cut into phrases where a hash of the ``CUT`` bytes before is a multiple of
 ``PHRASE``, so equal passages get equal phrases. A suffix array over the phrases, by linear grouping construction,
 brings suffixes with the same passage together; runs of neighbours that share the whole phrases within ``SHARED`` bytes,
-those of equal phrases taken together, are the candidates, and windows are compared within them exactly, by their
-hashes. Windows with too few phrase ends for that, or no whole phrase there, are compared directly.
+those of equal phrases taken together, are the candidates, and windows are compared within them by 64-bit
+hashes of all their bytes. Windows with too few phrase ends for that, or no whole phrase there, are compared directly.
 
 *Hot names.* Of a name with more than ``HOT`` different contexts the windows are dealt by their own hash instead, in
 packed arrays, so no name's contexts have to meet in one task.
@@ -140,25 +140,26 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     judged row by row like any others; an empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("rid"), text.alias("text"))
+    # two hashes of id and text tell rows apart: one of 64 bits would meet by chance among some 10^10 rows
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("rid"), F.xxhash64(F.lit(1), F.col(f"`{id_col}`"), text).alias("twin"), text.alias("text"))
 
     def cut(batches):
         for batch in batches:
-            raw, offsets = flat(batch.column(1))
-            rid = batch.column(0).to_numpy()
+            raw, offsets = flat(batch.column(2))
+            rid, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in pieces(offsets, most_rows=50_000):
                 row, first, windows, name, whole, again = contexts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(rid[a:b][row]), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(again)], names=["name", "whole", "rid", "first", "windows", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(rid[a:b][row]), pa.array(twin[a:b][row]), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(again)], names=["name", "whole", "rid", "twin", "first", "windows", "again"])
 
-    seen = written(rows.select("rid", "text").mapInArrow(lean(cut), "name long, whole long, rid long, first int, windows int, again boolean"), "repeat-contexts")
-    distinct = seen.groupBy("name", "whole", "windows").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "first")).alias("at"), F.max("again").alias("again"))
+    seen = written(rows.select("rid", "twin", "text").mapInArrow(lean(cut), "name long, whole long, rid long, twin long, first int, windows int, again boolean"), "repeat-contexts")
+    distinct = seen.groupBy("name", "whole", "windows").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "twin", "first")).alias("at"), F.max("again").alias("again"))
     names = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("n"), F.max("again").alias("again")).where("contexts > 1 or n > 1 or again")
     distinct = written(distinct.drop("again").join(names.select("name", "contexts", F.col("again").alias("within")), "name"), "repeat-distinct")
     resolved = distinct.where("n > 1").select("name", "whole", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).cast(_RANGES).alias("found"))
     open_ = distinct.where("contexts > 1 or within")
     total = open_.agg(F.coalesce(F.sum(F.col("windows") + length), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    wanted = open_.select(F.col("at.rid").alias("rid"), F.struct("name", "whole", F.col("at.first").alias("first"), "windows", (F.col("contexts") > hot).alias("hot")).alias("c")).groupBy("rid").agg(F.collect_list("c").alias("cs"))
+    wanted = open_.select("at.rid", "at.twin", F.struct("name", "whole", F.col("at.first").alias("first"), "windows", (F.col("contexts") > hot).alias("hot")).alias("c")).groupBy("rid", "twin").agg(F.collect_list("c").alias("cs"))
 
     def fetch(batches):
         for batch in batches:
@@ -168,7 +169,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 out += [(c["name"], c["whole"], c["hot"], data[c["first"] : c["first"] + c["windows"] - 1 + length]) for c in cs]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["name", "whole", "hot", "data"])
 
-    one = rows.select("rid", "text").join(wanted, "rid")
+    one = rows.select("rid", "twin", "text").join(wanted, ["rid", "twin"])
     fetched = written(one.select("text", "cs").mapInArrow(lean(fetch), "name long, whole long, hot boolean, data binary"), "repeat-bytes")
 
     def search(table: pa.Table) -> pa.Table:
@@ -208,8 +209,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     repeats = written(resolved.unionByName(searched).unionByName(met).groupBy("name", "whole").agg(F.flatten(F.collect_list("found")).alias("found")), "repeat-found")
     where = (
         seen.join(repeats, ["name", "whole"])
-        .select("rid", F.transform("found", lambda x: F.struct((F.col("first") + x["a"]).cast("int").alias("a"), (F.col("first") + x["b"] - 1 + length).cast("int").alias("b"))).alias("found"))
-        .groupBy("rid")
+        .select("rid", "twin", F.transform("found", lambda x: F.struct((F.col("first") + x["a"]).cast("int").alias("a"), (F.col("first") + x["b"] - 1 + length).cast("int").alias("b"))).alias("found"))
+        .groupBy("rid", "twin")
         .agg(F.flatten(F.collect_list("found")).alias("found"))
     )
 
@@ -231,7 +232,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 kept.append(data[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    marked = rows.join(where, "rid", "left").select("id", "text", "found")
+    marked = rows.join(where, ["rid", "twin"], "left").select("id", "text", "found")
     return marked.mapInArrow(lean(remove), f"doc_id {rows.schema['id'].dataType.simpleString()}, n_bytes long, spans {_RANGES}, kept binary")
 
 
