@@ -1,6 +1,6 @@
 """Operators for preparing training corpora. Nothing else in the library imports this subpackage."""
 
-from quillscan.llm import bloom_lm, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, substring_dedup, token_blocks, toxicity
+from quillscan.llm import bloom_lm, conversation_trie, decontamination, exact_dedup, fingerprints, language_id, lexical_index, mixing, near_dedup, packing, substring_dedup, token_blocks, toxicity
 
 QUERIES = {
     "op1_token_blocks": token_blocks.query,
@@ -13,9 +13,15 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_pack_sequences": packing.query,
     "op10_language": language_id.query,
+    "op11_lexical_search": lexical_index.query,
+    "op12_conversation_trie": conversation_trie.query,
+    "op13_decontaminate": decontamination.query,
 }
 
 ORACLE_SQL = {
     "op5_mix_sources": mixing.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_lexical_search": lexical_index.ORACLE,
+    "op12_conversation_trie": conversation_trie.ORACLE,
+    "op13_decontaminate": decontamination.ORACLE,
 }
