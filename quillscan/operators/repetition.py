@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 
 from quillscan.functions.text import casefold, percent, words
 from quillscan.operators._findings import findings, setting, union
+from quillscan.operators.repeats import maximal_repeats
+from quillscan.operators.similarity import ordered_sets, similar_pairs
+from quillscan.shared import settled
 from quillscan.tables import FINDINGS, Tables, reading_order
 
 ACTION = "Compare the occurrences and retain, vary, or remove intentional repetition."
 
 
-def _budget(rules, name: str, default: int) -> int:
-    value = int(setting(rules, "repetition", name, default))
+def _budget(rules, name: str, default: int) -> int | None:
+    """A budget of comparisons or occurrences; None where the rules set it to null, for no budget."""
+    value = setting(rules, "repetition", name, default)
+    if value is None:
+        return None
+    value = int(value)
     if value < 0:
         raise ValueError(f"{name} must be zero or greater")
     return value
@@ -32,8 +39,14 @@ def eligible(tables: Tables, minimum: int) -> tuple[DataFrame, DataFrame]:
 
 
 def exact(rows: DataFrame, label: str) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("book_id", "norm").orderBy("ord"))
-    again = rows.withColumn("nth", first).where("nth > 1")
+    """Every occurrence of a normal form but its first.
+
+    Forms are counted by two hashes, and only repeated ones are joined back, so no text is sorted and most of it never moves.
+    """
+    key = ["book_id", "x", "y"]
+    rows = rows.withColumns({"x": F.xxhash64("norm"), "y": F.xxhash64("norm", F.lit(1))})
+    forms = rows.groupBy(*key).agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = rows.drop("norm", "w").join(forms, key).where(F.col("ord") != F.col("first"))
     return findings(again, "repetition", f"exact_{label}", "medium", f"Exact repeated {label}; first occurrence is elsewhere in the book.", ACTION, 1.0)
 
 
@@ -60,6 +73,33 @@ def similar(rows: DataFrame, label: str, threshold: float, budget: int) -> tuple
     return findings(pairs, "repetition", f"similar_{label}", "medium", reason, ACTION, F.col("dice")), capped
 
 
+def similar_all(rows: DataFrame, label: str, threshold: float) -> DataFrame:
+    """Similar pairs of a book's unique normal forms, all of them; ``threshold`` must be above 0."""
+    forms = rows.groupBy("book_id", "norm").agg(F.min(F.struct("ord", "file", "chapter", "par", "sent", "text", "w")).alias("f")).select("book_id", "f.*")
+    forms = settled(forms.withColumn("size", F.size("w")), f"forms-{label}")
+    pairs = similar_pairs(ordered_sets(forms, "book_id", "ord", "w"), threshold)
+    left = forms.select(F.col("book_id").alias("book"), F.col("ord").alias("i"), F.col("size").alias("left_size"))
+    right = forms.drop("w").withColumnsRenamed({"book_id": "book", "ord": "j", "size": "right_size"})
+    near = F.abs(F.col("left_size") - F.col("right_size")) <= F.greatest(F.lit(2), F.floor(F.col("left_size") / 3))
+    told = pairs.join(left, ["book", "i"]).join(right, ["book", "j"]).where(near).withColumnRenamed("book", "book_id")
+    reason = F.concat(F.lit(f"Similar {label} wording ("), percent(F.col("dice")), F.lit(" shared vocabulary)."))
+    return findings(told, "repetition", f"similar_{label}", "medium", reason, ACTION, F.col("dice"))
+
+
+def phrases_all(rows: DataFrame, low: int) -> DataFrame:
+    """Maximal repeats in more than one sentence, at their last occurrence; of those that begin and end in the same two sentences the longest."""
+    repeats = maximal_repeats(rows, low).where("first.ord <> last.ord")
+    best = F.max_by(F.struct("width", "phrase"), F.struct("width", (-F.col("first.pos")).alias("early"), "phrase")).alias("p")
+    told = repeats.groupBy("book_id", F.col("first.ord").alias("first"), F.col("last.ord").alias("ord")).agg(best).select("book_id", "ord", "p.*")
+    told = told.join(rows.select("book_id", "ord", "file", "chapter", "par", "sent", "text"), ["book_id", "ord"])
+    return findings(told, "repetition", F.concat(F.lit("ngram_"), F.col("width").cast("string")), "medium", _phrase_reason(), ACTION, 1.0)
+
+
+def _phrase_reason():
+    quote = F.when(F.instr("phrase", "'") > 0, F.concat(F.lit('"'), F.col("phrase"), F.lit('"'))).otherwise(F.concat(F.lit("'"), F.col("phrase"), F.lit("'")))
+    return F.concat(F.lit("Repeated "), F.col("width").cast("string"), F.lit("-token phrase: "), quote, F.lit("."))
+
+
 def phrases(rows: DataFrame, low: int, high: int, budget: int) -> tuple[DataFrame, DataFrame]:
     """Phrases found in more than one sentence within the budget of occurrences, and the books beyond it."""
     count = lambda size: sum((F.greatest(size - k + 1, F.lit(0)) for k in range(low, high + 1)), F.lit(0))
@@ -83,26 +123,30 @@ def phrases(rows: DataFrame, low: int, high: int, budget: int) -> tuple[DataFram
     spread = spread.withColumn("pair", F.array_sort(pair))
     once = F.row_number().over(Window.partitionBy("book_id", "pair").orderBy(F.desc("width"), "first"))
     told = spread.withColumn("nth", once).where("nth = 1").join(within.select("book_id", F.col("r").alias("last"), "file", "chapter", "par", "sent", "text"), ["book_id", "last"])
-    quote = F.when(F.instr("phrase", "'") > 0, F.concat(F.lit('"'), F.col("phrase"), F.lit('"'))).otherwise(F.concat(F.lit("'"), F.col("phrase"), F.lit("'")))
-    reason = F.concat(F.lit("Repeated "), F.col("width").cast("string"), F.lit("-token phrase: "), quote, F.lit("."))
-    return findings(told, "repetition", F.concat(F.lit("ngram_"), F.col("width").cast("string")), "medium", reason, ACTION, 1.0), capped
+    return findings(told, "repetition", F.concat(F.lit("ngram_"), F.col("width").cast("string")), "medium", _phrase_reason(), ACTION, 1.0), capped
 
 
 def detect(tables: Tables, rules=None) -> DataFrame:
+    """All findings of repetition. A budget of null in the rules compares all pairs, or finds phrases of any width."""
     if not setting(rules, "repetition", "enabled", True):
         return tables.sentences.sparkSession.createDataFrame([], FINDINGS)
     minimum, threshold = int(setting(rules, "repetition", "minimum_tokens", 5)), float(setting(rules, "repetition", "similarity_threshold", 0.85))
     low, high = setting(rules, "repetition", "ngram_range", (3, 8))
     pairs, grams = _budget(rules, "max_sentence_pairs", 10_000), _budget(rules, "max_ngram_occurrences", 100_000)
     sentences, paragraphs = eligible(tables, minimum)
-    similar_s, capped_s = similar(sentences, "sentence", threshold, pairs)
-    similar_p, capped_p = similar(paragraphs, "paragraph", threshold, pairs)
-    told, capped_g = phrases(sentences, int(low), int(high), grams)
+    found = [exact(sentences, "sentence"), exact(paragraphs, "paragraph")]
     firsts = sentences.withColumn("kind", F.lit(0)).unionByName(paragraphs.withColumn("kind", F.lit(1)))
     first = firsts.groupBy("book_id").agg(F.min(F.struct("kind", "ord", "file", "chapter", "par", "sent", "text")).alias("f")).select("book_id", "f.*")
     limit = lambda books, code, what, n: findings(first.join(books.distinct(), "book_id", "left_semi"), "repetition", code, "medium", f"{what} ({n}) was reached; {'similar-wording' if 'comparison' in code else 'repeated-phrase'} review may be incomplete.", ACTION, 1.0)
-    return union([
-        exact(sentences, "sentence"), exact(paragraphs, "paragraph"), similar_s, similar_p, told,
-        limit(capped_s.union(capped_p), "similarity_comparison_cap_reached", "Similarity comparison limit", pairs),
-        limit(capped_g, "ngram_occurrence_cap_reached", "N-gram occurrence limit", grams),
-    ])
+    if pairs is None:
+        found += [similar_all(sentences, "sentence", threshold), similar_all(paragraphs, "paragraph", threshold)]
+    else:
+        similar_s, capped_s = similar(sentences, "sentence", threshold, pairs)
+        similar_p, capped_p = similar(paragraphs, "paragraph", threshold, pairs)
+        found += [similar_s, similar_p, limit(capped_s.union(capped_p), "similarity_comparison_cap_reached", "Similarity comparison limit", pairs)]
+    if grams is None:
+        found.append(phrases_all(sentences, int(low)))
+    else:
+        told, capped = phrases(sentences, int(low), int(high), grams)
+        found += [told, limit(capped, "ngram_occurrence_cap_reached", "N-gram occurrence limit", grams)]
+    return union(found)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillscan.functions.phrases import phrases_in
 from quillscan.functions.regex import java, quoted
 from quillscan.operators._findings import findings, setting
+from quillscan.plans.rules import checked_entries
 from quillscan.tables import FINDINGS, Tables
 
 # Codes, patterns and reasons, in the order in which they are tried.
@@ -25,15 +27,24 @@ ACTION = "Confirm this wording is intentional or revise/remove it."
 TAIL = "; review whether it belongs in reader-facing prose."
 
 
+#: So many phrases are tried one by one; longer lists go through an automaton.
+FEW = 16
+
+
 def detect(tables: Tables, rules=None) -> DataFrame:
+    """The first entry of the rules that each sentence matches: patterns in their order, then phrases."""
     spark = tables.sentences.sparkSession
     if not setting(rules, "chatbot_residue", "enabled", True):
         return spark.createDataFrame([], FINDINGS)
-    patterns, phrases = setting(rules, "chatbot_residue", "patterns", PATTERNS), setting(rules, "chatbot_residue", "phrases", ())
-    tried = [(str(p[0]), java(str(p[1])), str(p[2])) for p in (patterns if isinstance(patterns, (list, tuple)) else ()) if isinstance(p, (list, tuple)) and len(p) == 3]
-    tried += [("configured_phrase", quoted(p), "Configured conversational phrase") for p in (phrases if isinstance(phrases, (list, tuple)) else ()) if isinstance(p, str) and p]
+    patterns, phrases = checked_entries(setting(rules, "chatbot_residue", "patterns", PATTERNS), setting(rules, "chatbot_residue", "phrases", ()))
+    said = lambda code, reason: F.struct(F.lit(code).alias("code"), F.lit(reason + TAIL).alias("reason"))
+    tried = [F.when(F.col("text").rlike(java(p)), said(code, reason)) for code, p, reason in patterns]
+    configured = said("configured_phrase", "Configured conversational phrase")
+    if len(phrases) > FEW:
+        tried.append(F.when(F.size(phrases_in(spark, F.col("text"), phrases)) > 0, configured))
+    else:
+        tried += [F.when(F.col("text").rlike(quoted(p)), configured) for p in phrases]
     if not tried:
         return spark.createDataFrame([], FINDINGS)
-    hit = F.coalesce(*[F.when(F.col("text").rlike(p), F.struct(F.lit(code).alias("code"), F.lit(reason + TAIL).alias("reason"))) for code, p, reason in tried])
-    rows = tables.sentences.withColumn("hit", hit).where("hit is not null")
+    rows = tables.sentences.withColumn("hit", F.coalesce(*tried)).where("hit is not null")
     return findings(rows, "chatbot_residue", F.col("hit.code"), "medium", F.col("hit.reason"), ACTION, 1.0)

@@ -85,3 +85,10 @@ def load_rules(override: str | Path | Mapping[str, Any] | None = None) -> dict[s
     if found := problems(rules, DEFAULTS):
         raise ValueError("Rule configuration: " + "; ".join(found))
     return rules
+
+
+def checked_entries(patterns: Any, phrases: Any) -> tuple[list[tuple[str, str, str]], list[str]]:
+    """The usable (code, pattern, reason) triples and phrases of a rule section; entries of another form are passed over."""
+    of = lambda x, kinds: list(x) if isinstance(x, kinds) else []
+    triples = [tuple(str(x) for x in p) for p in of(patterns, (list, tuple)) if len(of(p, (list, tuple))) == 3]
+    return triples, [p for p in of(phrases, (list, tuple)) if isinstance(p, str) and p]
