@@ -24,6 +24,11 @@ class Analysis:
     category_scores: DataFrame
     summary: DataFrame
 
+    def release(self) -> None:
+        """Free the findings and all that was persisted for the tables."""
+        self.findings.unpersist()
+        self.tables.unpersist()
+
 
 def detected(tables: Tables, rules: Mapping[str, Any], only: tuple[str, ...] = ()) -> DataFrame:
     """Findings of the detectors that the exclusions leave."""

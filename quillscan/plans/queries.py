@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from quillscan.operators import citations, consistency, images, links, metadata,
 from quillscan.plans import post, scoring
 from quillscan.plans.analyze import compared, search
 from quillscan.plans.rules import load_rules
+from quillscan.shared import settled
 from quillscan.sources.files import resource_references, spine_chapters
 from quillscan.tables import Tables, from_texts, numbered, spread
 
@@ -441,8 +443,10 @@ SIGNALS = f""", {CITE_BASE}, raw_found AS ({CITE_SQL} UNION ALL SELECT book_id,
  found AS (SELECT *, CASE WHEN weight = 1 THEN 'chatbot_residue' ELSE 'citations' END AS category, CASE WHEN code IN ('doi_present', 'url_present', 'citation_present') THEN 'low' ELSE 'medium' END AS severity FROM raw_found)"""
 
 
-def _signals(spark, sf) -> tuple[Tables, DataFrame]:
+def _signals(spark, sf, once: bool = False) -> tuple[Tables, DataFrame]:
     t = seeded(spark, sf)
+    if once:
+        t = replace(t, sentences=settled(t.sentences, "sentences"))
     return t, residue.detect(t, load_rules()).unionByName(citations.detect(t))
 
 
@@ -470,8 +474,8 @@ SCORES = f"""{SIGNALS}, cats AS (SELECT book_id, c.k AS category, c.w AS cw FROM
 
 
 def _scores(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t, found = _signals(spark, sf)
-    found = post.deduplicated(found).persist()
+    t, found = _signals(spark, sf, once=True)
+    found = settled(post.deduplicated(found), "findings")
     scores = scoring.category_scores(found, t.books, load_rules())
     return found, scores, scoring.summaries(found, scores, post.resolve_language(t), load_rules())
 

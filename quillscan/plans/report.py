@@ -87,8 +87,21 @@ def render_html(report: dict[str, Any]) -> str:
         for f in report["findings"]:
             counts[key(f)] = counts.get(key(f), 0) + 1
         data[name] = dict(sorted(counts.items()))
-    payload = json.dumps(data, ensure_ascii=False, sort_keys=True, separators=(",", ":")).replace("</", "<\\/")
-    title = html.escape(report["book"]["title"] or "Review signals")
+    return page_start(report["book"]["title"]) + json.dumps(data, ensure_ascii=False, sort_keys=True, separators=(",", ":")).replace("</", "<\\/") + page_end()
+
+
+def page_start(title: str) -> str:
+    """The page up to its data."""
+    title = html.escape(title or "Review signals")
+    return (
+        f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>body{{font-family:sans-serif;margin:2em}}td{{border-top:1px solid #ccc;vertical-align:top;padding:.3em}}</style></head>'
+        f'<body><h1>{title}</h1><p id="score"></p><p id="note"></p><select id="category"><option value=""></option></select><select id="severity"><option value=""></option></select><input id="words">'
+        '<table><tbody id="rows"></tbody></table><script type="application/json" id="data">'
+    )
+
+
+def page_end() -> str:
+    """The page after its data."""
     script = (
         "const d=JSON.parse(document.getElementById('data').textContent),q=i=>document.getElementById(i);"
         "for(const [i,o] of [['category',d.category_counts],['severity',d.severity_counts]])for(const k in o)q(i).add(new Option(k+' ('+o[k]+')',k));"
@@ -97,11 +110,7 @@ def render_html(report: dict[str, Any]) -> str:
         ".map(f=>{const r=document.createElement('tr');for(const k of ['severity','category','code','file','chapter','paragraph','sentence','excerpt','reason','review_action'])r.insertCell().textContent=f[k];return r}))}"
         "for(const i of ['category','severity','words'])q(i).addEventListener('input',show);q('score').textContent=d.summary.overall_score.toFixed(1)+' '+d.summary.risk_level;q('note').textContent=d.summary.disclaimer;show();"
     )
-    return (
-        f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>body{{font-family:sans-serif;margin:2em}}td{{border-top:1px solid #ccc;vertical-align:top;padding:.3em}}</style></head>'
-        f'<body><h1>{title}</h1><p id="score"></p><p id="note"></p><select id="category"><option value=""></option></select><select id="severity"><option value=""></option></select><input id="words">'
-        f'<table><tbody id="rows"></tbody></table><script type="application/json" id="data">{payload}</script><script>{script}</script></body></html>\n'
-    )
+    return f"</script><script>{script}</script></body></html>\n"
 
 
 def write_reports(analysis: Analysis, folder: str | Path, format: str = "all") -> dict[str, Path]:

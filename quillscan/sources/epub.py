@@ -7,6 +7,8 @@ import io
 import posixpath
 import struct
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
@@ -19,48 +21,78 @@ OPF, DC = "{http://www.idpf.org/2007/opf}", "{http://purl.org/dc/elements/1.1/}"
 DOCUMENTS = {"application/xhtml+xml", "text/html", "application/xml"}
 
 
+class _Layout:
+    """A record of the archive's directory: its mark, and its fields one after another."""
+
+    def __init__(self, mark: bytes, form: str, fields: str):
+        self.mark, self.form, self.fields = mark, struct.Struct("<4s" + form), fields.split()
+
+    def at(self, data: bytes, place: int) -> dict[str, int] | None:
+        """The fields of a record, or None where there is none whole."""
+        if place < 0 or place + self.form.size > len(data) or data[place : place + 4] != self.mark:
+            return None
+        return dict(zip(["mark", *self.fields], self.form.unpack_from(data, place)))
+
+
+# The record layouts of the format.
+_END = _Layout(b"PK\x05\x06", "4H2LH", "disk start here members size offset comment")
+_FAR = _Layout(b"PK\x06\x07", "LQL", "disk place disks")
+_FAR_END = _Layout(b"PK\x06\x06", "Q2H2L4Q", "length made needs disk start here members size offset")
+_HEADER = _Layout(b"PK\x01\x02", "6H3L5H2L", "made needs flags kind time date crc packed size name extra comment disk inner outer place")
+_ZIP = "EPUB ZIP metadata has a "
+# What is wrong with the end of the archive, and with one of its headers; the first that holds is told.
+_END_RULES = [
+    (lambda f: f["end"] is None, _ZIP + "malformed or truncated end-of-central-directory record"),
+    (lambda f: f["far"] and f["far"]["place"] > f["length"] - _FAR_END.form.size, _ZIP + "truncated ZIP64 end-of-central-directory record"),
+    (lambda f: f["far"] and (not f["far_end"] or f["far_end"]["length"] < 44 or f["far"]["place"] + 12 + f["far_end"]["length"] > f["length"]), _ZIP + "malformed ZIP64 end-of-central-directory record"),
+    (lambda f: not f["far"] and (f["end"]["members"] == 0xFFFF or 0xFFFFFFFF in (f["end"]["size"], f["end"]["offset"])), "EPUB ZIP metadata is missing its ZIP64 end-of-central-directory record"),
+    (lambda f: f["told"]["members"] > MEMBERS, "EPUB contains too many archive members"),
+    (lambda f: f["told"]["size"] > DIRECTORY_BYTES, "EPUB central directory is too large"),
+    (lambda f: f["told"]["offset"] + f["told"]["size"] > f["limit"], "EPUB ZIP metadata has an invalid central-directory range"),
+]
+_HEADER_RULES = [
+    (lambda h: h["place"] + _HEADER.form.size > h["stop"], _ZIP + "truncated central-directory header"),
+    (lambda h: h["record"] is None, _ZIP + "malformed central-directory header"),
+    (lambda h: h["next"] > h["stop"], _ZIP + "malformed central-directory header length"),
+    (lambda h: h["nth"] > MEMBERS, "EPUB contains too many archive members"),
+]
+
+
+def _judge(rules, facts) -> None:
+    if broken := next((message for holds, message in rules if holds(facts)), None):
+        raise ValueError(broken)
+
+
+def end_facts(data: bytes) -> dict | None:
+    """What the archive says of its directory at its end; None where it has no end record at all."""
+    low = max(0, len(data) - _END.form.size - 0xFFFF)
+    place = data.rfind(_END.mark, low)
+    if place < 0:
+        return None
+    while place >= 0 and not ((end := _END.at(data, place)) and place + _END.form.size + end["comment"] == len(data)):
+        place = data.rfind(_END.mark, low, place)
+    if place < 0:
+        return {"end": None}
+    far = _FAR.at(data, place - _FAR.form.size)
+    far_end = _FAR_END.at(data, far["place"]) if far else None
+    return {"length": len(data), "end": end, "far": far, "far_end": far_end, "told": far_end or end, "limit": far["place"] if far else place}
+
+
 def check_directory(data: bytes) -> None:
     """The end record, its 64-bit form and every central header, before the archive is opened."""
-    at = data.rfind(b"PK\x05\x06", max(0, len(data) - 22 - 0xFFFF))
-    if at < 0:
+    facts = end_facts(data)
+    if facts is None:
         return
-    while at >= 0 and not (at + 22 <= len(data) and at + 22 + struct.unpack_from("<H", data, at + 20)[0] == len(data)):
-        at = data.rfind(b"PK\x05\x06", max(0, len(data) - 22 - 0xFFFF), at)
-    if at < 0:
-        raise ValueError("EPUB ZIP metadata has a malformed or truncated end-of-central-directory record")
-    members, size, offset = struct.unpack_from("<HLL", data, at + 10)
-    end = at
-    if at >= 20 and data[at - 20 : at - 16] == b"PK\x06\x07":
-        far = struct.unpack_from("<Q", data, at - 12)[0]
-        if far > len(data) - 56:
-            raise ValueError("EPUB ZIP metadata has a truncated ZIP64 end-of-central-directory record")
-        record = struct.unpack_from("<Q", data, far + 4)[0]
-        if data[far : far + 4] != b"PK\x06\x06" or record < 44 or far + 12 + record > len(data):
-            raise ValueError("EPUB ZIP metadata has a malformed ZIP64 end-of-central-directory record")
-        members, size, offset = struct.unpack_from("<QQQ", data, far + 32)
-        end = far
-    elif members == 0xFFFF or size == 0xFFFFFFFF or offset == 0xFFFFFFFF:
-        raise ValueError("EPUB ZIP metadata is missing its ZIP64 end-of-central-directory record")
-    if members > MEMBERS:
-        raise ValueError("EPUB contains too many archive members")
-    if size > DIRECTORY_BYTES:
-        raise ValueError("EPUB central directory is too large")
-    if offset > end or size > end - offset:
-        raise ValueError("EPUB ZIP metadata has an invalid central-directory range")
-    seen, pos = 0, offset
-    while pos < offset + size:
-        if pos + 46 > offset + size:
-            raise ValueError("EPUB ZIP metadata has a truncated central-directory header")
-        if data[pos : pos + 4] != b"PK\x01\x02":
-            raise ValueError("EPUB ZIP metadata has a malformed central-directory header")
-        pos += 46 + sum(struct.unpack_from("<HHH", data, pos + 28))
-        if pos > offset + size:
-            raise ValueError("EPUB ZIP metadata has a malformed central-directory header length")
-        seen += 1
-        if seen > MEMBERS:
-            raise ValueError("EPUB contains too many archive members")
-    if seen != members:
-        raise ValueError("EPUB ZIP metadata has a mismatched central-directory member count")
+    _judge(_END_RULES, facts)
+    place, nth = facts["told"]["offset"], 0
+    stop = place + facts["told"]["size"]
+    while place < stop:
+        record, nth = _HEADER.at(data, place), nth + 1
+        after = place + _HEADER.form.size + (record["name"] + record["extra"] + record["comment"] if record else 0)
+        _judge(_HEADER_RULES, {"place": place, "stop": stop, "record": record, "next": after, "nth": nth})
+        place = after
+    if nth != facts["told"]["members"]:
+        raise ValueError(_ZIP + "mismatched central-directory member count")
 
 
 def safe_path(name: str) -> str:
@@ -103,68 +135,102 @@ def _inside(base: str, href: str) -> str:
     return safe_path(posixpath.normpath(posixpath.join(posixpath.dirname(base), href.split("#", 1)[0])))
 
 
-def read(data: bytes) -> dict:
-    """Metadata, manifest, spine, members with their digests, spine documents and references of one container.
-
-    Which chapters, media types and references belong together is left to joins; ValueError where the container breaks
-    a rule.
-    """
+@contextmanager
+def opened(data: bytes) -> Iterator[tuple[zipfile.ZipFile, dict[str, zipfile.ZipInfo]]]:
+    """A checked archive and its members by path; ValueError where it, or what is read of it, breaks a rule."""
     check_directory(data)
     if not zipfile.is_zipfile(io.BytesIO(data)):
         raise ValueError("Input is not a valid EPUB ZIP archive")
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            members = checked_members(archive)
-            kind = members.get("mimetype")
-            if kind is None or kind.compress_type != zipfile.ZIP_STORED or kind.header_offset or archive.read(kind) != b"application/epub+zip":
-                raise ValueError("EPUB is missing a valid mimetype declaration")
-            if "META-INF/container.xml" not in members:
-                raise ValueError("EPUB is missing META-INF/container.xml")
-            root = xml(archive.read(members["META-INF/container.xml"]), "container.xml").find(f".//{CONTAINER}rootfile")
-            if root is None or not root.get("full-path"):
-                raise ValueError("EPUB container does not identify an OPF package")
-            package = safe_path(root.get("full-path"))
-            if package not in members:
-                raise ValueError(f"EPUB OPF package is missing: {package}")
-            opf = xml(archive.read(members[package]), "OPF package")
-            metadata: dict[str, str] = {}
-            for e in opf.iter():
-                if isinstance(e.tag, str) and e.tag.startswith(DC) and (value := (e.text or "").strip()):
-                    metadata.setdefault(e.tag[len(DC) :], value)
-            items = list(opf.iterfind(f".//{OPF}manifest/{OPF}item"))
-            if len(items) > MANIFEST:
-                raise ValueError("EPUB OPF package contains too many manifest items")
-            covers = {(m.get("content") or m.text or "").strip() for m in opf.iterfind(f".//{OPF}metadata/{OPF}meta") if m.get("name") == "cover" or m.get("property") == "cover-image"}
-            by_id: dict[str, tuple] = {}
-            for item in items:
-                if item.get("id") and item.get("href"):
-                    by_id[item.get("id")] = (_inside(package, item.get("href")), item.get("media-type", "application/octet-stream"))
-                    if "cover-image" in item.get("properties", "").split():
-                        covers.add(item.get("id"))
-            manifest = [(n, i, path, media, i in covers) for n, (i, (path, media)) in enumerate(by_id.items())]
-            if not manifest:
-                raise ValueError("EPUB OPF package has no manifest")
-            spine = opf.find(f".//{OPF}spine")
-            if spine is None:
-                raise ValueError("EPUB OPF package has no spine")
-            order = [i.get("idref", "") for i in spine.iterfind(f"{OPF}itemref")]
-            if len(order) > SPINE:
-                raise ValueError("EPUB OPF package contains too many spine items")
-            own = {"mimetype", "META-INF/container.xml", package}
-            if sum(name not in own for name in members) > RESOURCES:
-                raise ValueError("EPUB contains too many packaged resources")
-            documents, refs, listed = [], [], [by_id[i][0] for i in order if i in by_id]
-            for path in dict.fromkeys(listed):
-                if path in members:
-                    text = markup.decode(archive.read(members[path]))
-                    headings, paragraphs = markup.content(text)
-                    documents.append((path, headings, paragraphs))
-                    refs += [(p, (alt or "").strip() or None) for r, alt in markup.references(text, stylesheets=False) if (p := markup.resolved(r, path))]
-            sheets = {path for _, _, path, media, _ in manifest if media == "text/css"}
-            for path, info in members.items():
-                if path in sheets or path.endswith(".css"):
-                    refs += [(p, None) for r in markup.css_references(markup.decode(archive.read(info))) if (p := markup.resolved(r, path))]
-            resources = [(n, path, info.file_size, hashlib.sha256(archive.read(info)).hexdigest()) for n, (path, info) in enumerate(members.items()) if path not in own]
+            yield archive, checked_members(archive)
     except (OSError, zipfile.BadZipFile, zipfile.LargeZipFile) as error:
         raise ValueError(f"Unable to read EPUB safely: {error}") from error
-    return {"metadata": list(metadata.items()), "manifest": manifest, "spine": list(enumerate(order)), "members": list(members), "documents": documents, "refs": refs, "resources": resources}
+
+
+def package_of(archive: zipfile.ZipFile, members: dict[str, zipfile.ZipInfo]) -> dict:
+    """Metadata, manifest, spine and the names of all members; only the package's own files are read."""
+    kind = members.get("mimetype")
+    if kind is None or kind.compress_type != zipfile.ZIP_STORED or kind.header_offset or archive.read(kind) != b"application/epub+zip":
+        raise ValueError("EPUB is missing a valid mimetype declaration")
+    if "META-INF/container.xml" not in members:
+        raise ValueError("EPUB is missing META-INF/container.xml")
+    root = xml(archive.read(members["META-INF/container.xml"]), "container.xml").find(f".//{CONTAINER}rootfile")
+    if root is None or not root.get("full-path"):
+        raise ValueError("EPUB container does not identify an OPF package")
+    package = safe_path(root.get("full-path"))
+    if package not in members:
+        raise ValueError(f"EPUB OPF package is missing: {package}")
+    opf = xml(archive.read(members[package]), "OPF package")
+    metadata: dict[str, str] = {}
+    for e in opf.iter():
+        if isinstance(e.tag, str) and e.tag.startswith(DC) and (value := (e.text or "").strip()):
+            metadata.setdefault(e.tag[len(DC) :], value)
+    items = list(opf.iterfind(f".//{OPF}manifest/{OPF}item"))
+    if len(items) > MANIFEST:
+        raise ValueError("EPUB OPF package contains too many manifest items")
+    covers = {(m.get("content") or m.text or "").strip() for m in opf.iterfind(f".//{OPF}metadata/{OPF}meta") if m.get("name") == "cover" or m.get("property") == "cover-image"}
+    by_id: dict[str, tuple] = {}
+    for item in items:
+        if item.get("id") and item.get("href"):
+            by_id[item.get("id")] = (_inside(package, item.get("href")), item.get("media-type", "application/octet-stream"))
+            if "cover-image" in item.get("properties", "").split():
+                covers.add(item.get("id"))
+    manifest = [(n, i, path, media, i in covers) for n, (i, (path, media)) in enumerate(by_id.items())]
+    if not manifest:
+        raise ValueError("EPUB OPF package has no manifest")
+    spine = opf.find(f".//{OPF}spine")
+    if spine is None:
+        raise ValueError("EPUB OPF package has no spine")
+    order = [i.get("idref", "") for i in spine.iterfind(f"{OPF}itemref")]
+    if len(order) > SPINE:
+        raise ValueError("EPUB OPF package contains too many spine items")
+    own = {"mimetype", "META-INF/container.xml", package}
+    if sum(name not in own for name in members) > RESOURCES:
+        raise ValueError("EPUB contains too many packaged resources")
+    return {"metadata": list(metadata.items()), "manifest": manifest, "spine": list(enumerate(order)), "members": list(members), "own": own}
+
+
+def read(data: bytes) -> dict:
+    """The package of one container; which chapters, media types and references belong together is left to joins."""
+    with opened(data) as (archive, members):
+        return package_of(archive, members)
+
+
+PART = ["seq", "path", "size", "sha256", "headings", "paragraphs", "refs"]
+
+
+def parts(data: bytes) -> Iterator[tuple]:
+    """One row for each member but the package's own files, in the archive's order, read one after another.
+
+    Digests of all; headings and paragraphs of spine documents (None for others); references of these and of stylesheets, each
+    as (order, path, alternative text).
+    """
+    with opened(data) as (archive, members):
+        package = package_of(archive, members)
+        by_id = {i: path for _, i, path, _, _ in package["manifest"]}
+        told = list(dict.fromkeys(by_id[i] for _, i in package["spine"] if i in by_id))
+        sheets = {path for _, _, path, media, _ in package["manifest"] if media == "text/css"}
+        for n, (path, info) in enumerate(members.items()):
+            if path in package["own"] and path not in told:
+                continue
+            content = archive.read(info)
+            headings = paragraphs = None
+            found = []
+            if path in told:
+                text = markup.decode(content)
+                headings, paragraphs = markup.content(text)
+                found = [(told.index(path), r, (alt or "").strip() or None) for r, alt in markup.references(text, stylesheets=False)]
+            if path in sheets or path.endswith(".css"):
+                found += [(len(told) + n, r, None) for r in markup.css_references(markup.decode(content))]
+            refs = [(rank, k, target, alt) for k, (rank, r, alt) in enumerate(found) if (target := markup.resolved(r, path))]
+            digest = None if path in package["own"] else hashlib.sha256(content).hexdigest()
+            yield n, path, info.file_size, digest, headings, paragraphs, refs
+
+
+def listed(data: bytes, wanted: Callable[[str], bool], contents: bool) -> Iterator[tuple[str, int, int, bytes | None]]:
+    """Path, size, packed size and, if asked for, content of the members that are wanted; no other is read."""
+    with opened(data) as (archive, members):
+        for path, info in members.items():
+            if wanted(path):
+                yield path, info.file_size, info.compress_size, archive.read(info) if contents else None

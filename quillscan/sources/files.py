@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import mimetypes
 import os
+from dataclasses import replace
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +24,8 @@ MARKUP, TEXT, RESOURCE = (".html", ".htm", ".xhtml", ".xml"), (".txt",), (*sorte
 FILE_BYTES, DIRECTORY_FILES, DIRECTORY_BYTES, RESOURCE_FILES = 50 << 20, 2_000, 500 << 20, 10_000
 _PAIR = "array<struct<key:string,value:string>>"
 _HTML = f"headings array<string>, paragraphs array<string>, metadata {_PAIR}, refs array<struct<path:string,alt:string>>"
-_EPUB = (
-    f"error string, metadata {_PAIR}, manifest array<struct<seq:int,id:string,path:string,media:string,cover:boolean>>, spine array<struct<seq:int,id:string>>, members array<string>,"
-    " documents array<struct<path:string,headings:array<string>,paragraphs:array<string>>>, refs array<struct<path:string,alt:string>>, resources array<struct<seq:int,path:string,size:bigint,sha256:string>>"
-)
+_EPUB = f"error string, metadata {_PAIR}, manifest array<struct<seq:int,id:string,path:string,media:string,cover:boolean>>, spine array<struct<seq:int,id:string>>, members array<string>"
+_PART = "book_id string, seq int, path string, size long, sha256 string, headings array<string>, paragraphs array<string>, refs array<struct<rank:int,nth:int,path:string,alt:string>>, error string"
 
 
 @vectorized(_HTML)
@@ -48,8 +49,9 @@ def decode(content: pd.Series) -> pd.Series:
 
 @vectorized(_EPUB)
 def read_epub(content: pd.Series) -> pd.DataFrame:
-    names = ["error", "metadata", "manifest", "spine", "members", "documents", "refs", "resources"]
-    keys = {"metadata": ("key", "value"), "manifest": ("seq", "id", "path", "media", "cover"), "spine": ("seq", "id"), "documents": ("path", "headings", "paragraphs"), "refs": ("path", "alt"), "resources": ("seq", "path", "size", "sha256")}
+    """The package of a container, or what is wrong with it; its documents are not read."""
+    names = ["error", "metadata", "manifest", "spine", "members"]
+    keys = {"metadata": ("key", "value"), "manifest": ("seq", "id", "path", "media", "cover"), "spine": ("seq", "id")}
     rows = []
     for data in content:
         try:
@@ -60,6 +62,28 @@ def read_epub(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
+def container_parts(files: DataFrame) -> DataFrame:
+    """(book_id, seq, path, size, sha256, headings, paragraphs, refs, error): a row for each member of sound containers.
+
+    A container that turns out to be broken while its members are read has a last row of book_id and error. Members are read and handed on one after another, so that a task never holds more of a container than its packed
+    bytes and one member.
+    """
+    schema = pa.schema([("book_id", pa.string()), ("seq", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("sha256", pa.string()), ("headings", pa.list_(pa.string())), ("paragraphs", pa.list_(pa.string())),
+        ("refs", pa.list_(pa.struct([("rank", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("alt", pa.string())]))), ("error", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for book, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    for *plain, refs in epub.parts(data.as_py() or b""):
+                        refs = [dict(zip(("rank", "nth", "path", "alt"), r)) for r in refs]
+                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (book, *plain, refs)))], schema)
+                except ValueError as error:
+                    yield pa.RecordBatch.from_pylist([{"book_id": book, "error": str(error)}], schema)
+
+    return files.select("book_id", "content").mapInArrow(run, _PART)
+
+
 def decoded(content: Column) -> Column:
     """Text of file contents; Python only sees contents that are not UTF-8 or begin with its mark."""
     plain = F.is_valid_utf8(content.cast("string")) & ~F.startswith(content, F.lit(b"\xef\xbb\xbf"))
@@ -97,6 +121,33 @@ def _resource_rows(found: DataFrame, refs: DataFrame) -> DataFrame:
     return rows.select("book_id", seq.alias("res_seq"), "path", "media_type", "size", "sha256", F.coalesce("referenced", F.lit(False)).alias("referenced"), "alt_text", F.col("d.width").alias("width"), F.col("d.height").alias("height"))
 
 
+def folder_digests(files: DataFrame) -> DataFrame:
+    """(book_id, sha256): SHA-256 over each file's name, a zero byte and its content, files in the order of their names.
+
+    A folder's files stream through its digest in one task, a batch at a time; the sort before may spill.
+    """
+
+    def run(batches):
+        book, state, done = None, None, []
+        for batch in batches:
+            for name, file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if state is None or name != book:
+                    if state is not None:
+                        done.append((book, state.hexdigest()))
+                    book, state = name, hashlib.sha256()
+                state.update(file.encode() + b"\0")
+                if content.is_valid:
+                    state.update(content.as_buffer())
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["book_id", "sha256"])
+                done = []
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([book]), pa.array([state.hexdigest()])], names=["book_id", "sha256"])
+
+    rows = files.select("book_id", "file", "content").repartition("book_id").sortWithinPartitions("book_id", "file")
+    return rows.mapInArrow(run, "book_id string, sha256 string")
+
+
 def from_files(files: DataFrame, resources: DataFrame | None = None, title_from_metadata: bool = False) -> Tables:
     """Books from (book_id, source_path, file, length, content) rows: text and markup files in the order of their names.
 
@@ -104,8 +155,13 @@ def from_files(files: DataFrame, resources: DataFrame | None = None, title_from_
     by the file's stem. The first value of a metadata key wins.
     """
     spark = files.sparkSession
-    order = F.row_number().over(Window.partitionBy("book_id").orderBy("file"))
-    files = files.withColumn("chapter_seq", (order - 1).cast("long"))
+    if title_from_metadata:
+        files = files.withColumn("chapter_seq", F.lit(0).cast("long"))
+    else:
+        # names alone are numbered: no content is sorted
+        order = F.row_number().over(Window.partitionBy("book_id").orderBy("file"))
+        names = files.select("book_id", "file").distinct().withColumn("chapter_seq", (order - 1).cast("long"))
+        files = files.join(names, ["book_id", "file"])
     text = files.where(suffix_of(F.col("file")).isin(*TEXT))
     stem = F.regexp_replace(name_of(F.col("file")), r"(?<=.)\.[^.]+$", "")
     text = text.select("book_id", "chapter_seq", "file", stem.alias("title"), F.array().cast("array<string>").alias("headings"), split_paragraphs(decoded(F.col("content"))).alias("paragraphs"), F.array(F.struct(F.lit("title").alias("key"), stem.alias("value"))).alias("metadata"), F.array().cast("array<struct<path:string,alt:string>>").alias("refs"))
@@ -118,13 +174,12 @@ def from_files(files: DataFrame, resources: DataFrame | None = None, title_from_
     pairs = parsed.select("book_id", "chapter_seq", F.posexplode("metadata").alias("pos", "m")).select("book_id", F.struct("chapter_seq", "pos").alias("at"), "m.key", "m.value").where("value <> ''")
     firsts = pairs.groupBy("book_id", "key").agg(F.min(F.struct("at", "value")).alias("f"))
     metadata = firsts.select("book_id", (F.row_number().over(Window.partitionBy("book_id").orderBy("f.at")) - 1).cast("int").alias("pos"), "key", F.col("f.value").alias("value"))
-    piece = F.struct("file", F.hex(F.concat(F.encode("file", "UTF-8"), F.lit(b"\x00"), F.col("content"))).alias("x"))
-    one = F.lower(F.sha2("content", 256))
-    books = files.groupBy("book_id").agg(F.min("source_path").alias("source_path"), F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["x"]), "")), 256).alias("tree"), F.min(one).alias("single"))
-    books = books.select("book_id", "source_path", (F.col("single") if title_from_metadata else F.col("tree")).alias("sha256"))
+    books = files.groupBy("book_id").agg(F.min("source_path").alias("source_path"), *([F.min(F.lower(F.sha2("content", 256))).alias("sha256")] if title_from_metadata else []))
+    if not title_from_metadata:
+        books = books.join(folder_digests(files), "book_id")
     refs = parsed.select("book_id", "chapter_seq", F.posexplode("refs").alias("nth", "r")).select("book_id", F.struct("chapter_seq", "nth").alias("at"), "r.path", "r.alt")
     found = _resource_rows(resources, refs) if resources is not None else spark.createDataFrame([], RESOURCES)
-    return Tables(books, metadata, chapters, paragraphs, sentences_of(paragraphs), found)
+    return Tables(books, metadata, chapters, paragraphs, sentences_of(paragraphs), found, (parsed,))
 
 
 def spine_chapters(spine: DataFrame, manifest: DataFrame, members: DataFrame, documents: DataFrame) -> DataFrame:
@@ -142,7 +197,7 @@ def spine_chapters(spine: DataFrame, manifest: DataFrame, members: DataFrame, do
 def resource_references(resources: DataFrame, manifest: DataFrame, spine: DataFrame, refs: DataFrame) -> DataFrame:
     """Packaged files with their media type, whether anything refers to them, and their alternative text."""
     media = manifest.groupBy("book_id", "path").agg(F.min_by("media", "seq").alias("media"))
-    covers = manifest.where("cover").select("book_id", "path", F.lit(None).cast("string").alias("alt"), F.lit(-1).alias("nth"))
+    covers = manifest.where("cover").select("book_id", "path", F.lit(None).cast("string").alias("alt"), F.lit(None).cast(refs.schema["nth"].dataType).alias("nth"))
     seen = covers.unionByName(refs.select("book_id", "path", "alt", "nth")).groupBy("book_id", "path").agg(F.min_by("alt", F.when(F.col("alt").isNotNull(), F.col("nth"))).alias("alt"))
     in_spine = spine.join(manifest, ["book_id", "id"]).select("book_id", "path").distinct()
     rows = resources.join(media, ["book_id", "path"], "left").join(seen.withColumn("seen", F.lit(True)), ["book_id", "path"], "left").join(in_spine.withColumn("read", F.lit(True)), ["book_id", "path"], "left")
@@ -157,20 +212,24 @@ def resource_references(resources: DataFrame, manifest: DataFrame, spine: DataFr
 def from_epubs(files: DataFrame, fail: bool = True) -> Tables:
     """Books from (book_id, source_path, content) rows of EPUB containers; broken ones fail, or are left out."""
     read = files.select("book_id", "source_path", F.sha2("content", 256).alias("sha256"), read_epub("content").alias("e")).persist()
+    parts = container_parts(files.join(read.where("e.error is null").select("book_id"), "book_id", "left_semi")).persist()
+    broken = read.select("book_id", "e.error").unionByName(parts.select("book_id", "error")).where("error is not null")
     if fail:
-        bad = read.where("e.error is not null").select("source_path", "e.error").take(1)
+        bad = broken.join(read.select("book_id", "source_path"), "book_id").take(1)
         if bad:
             raise ValueError(f"{bad[0]['error']}: {bad[0]['source_path']}")
-    read = read.where("e.error is null")
-    part = lambda name: read.select("book_id", F.explode(f"e.{name}").alias("x")).select("book_id", "x.*")
-    manifest, spine, documents = part("manifest"), part("spine"), part("documents")
-    members = read.select("book_id", F.explode("e.members").alias("path"))
-    refs = read.select("book_id", F.posexplode("e.refs").alias("nth", "x")).select("book_id", "nth", "x.path", "x.alt")
+    sound, parts_of = (df.join(broken.select("book_id").distinct(), "book_id", "left_anti") for df in (read, parts))
+    part = lambda name: sound.select("book_id", F.explode(f"e.{name}").alias("x")).select("book_id", "x.*")
+    manifest, spine = part("manifest"), part("spine")
+    members = sound.select("book_id", F.explode("e.members").alias("path"))
+    documents = parts_of.where("paragraphs is not null").select("book_id", "path", "headings", "paragraphs")
+    refs = parts_of.select("book_id", F.explode("refs").alias("x")).select("book_id", F.struct("x.rank", "x.nth").alias("nth"), "x.path", "x.alt")
+    resources = parts_of.where("sha256 is not null").select("book_id", "seq", "path", "size", "sha256")
     told = spine_chapters(spine, manifest, members, documents)
     told = told.select("book_id", F.col("seq").cast("long").alias("chapter_seq"), F.col("path").alias("file"), F.coalesce(F.try_element_at("headings", F.lit(1)), F.col("path")).alias("title"), F.lit("").alias("toc_title"), "headings", "paragraphs")
     paragraphs = told.select("book_id", "chapter_seq", "file", F.col("title").alias("chapter"), F.posexplode("paragraphs").alias("par", "text"))
-    metadata = read.select("book_id", F.posexplode("e.metadata").alias("pos", "m")).select("book_id", "pos", "m.key", "m.value")
-    return Tables(read.select("book_id", "source_path", "sha256"), metadata, told.drop("paragraphs"), paragraphs, sentences_of(paragraphs), resource_references(part("resources"), manifest, spine, refs))
+    metadata = sound.select("book_id", F.posexplode("e.metadata").alias("pos", "m")).select("book_id", "pos", "m.key", "m.value")
+    return Tables(sound.select("book_id", "source_path", "sha256"), metadata, told.drop("paragraphs"), paragraphs, sentences_of(paragraphs), resource_references(resources, manifest, spine, refs), (read, parts))
 
 
 def parse_source(spark: SparkSession, source: str | Path, max_file_size: int | None = None) -> Tables:
@@ -195,7 +254,7 @@ def parse_source(spark: SparkSession, source: str | Path, max_file_size: int | N
     tables = from_files(one, title_from_metadata=True)
     if suffix in TEXT:
         return tables
-    return Tables(tables.books, tables.metadata, tables.chapters, tables.paragraphs, tables.sentences, _local_resources(spark, path, limit))
+    return replace(tables, resources=_local_resources(spark, path, limit))
 
 
 def _local_resources(spark: SparkSession, path: Path, limit: int) -> DataFrame:
@@ -236,7 +295,7 @@ def parse_directory(spark: SparkSession, path: Path, limit: int = FILE_BYTES) ->
     rows = found.withColumns({"book_id": F.lit(str(path)), "source_path": F.lit(str(path))})
     tables = from_files(rows.where(F.col("suffix").isin(*MARKUP, *TEXT)).select("book_id", "source_path", "file", "length", "content"), rows.where(F.col("suffix").isin(*RESOURCE)))
     bare = tables.books.join(tables.metadata, "book_id", "left_anti").select("book_id", F.lit(0).alias("pos"), F.lit("title").alias("key"), F.lit(path.name).alias("value"))
-    return Tables(tables.books, tables.metadata.unionByName(bare), tables.chapters, tables.paragraphs, tables.sentences, tables.resources)
+    return replace(tables, metadata=tables.metadata.unionByName(bare))
 
 
 def read_text_safely(path: str | Path, max_bytes: int = 10 << 20) -> str:

@@ -20,7 +20,7 @@ def arriving(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> Dat
     return books.where(suffix_of(F.col("file")).isin(*MARKUP, *TEXT))
 
 
-def analyze_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, rules=None, language: str = "auto", sink: Callable[[Analysis, int], None] | None = None):
+def analyze_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, rules=None, language: str = "auto", sink: Callable[[Analysis, int], None] | None = None, files_a_batch: int = 1000):
     """Start a query that analyses every new file once; findings and summaries are written under ``out`` by batch.
 
     A book is complete in its file, so nothing is kept between batches; a batch that is run again replaces its folder.
@@ -29,11 +29,13 @@ def analyze_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
     def batch(files: DataFrame, number: int) -> None:
         tables = from_files(files, title_from_metadata=True).persisted()
         done = analyze(tables, rules, language)
-        if sink:
-            sink(done, number)
-        else:
-            for name, df in (("findings", done.findings), ("summary", done.summary)):
-                df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        tables.unpersist()
-
-    return arriving(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            if sink:
+                sink(done, number)
+            else:
+                for name, df in (("findings", done.findings), ("summary", done.summary)):
+                    df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        finally:
+            done.release()
+
+    return arriving(spark, folder, files_a_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -28,13 +28,17 @@ class Tables:
     paragraphs: DataFrame
     sentences: DataFrame
     resources: DataFrame
+    #: Frames that were persisted to make these.
+    kept: tuple[DataFrame, ...] = ()
 
     def persisted(self) -> Tables:
         """Keep paragraphs and sentences, which several detectors read."""
-        return replace(self, chapters=self.chapters.persist(), paragraphs=self.paragraphs.persist(), sentences=self.sentences.persist())
+        held = [self.chapters.persist(), self.paragraphs.persist(), self.sentences.persist()]
+        return replace(self, chapters=held[0], paragraphs=held[1], sentences=held[2], kept=(*self.kept, *held))
 
     def unpersist(self) -> None:
-        for df in (self.chapters, self.paragraphs, self.sentences):
+        """Free everything that was persisted for these tables."""
+        for df in self.kept:
             df.unpersist()
 
 
@@ -66,10 +70,18 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+#: Bytes that a task is expected to read.
+SPLIT = 128 << 20
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` over all cores where they come in fewer parts than there are cores, as from a small file of one row group."""
+    """``rows`` over all cores where they may come in fewer parts than there are cores, as from a small file of one row group.
+
+    That is told from the size that the optimizer estimates, so nothing is run.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, *keys) if size < cores * SPLIT else rows
 
 
 def from_texts(rows: DataFrame, nfkc: bool = True) -> Tables:

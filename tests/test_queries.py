@@ -7,13 +7,13 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillscan.plans.wording_queries import ORACLE_SQL, QUERIES
+from quillscan.plans.output_queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 CHOSEN = ["sentences", "residue_findings", "citation_signals", "repeated_ngrams", "similar_sentence", "overall_risk", "image_findings", "metadata_findings", "link_candidates",
     "compatible_text", "korean_sentences", "residue_asian", "passive_distribution", "list_density", "name_variant", "consistency_numbers", "repeated_heading_structure", "metadata_missing", "localized_findings", "language_resolution",
     "html_extract", "folder_paragraphs", "folder_metadata", "folder_hash", "folder_resources", "epub_errors", "epub_chapters", "epub_images", "image_dimensions", "link_verification", "url_safety", "severity_risk", "fail_on", "report_records", "report_text", "exact_sentence",
-    "similar_sentence_all", "similar_paragraph_all", "repeated_5grams", "phrase_hits", "residue_phrase_list", "texts_citations", "texts_style", "texts_consistency", "texts_structure", "texts_images", "texts_metadata", "texts_repetition"]
+    "similar_sentence_all", "similar_paragraph_all", "repeated_5grams", "phrase_hits", "residue_phrase_list", "texts_citations", "texts_style", "texts_consistency", "texts_structure", "texts_images", "texts_metadata", "texts_repetition", "container_members", "report_files"]
 
 
 def plain(v):

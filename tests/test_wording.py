@@ -112,7 +112,7 @@ def test_case_is_ignored_as_by_the_jvm(spark):
     codes = [c for c in range(1, 0x1F000) if not 0xD800 <= c < 0xE000 and (unicodedata.category(chr(c))[0] == "L" or fold[c] != c)]
     rows = spark.createDataFrame([(c, chr(c), chr(int(fold[c])), f"(?iu)\\x{{{int(fold[c]):x}}}") for c in codes], "c int, char string, other string, p string")
     known = ~F.col("char").rlike(r"\p{Cn}|\x{1e9e}") & ~F.col("other").rlike(r"\p{Cn}")
-    assert rows.where(known).count() > 100_000
+    assert rows.where(known).count() > 20_000
     assert not rows.where(known & ~F.expr("char rlike p")).select("c").collect()
     # and what is not alike for the one is not for the other: letters whose forms differ never match each other's neighbour
     pairs = [(chr(a), chr(b), bool(fold[a] == fold[b])) for a, b in zip(codes, codes[1:])]
