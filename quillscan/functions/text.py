@@ -1,8 +1,10 @@
-"""Text operations as Column expressions; only compatibility normalisation needs Python."""
+"""Text operations as Column expressions; Python is only needed to normalise texts that may not be normal already."""
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +13,11 @@ from pyspark.sql import functions as F
 from quillscan.functions.regex import SPACE, java
 from quillscan.functions.udf import vectorized
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Runs of normal characters that are passed over first: the longest, and those of characters that texts are made of.
+_RUNS, _COMMON = 8, "aéšяλかア漢한’"
+# Where lower case and caseless form are one: ASCII, Latin without sharp s, the long s and the like, punctuation, Han, kana, Hangul.
+_LOWERED = r"\x00-\xB4\xB6-\xDE\xE0-\x{12F}\x{2010}-\x{2069}\x{3000}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
 WORDS = java(r"[\w'-]+", ignore_case=False)
 # Where sentences end.
 _SENTENCE_END = java(r"""(?<=[.!?。！？])[\]\)\}"”’']*\s+""", ignore_case=False)
@@ -22,6 +29,46 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@cache
+def unsure() -> str:
+    """An expression for the JVM that finds characters that compatibility normalisation may change.
+
+    Those that it changes alone, marks that it may put in another order, and all that may join with the character before.
+    A text without any of them is normal. The class has some hundred ranges, so the longest runs of characters that are not in it
+    are passed over first.
+    """
+    joining = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for code in range(sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            joining.add(int(parts[1], 16))
+    hits = [
+        code for code in range(0x80, sys.maxunicode + 1)
+        if not 0xD800 <= code < 0xE000 and (code in joining or unicodedata.combining(chr(code)) or not unicodedata.is_normalized("NFKC", chr(code)))
+    ]
+    ranges, between = [[hits[0], hits[0]]], [(0, hits[0] - 1)]
+    for code in hits[1:]:
+        if code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            between.append((ranges[-1][1] + 1, code - 1))
+            ranges.append([code, code])
+    written = lambda pairs: "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in pairs)
+    common = sorted({*sorted(between, key=lambda r: r[0] - r[1])[:_RUNS], *[r for r in between if any(r[0] <= ord(c) <= r[1] for c in _COMMON)]})
+    return f"(?=[^{written(common)}])[{written(ranges)}]"
+
+
+@cache
+def folds() -> tuple[str, str, dict[str, str]]:
+    """Caseless forms beyond ASCII: characters and what each becomes, and those that become several."""
+    single, several = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        form = chr(code).casefold()
+        if form != chr(code):
+            (single if len(form) == 1 else several)[chr(code)] = form
+    return "".join(single), "".join(single.values()), several
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
@@ -30,10 +77,10 @@ def collapse(text: Column) -> Column:
 def normalize_text(text: Column, nfkc: bool = True) -> Column:
     """Compatibility normalisation, control and unassigned characters as spaces, white space collapsed.
 
-    Python sees only texts with characters beyond ASCII; ``nfkc=False`` leaves it out for corpora known to be normal.
+    Python sees only texts with a character that may not be normal; ``nfkc=False`` leaves it out for corpora known to be normal.
     """
     if nfkc:
-        text = F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+        text = F.coalesce(_nfkc(F.when(text.rlike(unsure()), text)), text)
     return collapse(F.regexp_replace(text, r"\p{C}", " "))
 
 
@@ -47,14 +94,19 @@ def split_paragraphs(text: Column, nfkc: bool = True) -> Column:
     """Normalised paragraphs of raw text, at blank lines; empty ones dropped."""
     parts = F.split(text, r"(?:\r?\n){2,}")
     if nfkc:
-        joined = F.split(F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(parts, "\u0000"))), F.array_join(parts, "\u0000")), "\u0000")
+        joined = F.split(F.coalesce(_nfkc(F.when(text.rlike(unsure()), F.array_join(parts, "\u0000"))), F.array_join(parts, "\u0000")), "\u0000")
         parts = joined
     return F.filter(F.transform(parts, lambda p: normalize_text(p, nfkc=False)), lambda p: p != "")
 
 
 def casefold(text: Column) -> Column:
-    """Caseless form; exact but for a few hundred characters that normalised prose does not use."""
-    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Caseless form, for all of Unicode: lower case where the text has no other characters than those for which that is the same."""
+    plain, forms, several = folds()
+    other = F.translate(text, _UPPER + plain, _UPPER.lower() + forms)
+    many = other
+    for char, form in several.items():
+        many = F.replace(many, F.lit(char), F.lit(form))
+    return F.when(~text.rlike(f"[^{_LOWERED}]"), F.lower(text)).when(text.rlike("[" + "".join(several) + "]"), many).otherwise(other)
 
 
 def words(text: Column) -> Column:

@@ -29,11 +29,15 @@ def _least_overlap(size: Column, threshold: float) -> Column:
 
 
 def ordered_sets(rows: DataFrame, book: str, key: str, words: str) -> DataFrame:
-    """(book, key, t, size): distinct words as 64-bit hashes, in order of their frequency in the book, rare first."""
-    tokens = rows.select(F.col(book).alias("book"), F.col(key).alias("key"), F.explode(F.array_distinct(words)).alias("w")).select("book", "key", F.xxhash64("w").alias("h"))
+    """(sid, book, key, t, size): distinct words as 64-bit hashes, in order of their frequency in the book, rare first.
+
+    ``sid`` is a number in place of book and key, so that what is shuffled for every word of a prefix stays small.
+    """
+    rows = settled(rows.select(F.col(book).alias("book"), F.col(key).alias("key"), F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)).alias("t"), F.monotonically_increasing_id().alias("sid")), "similarity-words")
+    tokens = rows.select("sid", "book", F.explode("t").alias("h"))
     frequency = tokens.groupBy("book", "h").agg(F.count(F.lit(1)).alias("n"))
-    sets = tokens.join(frequency, ["book", "h"]).groupBy("book", "key").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("t"))
-    return sets.select("book", "key", F.transform("t", lambda x: x["h"]).alias("t"), F.size("t").alias("size"))
+    sets = tokens.join(frequency, ["book", "h"]).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("t"))
+    return rows.select("sid", "book", "key").join(sets.select("sid", F.transform("t", lambda x: x["h"]).alias("t"), F.size("t").alias("size")), "sid")
 
 
 def _possible(threshold: float, depth: int) -> Column:
@@ -43,23 +47,22 @@ def _possible(threshold: float, depth: int) -> Column:
 
 
 def _pairs(a: DataFrame, b: DataFrame, on: Column, threshold: float, depth: int) -> DataFrame:
-    met = a.alias("a").join(b.alias("b"), on & _possible(threshold, depth))
-    return met.select(F.col("a.book").alias("book"), F.least("a.key", "b.key").alias("i"), F.greatest("a.key", "b.key").alias("j"))
+    met = a.alias("a").join(b.alias("b"), (F.col("a.path") == F.col("b.path")) & on & _possible(threshold, depth))
+    return met.select(F.least("a.sid", "b.sid").alias("x"), F.greatest("a.sid", "b.sid").alias("y"))
 
 
 def _by_key(rows: DataFrame, threshold: float, depth: int) -> DataFrame:
-    on = (F.col("a.book") == F.col("b.book")) & (F.col("a.path") == F.col("b.path")) & (F.col("a.key") < F.col("b.key"))
-    return _pairs(rows, rows, on, threshold, depth)
+    return _pairs(rows, rows, F.col("a.sid") < F.col("b.sid"), threshold, depth)
 
 
 def _by_block(rows: DataFrame, threshold: float, depth: int) -> DataFrame:
     """All pairs of groups of any size; a text is copied once for each block it is compared with."""
-    sizes = rows.groupBy("book", "path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, ["book", "path"]).withColumn("x", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sizes = rows.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "path").withColumn("x", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     a = dealt.withColumn("y", F.explode(F.sequence("x", F.col("blocks") - 1)))
     b = dealt.withColumnRenamed("x", "y").withColumn("x", F.explode(F.sequence(F.lit(0), "y")))
-    on = (F.col("a.book") == F.col("b.book")) & (F.col("a.path") == F.col("b.path")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
-    return _pairs(a, b, on & ((F.col("a.x") < F.col("a.y")) | (F.col("a.key") < F.col("b.key"))), threshold, depth)
+    on = (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    return _pairs(a, b, on & ((F.col("a.x") < F.col("a.y")) | (F.col("a.sid") < F.col("b.sid"))), threshold, depth)
 
 
 def similar_pairs(sets: DataFrame, threshold: float, crowd: int = CROWD, depth: int = DEPTH) -> DataFrame:
@@ -72,11 +75,11 @@ def similar_pairs(sets: DataFrame, threshold: float, crowd: int = CROWD, depth:
     ratio = threshold / (2 - threshold)
     sets = settled(sets, "similarity-sets")
     reach = F.col("size") - _least_overlap(F.col("size"), threshold)
-    level = sets.select("book", "key", "size", F.posexplode(F.slice("t", F.lit(1), reach + 1)).alias("pos", "path"))
-    met = []
+    first = sets.select("sid", "book", "size", F.posexplode(F.slice("t", F.lit(1), reach + 1)).alias("pos", "h"))
+    level, met = first.select("sid", "size", "pos", F.xxhash64("book", "h").alias("path")), []
     for k in range(1, depth + 1):
-        crowds = level.groupBy("book", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = settled(level.join(crowds, ["book", "path"]), f"similarity-keys-{k}")
+        crowds = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        level = settled(level.join(crowds, "path"), f"similarity-keys-{k}")
         met.append(_by_key(level.where(F.col("n") <= crowd), threshold, k))
         level = level.where(F.col("n") > crowd).drop("n")
         if level.isEmpty():
@@ -85,14 +88,14 @@ def similar_pairs(sets: DataFrame, threshold: float, crowd: int = CROWD, depth:
             met.append(_by_block(level, threshold, k))
             break
         # texts that may share no further word with a similar one, and all that are short enough for these
-        met.append(_by_block(level.where(F.col("size") * ratio * ratio <= k), threshold, k))
-        further = level.where(_least_overlap(F.col("size"), threshold) > k).join(sets.select("book", "key", "t"), ["book", "key"])
+        met.append(_by_block(level.where(F.col("size") * (ratio * ratio) <= k + SLACK), threshold, k))
+        further = level.where(_least_overlap(F.col("size"), threshold) > k).join(sets.select("sid", "t"), "sid")
         nexts = F.transform(F.slice("t", F.col("pos") + 2, F.greatest(reach + k - F.col("pos"), F.lit(0))), lambda h, i: F.struct((F.col("pos") + 1 + i).alias("pos"), h.alias("h")))
-        level = further.select("book", "key", "size", "path", F.explode(nexts).alias("next")).select("book", "key", "size", F.col("next.pos").alias("pos"), F.xxhash64("path", "next.h").alias("path"))
+        level = further.select("sid", "size", "path", F.explode(nexts).alias("next")).select("sid", "size", F.col("next.pos").alias("pos"), F.xxhash64("path", "next.h").alias("path"))
     pairs = met[0]
     for more in met[1:]:
         pairs = pairs.unionByName(more)
-    left, right = sets.select("book", F.col("key").alias("i"), F.col("t").alias("x")), sets.select("book", F.col("key").alias("j"), F.col("t").alias("y"))
-    both = pairs.distinct().join(left, ["book", "i"]).join(right, ["book", "j"])
-    dice = 2 * F.size(F.array_intersect("x", "y")) / (F.size("x") + F.size("y"))
-    return both.select("book", "i", "j", dice.alias("dice")).where(F.col("dice") >= threshold)
+    left, right = sets.select(F.col("sid").alias("x"), "book", F.col("key").alias("i"), F.col("t").alias("s")), sets.select(F.col("sid").alias("y"), F.col("book").alias("other"), F.col("key").alias("j"), F.col("t").alias("u"))
+    both = pairs.distinct().join(left, "x").join(right, "y").where("book = other")
+    dice = 2 * F.size(F.array_intersect("s", "u")) / (F.size("s") + F.size("u"))
+    return both.select("book", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), dice.alias("dice")).where(F.col("dice") >= threshold)

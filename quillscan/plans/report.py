@@ -58,13 +58,22 @@ def extracted_text(analysis: Analysis) -> DataFrame:
     return rows.select("book_id", "chapter_seq", F.col("file"), title.alias("title"), F.coalesce("ps", F.array().cast("array<string>")).alias("paragraphs"))
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    """Findings in ranges of the report's order, each sorted: parts, one after another, are the sorted whole.
+
+    A book is only split where it has more findings than a range; no task has more than its range.
+    """
+    return findings.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+
+
 def write_corpus(analysis: Analysis, folder: str) -> dict[str, str]:
-    """Reports of many books as tables: findings (Parquet), book records and counts (JSON lines)."""
-    parts = {"findings": finding_records(analysis.findings), "counts": finding_counts(analysis.findings)}
-    for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    """Reports of many books as tables: findings in order (Parquet, and CSV for readers without it), counts (Parquet), book records (JSON lines)."""
+    found = in_order(analysis.findings)
+    finding_records(found).write.mode("overwrite").parquet(f"{folder}/findings")
+    found.select("book_id", *FIELDS).write.mode("overwrite").csv(f"{folder}/findings-csv", header=True, escape='"', quoteAll=False, lineSep="\r\n")
+    finding_counts(analysis.findings).write.mode("overwrite").parquet(f"{folder}/counts")
     book_records(analysis).select("book_id", F.to_json("record").alias("value")).select("value").write.mode("overwrite").text(f"{folder}/books")
-    return {name: f"{folder}/{name}" for name in (*parts, "books")}
+    return {name: f"{folder}/{name}" for name in ("findings", "findings-csv", "counts", "books")}
 
 
 def record(analysis: Analysis) -> dict[str, Any]:

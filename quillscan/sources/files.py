@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import mimetypes
 import os
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 import pandas as pd
@@ -148,19 +148,44 @@ def folder_digests(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "book_id string, sha256 string")
 
 
-def from_files(files: DataFrame, resources: DataFrame | None = None, title_from_metadata: bool = False) -> Tables:
+@dataclass(frozen=True)
+class Limits:
+    """Most bytes of a file, and most files and bytes of a book."""
+
+    file_bytes: int = FILE_BYTES
+    files: int = DIRECTORY_FILES
+    total_bytes: int = DIRECTORY_BYTES
+
+
+def within(files: DataFrame, limits: Limits) -> DataFrame:
+    """(book_id, file) of all files, in which a book beyond the limits fails the job that reads them.
+
+    Only names and lengths are looked at, by the job that runs anyway.
+    """
+    whole = Window.partitionBy("book_id")
+    rows = files.select("book_id", "file", "length").withColumns({"n": F.count(F.lit(1)).over(whole), "all": F.sum("length").over(whole)})
+    wrong = (
+        F.when(F.col("length") > limits.file_bytes, F.concat(F.lit(f"Input file exceeds max-file-size ({limits.file_bytes} bytes): "), F.col("book_id"), F.lit("/"), F.col("file")))
+        .when(F.col("n") > limits.files, F.concat(F.lit(f"Input exceeds {limits.files} supported files: "), F.col("book_id")))
+        .when(F.col("all") > limits.total_bytes, F.concat(F.lit(f"Input exceeds {limits.total_bytes} total bytes: "), F.col("book_id")))
+    )
+    return rows.select("book_id", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(F.col("file")).alias("file"))
+
+
+def from_files(files: DataFrame, resources: DataFrame | None = None, title_from_metadata: bool = False, limits: Limits | None = None) -> Tables:
     """Books from (book_id, source_path, file, length, content) rows: text and markup files in the order of their names.
 
-    Markup chapters are titled by their first heading (or metadata, for a file that is a book by itself), text chapters
+    With ``limits``, reading any table of a book beyond them fails. Markup chapters are titled by their first heading (or metadata, for a file that is a book by itself), text chapters
     by the file's stem. The first value of a metadata key wins.
     """
     spark = files.sparkSession
     if title_from_metadata:
-        files = files.withColumn("chapter_seq", F.lit(0).cast("long"))
+        size = F.when(F.col("length") > limits.file_bytes, F.raise_error(F.concat(F.lit(f"Input file exceeds max-file-size ({limits.file_bytes} bytes): "), F.col("book_id")))).otherwise(F.lit(0)) if limits else F.lit(0)
+        files = files.withColumn("chapter_seq", size.cast("long"))
     else:
         # names alone are numbered: no content is sorted
         order = F.row_number().over(Window.partitionBy("book_id").orderBy("file"))
-        names = files.select("book_id", "file").distinct().withColumn("chapter_seq", (order - 1).cast("long"))
+        names = (within(files, limits) if limits else files.select("book_id", "file")).distinct().withColumn("chapter_seq", (order - 1).cast("long"))
         files = files.join(names, ["book_id", "file"])
     text = files.where(suffix_of(F.col("file")).isin(*TEXT))
     stem = F.regexp_replace(name_of(F.col("file")), r"(?<=.)\.[^.]+$", "")

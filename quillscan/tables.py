@@ -84,9 +84,15 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(cores, *keys) if size < cores * SPLIT else rows
 
 
-def from_texts(rows: DataFrame, nfkc: bool = True) -> Tables:
-    """Books from (book_id, chapter_seq, file, title, text) rows, one plain-text chapter each."""
+def from_texts(rows: DataFrame, nfkc: bool = True, max_bytes: int | None = None) -> Tables:
+    """Books from (book_id, chapter_seq, file, title, text) rows, one plain-text chapter each.
+
+    With ``max_bytes``, reading paragraphs or sentences of a longer text fails.
+    """
     spark = rows.sparkSession
+    if max_bytes is not None:
+        told = F.concat(F.lit(f"Text exceeds {max_bytes} bytes: "), F.coalesce("book_id", F.lit("")), F.lit("/"), F.coalesce("file", F.lit("")))
+        rows = rows.withColumn("text", F.when(F.octet_length("text") > max_bytes, F.raise_error(told).cast("string")).otherwise(F.col("text")))
     rows = spread(rows, "book_id", "chapter_seq")
     chapters = rows.select("book_id", F.col("chapter_seq").cast("long").alias("chapter_seq"), "file", "title", F.lit("").alias("toc_title"), F.array().cast("array<string>").alias("headings"))
     paragraphs = rows.select("book_id", F.col("chapter_seq").cast("long").alias("chapter_seq"), "file", F.col("title").alias("chapter"), F.posexplode(split_paragraphs(F.coalesce(F.col("text"), F.lit("")), nfkc)).alias("par", "text"))
