@@ -16,8 +16,10 @@ from quillscan.functions.udf import vectorized
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Runs of normal characters that are passed over first: the longest, and those of characters that texts are made of.
 _RUNS, _COMMON = 8, "aéšяλかア漢한’"
-# Where lower case and caseless form are one: ASCII, Latin without sharp s, the long s and the like, punctuation, Han, kana, Hangul.
-_LOWERED = r"\x00-\xB4\xB6-\xDE\xE0-\x{12F}\x{2010}-\x{2069}\x{3000}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
+# Where lower case and caseless form are one, but for sharp s: ASCII and most of Latin, punctuation and symbols, Han, kana, Hangul.
+# Latin by itself is tried first, as two ranges are matched ten times as fast as five.
+_LATIN = r"\x{0}-\x{b4}\x{b6}-\x{12f}"
+_LOWERED = r"\x{0}-\x{b4}\x{b6}-\x{12f}\x{2010}-\x{2bff}\x{2e80}-\x{a63f}\x{ac00}-\x{d7a3}"
 WORDS = java(r"[\w'-]+", ignore_case=False)
 # Where sentences end.
 _SENTENCE_END = java(r"""(?<=[.!?。！？])[\]\)\}"”’']*\s+""", ignore_case=False)
@@ -86,7 +88,8 @@ def normalize_text(text: Column, nfkc: bool = True) -> Column:
 
 def split_sentences(normal: Column) -> Column:
     """Sentences of normalised text, in order: after terminal punctuation, and after Korean endings before a new start."""
-    parts = F.flatten(F.transform(F.split(normal, _SENTENCE_END), lambda p: F.split(p, _KOREAN_END)))
+    parts = F.split(normal, _SENTENCE_END)
+    parts = F.when(normal.rlike("[가-힣]"), F.flatten(F.transform(parts, lambda p: F.split(p, _KOREAN_END)))).otherwise(parts)
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 
@@ -103,10 +106,11 @@ def casefold(text: Column) -> Column:
     """Caseless form, for all of Unicode: lower case where the text has no other characters than those for which that is the same."""
     plain, forms, several = folds()
     other = F.translate(text, _UPPER + plain, _UPPER.lower() + forms)
-    many = other
-    for char, form in several.items():
-        many = F.replace(many, F.lit(char), F.lit(form))
-    return F.when(~text.rlike(f"[^{_LOWERED}]"), F.lower(text)).when(text.rlike("[" + "".join(several) + "]"), many).otherwise(other)
+    # one constant in the plan, instead of a hundred nested calls in the compiled code
+    pairs = F.array(*[F.struct(F.lit(char).alias("char"), F.lit(form).alias("form")) for char, form in several.items()])
+    many = F.aggregate(pairs, other, lambda done, p: F.replace(done, p["char"], p["form"]))
+    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return F.when(~text.rlike(f"[^{_LATIN}]"), lowered).when(~text.rlike(f"[^{_LOWERED}]"), lowered).when(text.rlike("[" + "".join(several) + "]"), many).otherwise(other)
 
 
 def words(text: Column) -> Column:

@@ -24,7 +24,7 @@ from quillscan.shared import settled
 
 _BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 2**64)) for b in _BASES)
-PHRASE = ["book", "width", "a", "b"]
+PHRASE = ["width", "a", "b"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,13 +52,16 @@ def _hashes(tokens: pa.ListArray, row: np.ndarray, pos: np.ndarray, width: np.nd
 
 
 def numbered_sentences(rows: DataFrame, low: int) -> DataFrame:
-    """(sid, book, ord, w, t): sentences of at least ``low`` tokens, each with a number and its tokens' hashes."""
-    rows = rows.where(F.size("w") >= low).select(F.col("book_id").alias("book"), "ord", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("t"))
+    """(sid, book, ord, w, t): sentences of at least ``low`` tokens, each with a number and its tokens' hashes.
+
+    The book is part of these hashes, so that phrases of different books differ and need not carry it.
+    """
+    rows = rows.where(F.size("w") >= low).select(F.col("book_id").alias("book"), "ord", "w", F.transform("w", lambda x: F.xxhash64("book_id", x)).alias("t"))
     return settled(rows.withColumn("sid", F.monotonically_increasing_id()), "repeat-sentences")
 
 
 def _all_runs(sentences: DataFrame, width: int) -> DataFrame:
-    """Every run of one width: sid, book, pos, m (tokens of the sentence), before (the token before it, as a hash), width, a, b."""
+    """Every run of one width: sid, pos, m (tokens of the sentence), before (the token before it, as a hash), width, a, b."""
 
     def run(batches):
         for batch in batches:
@@ -70,9 +73,9 @@ def _all_runs(sentences: DataFrame, width: int) -> DataFrame:
             take = pa.array(row)
             starts = tokens.offsets.to_numpy().astype(np.int64)[row] + pos
             before = tokens.values.take(pa.array(np.where(pos > 0, starts - 1, -1), mask=pos == 0))
-            yield pa.RecordBatch.from_arrays([batch.column("sid").take(take), batch.column("book").take(take), pa.array(pos, pa.int32()), pa.array(size[row], pa.int32()), before, pa.array(np.full(len(row), width), pa.int32()), *_hashes(tokens, row, pos, np.full(len(row), width))], names=["sid", "book", "pos", "m", "before", "width", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("sid").take(take), pa.array(pos, pa.int32()), pa.array(size[row], pa.int32()), before, pa.array(np.full(len(row), width), pa.int32()), *_hashes(tokens, row, pos, np.full(len(row), width))], names=["sid", "pos", "m", "before", "width", "a", "b"])
 
-    return sentences.select("sid", "book", "t").mapInArrow(run, "sid long, book string, pos int, m int, before long, width int, a long, b long")
+    return sentences.select("sid", "t").mapInArrow(run, "sid long, pos int, m int, before long, width int, a long, b long")
 
 
 def _runs_at(sentences: DataFrame, wanted: DataFrame, width: Column) -> DataFrame:
@@ -124,7 +127,7 @@ def maximal_repeats(rows: DataFrame, low: int = 3) -> DataFrame:
     counts = runs.groupBy(*PHRASE).agg(F.count(F.lit(1)).alias("clo")).where("clo > 1")
     place = F.struct("ord", "pos")
     start = runs.join(counts, PHRASE).join(sentences.select("sid", "ord"), "sid").select(
-        "sid", "book", "pos", "m", F.lit(low).alias("lo"), "clo", F.lit(1).cast("long").alias("n"), place.alias("first"), place.alias("last"),
+        "sid", "pos", "m", F.lit(low).alias("lo"), "clo", F.lit(1).cast("long").alias("n"), place.alias("first"), place.alias("last"),
         F.col("before").alias("low"), F.col("before").alias("high"), F.col("before").isNull().alias("edge"),
         # level k: the least power of two beyond what is left of the sentence
         F.greatest(F.ceil(F.log2(F.col("m") - F.col("pos") - low + F.lit(1))), F.lit(0)).cast("int").alias("level"),
@@ -150,4 +153,4 @@ def maximal_repeats(rows: DataFrame, low: int = 3) -> DataFrame:
     ends = ends.unionByName(carried) if carried is not None else ends
     found = _classes(_runs_at(sentences, ends, F.col("lo"))).where(F.col("edge") | (F.col("low") != F.col("high")))
     spelt = F.array_join(F.slice("w", F.col("pos") + 1, F.col("width")), " ")
-    return found.join(sentences.select("sid", "w"), "sid").select(F.col("book").alias("book_id"), "width", "n", "first", "last", spelt.alias("phrase"))
+    return found.join(sentences.select("sid", "book", "w"), "sid").select(F.col("book").alias("book_id"), "width", "n", "first", "last", spelt.alias("phrase"))

@@ -1,6 +1,6 @@
 """Similar wording without a budget: a set-similarity join by prefixes.
 
-The words of every text are put in one order, rare ones of its book first. Two sets whose Dice coefficient reaches
+The words of every text are put in one order, rare ones first. Two sets whose Dice coefficient reaches
 ``threshold`` share at least ``overlap`` words, so each has one of the shared words among its first
 ``size - overlap + 1``, and the k-th shared word among its first ``size - overlap + k``. Texts therefore meet on the words
 of these prefixes; sizes that cannot reach the threshold, and positions that leave too few words, are passed over; what is left is checked
@@ -13,13 +13,15 @@ share a further word, are dealt into blocks, every pair of which is compared by
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.shared import settled
 
-#: Texts that meet on one key, words of the longest key, and texts of a block.
-CROWD, DEPTH, BLOCK = 64, 6, 512
+#: Texts that meet on one key, words of the longest key, texts of a block, and buckets of word frequencies (8 MB).
+CROWD, DEPTH, BLOCK, BUCKETS = 64, 6, 512, 1 << 20
 SLACK = 1e-9
 
 
@@ -29,15 +31,28 @@ def _least_overlap(size: Column, threshold: float) -> Column:
 
 
 def ordered_sets(rows: DataFrame, book: str, key: str, words: str) -> DataFrame:
-    """(sid, book, key, t, size): distinct words as 64-bit hashes, in order of their frequency in the book, rare first.
+    """(sid, book, key, t, size): distinct words as 64-bit hashes, rare first; those of equal frequency in order of their hash.
 
-    ``sid`` is a number in place of book and key, so that what is shuffled for every word of a prefix stays small.
+    Frequencies are counted in ``BUCKETS`` buckets of hashes over all books, so that they can be broadcast whatever the vocabulary:
+    any order is right, a rarer first word only makes smaller groups. ``sid`` is a number in place of book and key, so
+    that what is shuffled for every word of a prefix stays small.
     """
     rows = settled(rows.select(F.col(book).alias("book"), F.col(key).alias("key"), F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)).alias("t"), F.monotonically_increasing_id().alias("sid")), "similarity-words")
-    tokens = rows.select("sid", "book", F.explode("t").alias("h"))
-    frequency = tokens.groupBy("book", "h").agg(F.count(F.lit(1)).alias("n"))
-    sets = tokens.join(frequency, ["book", "h"]).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("t"))
-    return rows.select("sid", "book", "key").join(sets.select("sid", F.transform("t", lambda x: x["h"]).alias("t"), F.size("t").alias("size")), "sid")
+    counts = np.zeros(BUCKETS, np.int64)
+    counted = rows.select(F.explode("t").alias("h")).groupBy(F.pmod("h", F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return rows.select("sid", "book", "key", _orderer(rows.sparkSession.sparkContext.broadcast(counts))("t").alias("t"), F.size("t").alias("size")).where("size > 0")
+
+
+def _orderer(shared):
+    def run(sets: pa.Array) -> pa.Array:
+        offsets, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        row = np.repeat(np.arange(len(sets)), np.diff(offsets))
+        flat = flat[offsets[0] : offsets[-1]]
+        order = np.lexsort((flat, shared.value[flat % BUCKETS], row))
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(flat[order]))
+
+    return F.arrow_udf(run, "array<long>")
 
 
 def _possible(threshold: float, depth: int) -> Column:
