@@ -82,6 +82,22 @@ def lean_groups(run, every: int = 32_000_000):
     return wrapped
 
 
+def lean_cogroups(run, every: int = 32_000_000):
+    """The same over the two tables of a group."""
+    held = [0]
+
+    def wrapped(left, right):
+        out = run(left, right)
+        held[0] += left.nbytes + right.nbytes
+        if held[0] > every:
+            held[0] = 0
+            del left, right
+            release()
+        return out
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))

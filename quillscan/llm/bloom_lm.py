@@ -1,9 +1,10 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Counting works on packed arrays. Every task hashes the words of some texts and sends, for each bucket of the hash
-space, the distinct words with their training counts and the documents they stand in, and the distinct training
-bigrams. A bucket's reducer therefore holds the corpus-wide counts of its n-grams: it adds up what its words
-contribute to each document's unigram score, and keeps the n-grams frequent enough for the model.
+Counting works on packed arrays. Every task hashes the words of pieces of about 2.5 MB of texts and sends, for each bucket
+of the hash space, a piece's distinct words with their training counts, and likewise its distinct training bigrams. Which
+document has which word stays with the piece. A bucket's reducer sums the counts and keeps the n-grams frequent enough
+for the model; the counts of a piece's words go back to it, and there its documents' unigram scores are added up. A word
+of all documents thus costs its bucket 12 bytes a piece, and beyond ``PIECES`` pieces a bucket is summed, and answers, in salts.
 
 The filter stores an n-gram of count c under the levels 1 .. 1 + floor(log_b(c / c_min)); a count is read back by
 probing level after level until one is absent. Kept are all n-grams that occur ``LEAST`` times or more, at every corpus
@@ -23,13 +24,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from quillscan.llm._bytes import flat, lean, lean_groups, mix, pieces, prefix, span, words
+from quillscan.llm._bytes import flat, lean, lean_cogroups, lean_groups, mix, pieces, prefix, span, words
 from quillscan.llm._store import crc_part, documents, written
 
 LEAST, LEVEL_BASE, PROBES, BITS, BIGRAM_SHARE = 2, 1.5, 7, 10, 0.15
 #: Most bytes of a filter that is broadcast, and bytes of text for each bucket of words (there are four times as many of bigrams).
 BROADCAST, BUCKET_TEXT = 128 << 20, 32 << 20
+#: Most pieces of texts that one group of a bucket hears from.
+PIECES = 1 << 16
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _PAIR, _GOLD = np.uint64(0xD1342543DE82EF95), np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,41 +69,75 @@ def _unfive(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _requests(word_bits: int, pair_bits: int):
-    """Task side of the count: rows of packed arrays, for each bucket of words and for each of bigrams."""
-    names = ["kind", "bucket", "hashes", "counts", "held", "doc", "times", "keys"]
+def _cuts(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where the buckets of ascending hashes begin, and their end."""
+    return np.r_[0, np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(h)]
 
-    def cuts(h, bits):
-        return np.r_[0, np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(h)]
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return from_arrow_schema(schema).simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+
+
+_ASKED = pa.schema([("piece", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("hashes", "counts", "doc", "times"))])
+
+
+def _words(bits: int):
+    """Task side of the words' count, for every piece of texts.
+
+    A row for each bucket has the piece's distinct words of it and their training counts. One more, of bucket -1, has the
+    keys of its documents and, for its words in ascending order, the number of documents with the word, which, and how often.
+    """
 
     def run(batches):
+        part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            raw, offsets = flat(batch.column(2))
-            keys, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            raw, offsets = flat(batch.column(3))
+            keys = np.stack([batch.column(k).to_numpy() for k in (0, 1)], 1) if len(batch) else np.zeros((0, 2), np.int64)
+            train = batch.column(2).to_numpy(zero_copy_only=False)
             for a, b in pieces(offsets, 2_500_000, 30_000):
                 row, h = token_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                learn, key, out = train[a:b], keys[a:b], []
-                pairs, often = np.unique(bigrams(row, h)[0][learn[row]], return_counts=True)
-                cut = cuts(pairs, pair_bits)
-                for k in np.flatnonzero(np.diff(cut)).tolist():
-                    some, single = pairs[cut[k] : cut[k + 1]], often[cut[k] : cut[k + 1]] == 1
-                    out.append((1, k, _five(some[single], pair_bits), often[cut[k] : cut[k + 1]][~single].astype("<u4").tobytes(), _five(some[~single], pair_bits), b"", b"", b""))
                 uniq, code = np.unique(h, return_inverse=True)
-                counts = np.bincount(code, weights=learn[row], minlength=len(uniq)).astype("<u4")
+                counts = np.bincount(code, weights=train[a:b][row], minlength=len(uniq)).astype("<u4")
                 pair, times = np.unique(code * (b - a) + row, return_counts=True)
                 word, doc = np.divmod(pair, b - a)
                 held = np.bincount(word, minlength=len(uniq)).astype("<u4")
-                cut = cuts(uniq, word_bits)
-                post = np.searchsorted(word, cut)
+                times = times.astype(np.uint8 if times.max() < 256 else "<u4")
+                piece = (part << 36) + n
+                out = [(piece, -1, keys[a:b].astype("<i8").tobytes(), held.tobytes(), doc.astype("<u2").tobytes(), times.tobytes())]
+                cut = _cuts(uniq, bits)
+                out += [(piece, k, uniq[cut[k] : cut[k + 1]].astype("<u8").tobytes(), counts[cut[k] : cut[k + 1]].tobytes(), b"", b"") for k in np.flatnonzero(np.diff(cut)).tolist()]
+                yield from _table(out, _ASKED).to_batches()
+                n += 1
+
+    return run
+
+
+_PAIRS = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), *((c, pa.binary()) for c in ("once", "more", "times"))])
+
+
+def _pairs(bits: int, salts: int):
+    """Task side of the bigrams' count: for every piece of training texts and bucket, the bigrams met once, those met more often and how often."""
+
+    def run(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            raw, offsets = flat(batch.column(0))
+            for a, b in pieces(offsets, 2_500_000, 30_000):
+                row, h = token_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                grams, often = np.unique(bigrams(row, h)[0], return_counts=True)
+                cut, out = _cuts(grams, bits), []
                 for k in np.flatnonzero(np.diff(cut)).tolist():
-                    w, p = slice(cut[k], cut[k + 1]), slice(post[k], post[k + 1])
-                    present, local = np.unique(doc[p], return_inverse=True)
-                    small = np.uint8 if times[p].max() < 256 else "<u4"
-                    out.append((0, k, uniq[w].astype("<u8").tobytes(), counts[w].tobytes(), held[w].tobytes(), local.astype("<u2").tobytes(), times[p].astype(small).tobytes(), key[present].astype("<i8").tobytes()))
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=names)
+                    some, times = grams[cut[k] : cut[k + 1]], often[cut[k] : cut[k + 1]]
+                    out.append((k, (part + n) % salts, _five(some[times == 1], bits), _five(some[times > 1], bits), times[times > 1].astype("<i8").tobytes()))
+                yield from _table(out, _PAIRS).to_batches()
+                n += 1
 
-    return run, "kind int, bucket int, " + ", ".join(f"{n} binary" for n in names[2:])
+    return run
 
 
 def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,48 +148,59 @@ def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return h[begin], np.add.reduceat(n[order].astype(np.int64), begin) if len(h) else np.zeros(0, np.int64)
 
 
-def _reduced(doc_bits: int, word_bits: int):
-    """Bucket side: statistics, kept n-grams (count ``LEAST`` or more), and each document's part of the unigram score."""
-    pack = lambda x, kind: np.ascontiguousarray(x, kind).tobytes()
+def _arrays(table: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) if len(x.as_buffer()) else np.zeros(0, kind) for x in table.column(name)]
+
+
+_COUNTED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+
+def _word_sums(kind: str):
+    """Corpus-wide training counts of a bucket's words, from counts of type ``kind``."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        take = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) if len(x.as_buffer()) else np.zeros(0, kind) for x in table.column(name)]
-        if kind == 1:
-            once, more = ([_unfive(x.as_buffer()) for x in table.column(c)] for c in ("hashes", "held"))
-            h, c = _summed(once + more, [np.ones(len(x), np.uint32) for x in once] + take("counts", "<u4"))
-            return pa.Table.from_arrays([pa.array(x) for x in zip(("pair", bucket, 0, 0, pack(h[c >= LEAST], "<u8"), pack(c[c >= LEAST], "<i8"), b"", b""))], names=schema.names).cast(schema)
-        hashes, counts = take("hashes", "<u8"), take("counts", "<u4")
-        uniq, count = _summed(hashes, counts)
-        value, seen = np.log10(count + 0.1), count > 0
-        columns = ("held", "<u4"), ("doc", "<u2"), ("times", np.uint8), ("keys", "<i8")
-        parts = []
-        for h, held, doc, times, names in zip(hashes, *(take(*c) for c in columns)):
-            if len(times) != len(doc):
-                times = times.view("<u4")
-            at = np.repeat(np.searchsorted(uniq, h), held)
-            sums = (np.bincount(doc, weights=w, minlength=len(names)) for w in (value[at] * times, seen[at] * times, np.repeat(h == _END, held)))
-            parts.append((names, *sums))
-        key, gain, known, whole = map(np.concatenate, zip(*parts))
-        short = _unfive(_five(uniq, word_bits))
-        out = [("stat", bucket, int(count.sum()), int(seen.sum()), b"", b"", b"", b""), ("word", bucket, 0, 0, pack(short[count >= LEAST], "<u8"), pack(count[count >= LEAST], "<i8"), b"", b"")]
-        part = (key.astype(np.uint64) * _GOLD >> np.uint64(64 - doc_bits)).astype(int)
-        order = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange((1 << doc_bits) + 1))
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            i = order[cut[k] : cut[k + 1]]
-            out.append(("part", k, 0, 0, pack(key[i], "<i8"), pack(gain[i], "<f8"), pack(known[i], "<u4"), pack(whole[i], "<u2")))
-        return pa.Table.from_arrays([pa.array(c) for c in zip(*out)], names=schema.names).cast(schema)
-
-    schema = pa.schema([("kind", pa.string()), ("place", pa.int32()), ("n", pa.int64()), ("v", pa.int64()), *((c, pa.binary()) for c in "abcd")])
-    return run, "kind string, place int, n long, v long, a binary, b binary, c binary, d binary"
-
-
-def _documents_parts(table: pa.Table) -> pa.Table:
-    key, gain, known, whole = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("a", "<i8"), ("b", "<f8"), ("c", "<u4"), ("d", "<u2")))
-    uniq, code = np.unique(key, return_inverse=True)
-    gain, known, whole = (np.bincount(code, weights=x, minlength=len(uniq)) for x in (gain, known, whole))
-    return pa.table({"key": pa.array(uniq, pa.int64()), "gain": pa.array(gain / whole), "n_known": pa.array(np.rint(known / whole).astype(np.int64))})
+        h, c = _summed(_arrays(table, "hashes", "<u8"), _arrays(table, "counts", kind))
+        return _table([(table.column("bucket")[0].as_py(), h.tobytes(), c.astype("<i8").tobytes())], _COUNTED)
+
+    return run
+
+
+def _pair_sums(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    once, more = ([_unfive(x) for x in _arrays(table, c, np.uint8)] for c in ("once", "more"))
+    return table.column("bucket")[0].as_py(), *_summed(once + more, [np.ones(len(x), np.int64) for x in once] + _arrays(table, "times", "<i8"))
+
+
+def _pair_partial(table: pa.Table) -> pa.Table:
+    """Counts of a bucket's bigrams over the pieces of one salt."""
+    bucket, h, c = _pair_sums(table)
+    return _table([(bucket, 0, _five(h[c == 1], 24), _five(h[c > 1], 24), c[c > 1].tobytes())], _PAIRS)
+
+
+_FILLED = pa.schema([("kind", pa.string()), ("place", pa.int32()), ("data", pa.binary())])
+
+
+def _pair_filled(table: pa.Table) -> pa.Table:
+    bucket, h, c = _pair_sums(table)
+    return _table([("pair", bucket, segment(h, c))], _FILLED)
+
+
+def _replied(asked: pa.Table, counted: pa.Table) -> pa.Table:
+    """Bucket side of the way back: corpus-wide counts of the words that each piece has."""
+    h, c = (np.concatenate(_arrays(counted, n, kind)) for n, kind in (("hashes", "<u8"), ("counts", "<i8")))
+    back = [c[np.searchsorted(h, x)].tobytes() for x in _arrays(asked, "hashes", "<u8")]
+    return pa.table([asked.column("piece"), asked.column("bucket"), pa.array(back, pa.binary())], names=["piece", "bucket", "counts"])
+
+
+def _known(piece: pa.Table, counts: pa.Table) -> pa.Table:
+    """Each document's sum of log10(c + 0.1) over its tokens, and its tokens with c > 0, from the counts sent to its piece."""
+    count = np.concatenate(_arrays(counts.sort_by("bucket"), "counts", "<i8"))
+    keys, held, doc = (_arrays(piece, n, kind)[0] for n, kind in (("hashes", "<i8"), ("counts", "<u4"), ("doc", "<u2")))
+    times = _arrays(piece, "times", np.uint8)[0]
+    if len(times) != len(doc):
+        times = times.view("<u4")
+    keys, word = keys.reshape(-1, 2), np.repeat(np.arange(len(held)), held)
+    gain, known = (np.bincount(doc, weights=x[word] * times, minlength=len(keys)) for x in (np.log10(count + 0.1), count > 0))
+    return pa.table({"key": keys[:, 0], "other": keys[:, 1], "gain": gain, "n_known": known.astype(np.int64)})
 
 
 def _slots(h: np.ndarray, level: int, bits: int):
@@ -282,28 +331,28 @@ def _judged_apart(rows: DataFrame, filled: DataFrame, model: tuple, word_bits: i
     def cut(batches):
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            offsets = flat(batch.column(1))[1]
+            offsets = flat(batch.column(2))[1]
             for a, b in pieces(offsets, 2_500_000):
-                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(c).slice(a, b - a)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 36) + n]), *lists], names=["piece", "keys", "texts", "ids"])
+                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(c).slice(a, b - a)) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 36) + n]), *lists], names=["piece", "keys", "others", "texts", "ids"])
                 n += 1
 
     kind = rows.schema["id"].dataType.simpleString()
-    cuts = written(rows.select("key", "text", "id").mapInArrow(lean(cut), f"piece long, keys array<long>, texts array<string>, ids array<{kind}>"), "lm-pieces")
+    cuts = written(rows.select("key", "other", "text", "id").mapInArrow(lean(cut), f"piece long, keys array<long>, others array<long>, texts array<string>, ids array<{kind}>"), "lm-pieces")
     asked = cuts.select("piece", "texts").mapInArrow(lean(_asked(word_bits, pair_bits)), "piece long, kind string, place int, names binary")
     read = asked.groupBy("kind", "place").cogroup(filled.select("kind", "place", "data").groupBy("kind", "place")).applyInArrow(_probed, "piece long, kind string, place int, counts binary")
 
     def judge(piece: pa.Table, counts: pa.Table) -> pa.Table:
         counts = counts.sort_by([("kind", "ascending"), ("place", "ascending")])
         of = lambda kind: Read(np.concatenate([np.frombuffer(x, "<f8") for k, x in zip(counts.column("kind").to_pylist(), counts.column("counts").to_pylist()) if k == kind]))
-        keys, texts, ids = (piece.column(c).combine_chunks().values for c in ("keys", "texts", "ids"))
+        keys, others, texts, ids = (piece.column(c).combine_chunks().values for c in ("keys", "others", "texts", "ids"))
         row, h = token_hashes(*flat(texts))
-        return pa.table({"key": keys, "doc_id": ids, "n_tokens": pa.array(np.bincount(row, minlength=len(keys))), "score": pa.array(Model(of("word"), of("pair"), *model).score(row, h, len(keys)))})
+        return pa.table({"key": keys, "other": others, "doc_id": ids, "n_tokens": pa.array(np.bincount(row, minlength=len(keys))), "score": pa.array(Model(of("word"), of("pair"), *model).score(row, h, len(keys)))})
 
-    return cuts.groupBy("piece").cogroup(read.groupBy("piece")).applyInArrow(judge, f"key long, doc_id {kind}, n_tokens long, score double")
+    return cuts.groupBy("piece").cogroup(read.groupBy("piece")).applyInArrow(judge, f"key long, other long, doc_id {kind}, n_tokens long, score double")
 
 
-def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST) -> DataFrame:
+def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST, pieces_a_group: int = PIECES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; ``train`` is the Column of rows to learn from.
 
     Null text is empty, its only token being the end. Rows that repeat id and text count each on their own and get
@@ -311,25 +360,34 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
     n-grams; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"), F.col(f"`{id_col}`").alias("id"))
+    text, id_ = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`")
+    rows = docs.select(F.xxhash64(id_, text).alias("key"), F.xxhash64(text, id_).alias("other"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"), id_.alias("id"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_bits = max(3, int(np.ceil(np.log2(max(size, 1) / BUCKET_TEXT))))
     pair_bits = word_bits + 2
-    ask, ask_schema = _requests(word_bits, pair_bits)
-    answer, answer_schema = _reduced(word_bits, word_bits)
-    packed = written(rows.select("key", "train", "text").mapInArrow(lean(ask), ask_schema).groupBy("kind", "bucket").applyInArrow(lean_groups(answer), answer_schema), "lm-counts")
+    asked = written(rows.select("key", "other", "train", "text").mapInArrow(lean(_words(word_bits)), _ddl(_ASKED)), "lm-words")
+    salts = -(-asked.where("bucket < 0").count() // pieces_a_group) or 1
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
+    words, pairs = asked.where("bucket >= 0"), rows.where("train").select("text").mapInArrow(lean(_pairs(pair_bits, salts)), _ddl(_PAIRS))
+    counted = words.groupBy("bucket", "salt").applyInArrow(lean_groups(_word_sums("<u4")), _ddl(_COUNTED))
+    if salts > 1:
+        counted = counted.groupBy("bucket").applyInArrow(lean_groups(_word_sums("<i8")), _ddl(_COUNTED))
+        pairs = pairs.groupBy("bucket", "salt").applyInArrow(lean_groups(_pair_partial), _ddl(_PAIRS))
+    counted = written(counted, "lm-counts")
 
     def fill(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                h, c = np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<i8")
-                yield pa.RecordBatch.from_pydict({"kind": [r["kind"]], "place": pa.array([r["place"]], pa.int32()), "data": pa.array([segment(h, c)], pa.binary()), "mass": [int(c.sum())], "kept": [len(c)]})
-
-    grams = packed.where("kind in ('word', 'pair')").select("kind", "place", "a", "b")
-    filled = written(grams.mapInArrow(lean(fill), "kind string, place int, data binary, mass long, kept long"), "lm-filter")
-    sums = lambda of, *names: of.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names]).first()
-    (tokens, types), (bytes_,), (mass, kept) = sums(packed.where("kind = 'stat'"), "n", "v"), sums(filled, F.length("data")), sums(filled.where("kind = 'word'"), "mass", "kept")
+            for bucket, h, c in zip(*(batch.column(k) for k in range(3))):
+                h, c = np.frombuffer(h.as_buffer(), "<u8"), np.frombuffer(c.as_buffer(), "<i8")
+                often = c[c >= LEAST]
+                row = {"kind": ["word"], "place": [bucket.as_py()], "data": [segment(_unfive(_five(h, word_bits)), c)], "mass": [int(often.sum())], "kept": [len(often)], "n": [int(c.sum())], "v": [int((c > 0).sum())]}
+                yield pa.RecordBatch.from_arrays([pa.array(row["kind"]), pa.array(row["place"], pa.int32()), pa.array(row["data"], pa.binary()), *(pa.array(row[x], pa.int64()) for x in ("mass", "kept", "n", "v"))], names=list(row))
+
+    of_words = counted.mapInArrow(lean(fill), _ddl(_FILLED) + ", mass long, kept long, n long, v long")
+    of_pairs = pairs.groupBy("bucket").applyInArrow(lean_groups(_pair_filled), _ddl(_FILLED))
+    filled = written(of_words.unionByName(of_pairs, allowMissingColumns=True), "lm-filter")
+    sums = [F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "mass", "kept", F.length("data"))]
+    tokens, types, mass, kept, bytes_ = filled.agg(*sums).first()
     rare = tokens, tokens - mass, types - kept
     if bytes_ <= broadcast_bytes:
         found = {(r["kind"], r["place"]): bytes(r["data"]) for r in filled.select("kind", "place", "data").collect()}
@@ -339,17 +397,20 @@ def scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
 
         def judge(batches):
             for batch in batches:
-                raw, offsets = flat(batch.column(1))
+                raw, offsets = flat(batch.column(2))
                 for a, b in pieces(offsets, 1_500_000):
                     row, h = token_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.bincount(row, minlength=b - a)), pa.array(shared.value.score(row, h, b - a))], names=["key", "doc_id", "n_tokens", "score"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1, 3)), pa.array(np.bincount(row, minlength=b - a)), pa.array(shared.value.score(row, h, b - a))], names=["key", "other", "doc_id", "n_tokens", "score"])
 
-        judged = rows.select("key", "text", "id").mapInArrow(lean(judge), f"key long, doc_id {rows.schema['id'].dataType.simpleString()}, n_tokens long, score double")
+        judged = rows.select("key", "other", "text", "id").mapInArrow(lean(judge), f"key long, other long, doc_id {rows.schema['id'].dataType.simpleString()}, n_tokens long, score double")
     else:
         judged = _judged_apart(rows, filled, rare, word_bits, pair_bits)
-    base = packed.where("kind = 'part'").groupBy("place").applyInArrow(lean_groups(_documents_parts), "key long, gain double, n_known long")
+    answers = counted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    replies = words.groupBy("bucket", "salt").cogroup(answers.groupBy("bucket", "salt")).applyInArrow(lean_cogroups(_replied), "piece long, bucket int, counts binary")
+    base = asked.where("bucket < 0").groupBy("piece").cogroup(replies.groupBy("piece")).applyInArrow(lean_cogroups(_known), "key long, other long, gain double, n_known long")
+    base = base.groupBy("key", "other").agg(F.first("gain").alias("gain"), F.first("n_known").alias("n_known"))
     floor = float(np.log10(tokens + 0.1 * (types + 1)))
-    return judged.join(base, "key").select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * floor).alias("base_score"), "score")
+    return judged.join(base, ["key", "other"]).select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * floor).alias("base_score"), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,7 @@ def test_language_model(odd, none):
     assert all(r.score < 0 for r in got) and bloom_lm.scores(none, F.lit(True)).count() == bloom_lm.scores(none, F.lit(True), broadcast_bytes=-1).count() == 0
     key = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in rows)
     assert key(got) == key(bloom_lm.scores(odd, F.col("doc_id") % 3 != 0, broadcast_bytes=0).collect())
+    assert key(got) == key(bloom_lm.scores(odd, F.col("doc_id") % 3 != 0, pieces_a_group=1).collect())
     untrained = bloom_lm.scores(odd, F.lit(False)).collect()
     assert len(untrained) == len(rows) and {r.train_tokens for r in untrained} == {0}
 
@@ -174,6 +175,21 @@ def test_scores_against_exact_counts(spark):
     assert np.median(off) < 0.01 and max(off) < 0.1
 
 
+def test_salted_buckets_and_words_of_all_documents(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "everywhere " + " ".join(f"w{x}" for x in rng.integers(0, 300, 12))) for i in range(3000)] + [(5, "everywhere")] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    learn = F.col("doc_id") % 10 != 0
+    whole, salted, apart = (sorted(bloom_lm.scores(table, learn, **how).collect()) for how in ({}, {"pieces_a_group": 1}, {"pieces_a_group": 2, "broadcast_bytes": 0}))
+    assert whole == salted == apart
+    n, want = brute_lm(rows, lambda d: d % 10 != 0)
+    want = sorted((d, *w) for (d, _), w in zip(rows, want))
+    assert all((r.doc_id, r.n_tokens, r.n_known) == w[:3] and abs(r.base_score - w[3]) < 1e-6 for r, w in zip(whole, want, strict=True))
+    sent = table.select(F.xxhash64("doc_id").alias("k"), F.xxhash64("text").alias("o"), learn.alias("train"), "text").coalesce(2).mapInArrow(bloom_lm._words(3), bloom_lm._ddl(bloom_lm._ASKED))
+    pieces, held = sent.where("bucket < 0").count(), sent.where("bucket >= 0").agg(F.sum(F.length("hashes") + F.length("counts"))).first()[0]
+    assert held == pieces * 12 * 302  # 300 words, the one of all documents and the end: nothing a document
+
+
 def test_filter_counts():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
