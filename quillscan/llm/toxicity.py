@@ -7,8 +7,9 @@ transition weights is then fitted to those token labels by gradient ascent on th
 
 Most words carry no weight, and between two weighted words the chain is a power of one constant matrix. So
 forward and backward passes run over the weighted words alone, with those powers in closed form, which gives
-the exact marginals. A document's evidence is the sum of its toxic marginals; a one-variable logistic curve
-fitted on the sample turns it into a probability.
+the exact marginals. A document's evidence is the sum of its toxic marginals. A logistic curve of it turns it into a
+probability. The curve is fitted by cross-fitting: evidence comes from chains that have seen neither the document nor its
+near copies, and is computed on the executors for texts of all lengths, so only numbers and labels come back.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from quillscan.llm._bytes import ALNUM, flat, lean, mix, pieces, prefix, release
 from quillscan.llm._store import crc_part, documents, small_batches
 
 #: Bound of the training sample: documents of either label, drawn among those of at most so many characters.
-SAMPLE_DOCS, SAMPLE_CHARS = 800, 10_000
-LEXICON, MIN_DOCS, STEPS, ASCENT, MOST_EVIDENCE = 2000, 3, 300, 100, 20.0
+SAMPLE_DOCS, SAMPLE_CHARS = 1200, 10_000
+#: Bound of the sample of either label that sets the curve from evidence to score, of any length; and parts for cross-fitting.
+CURVE_DOCS, FOLDS = 4000, 3
+MIN_DOCS, STEPS, ASCENT = 3, 300, 100
 #: Lengths in bytes of the prefixes that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 
@@ -154,8 +157,29 @@ def tagged(texts: pa.Array, model: dict):
     return evidence, [np.concatenate(c) for c in zip(*found)]
 
 
+def copies(rows: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
+    """Two least hashes of each row's features, which near copies of a text share; 0 for a row without words."""
+    least = np.zeros((2, n), np.uint64)
+    begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+    for k in range(2):
+        if len(rows):
+            each = np.where(features > 0, mix(features ^ np.uint64(k)), ~np.uint64(0)).min(axis=0)
+            least[k, rows[begin]] = np.minimum.reduceat(each, begin)
+    return least
+
+
+def fold_of(texts: pa.Array) -> np.ndarray:
+    """Part for cross-fitting of each text, the same for most near copies."""
+    raw, offsets = flat(texts)
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for a, b in pieces(offsets, most_rows=20_000):
+        rows, features = tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[2:]
+        out[a:b] = (copies(rows, features, b - a)[0] >> np.uint64(20)) % np.uint64(FOLDS)
+    return out
+
+
 def fit_chain(texts: list[str], labels: np.ndarray) -> dict | None:
-    """The model from labelled texts; None where there is none of either label."""
+    """The chain from labelled texts; None where there is none of either label, or no word that tells them apart."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return None
@@ -166,13 +190,9 @@ def fit_chain(texts: list[str], labels: np.ndarray) -> dict | None:
     code = code.reshape(features.shape)
     pair = np.unique(rows * len(every) + code)
     row, col = np.divmod(pair[every[pair % len(every)] > 0], len(every))
-    # near copies of a document share the least of two hashes of their words; together they count as one
-    least = np.zeros((2, len(y)), np.uint64)
-    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
-    for k in range(2):
-        if len(row):
-            least[k, row[begin]] = np.minimum.reduceat(mix(every[col] ^ np.uint64(k)), begin)
-    group, members = np.unique(least, axis=1, return_inverse=True, return_counts=True)[1:]
+    # near copies of a document count together as one
+    members = np.unique(copies(rows, features, len(y)), axis=1, return_inverse=True, return_counts=True)
+    group, members = members[1], members[2]
     share = 1 / members[group.reshape(-1)]
     bad = np.bincount(col, weights=(y * share)[row], minlength=len(every))
     good = np.bincount(col, weights=((1 - y) * share)[row], minlength=len(every))
@@ -214,9 +234,7 @@ def fit_chain(texts: list[str], labels: np.ndarray) -> dict | None:
     if not tag.any():
         return None
     used = np.unique(at[:, tag > 0])
-    used = used[(used >= 0)]
-    used = np.sort(used[np.argsort(-w[used])[:LEXICON]])
-    known = vocab[used]
+    known = vocab[used[used >= 0]]
     at = known_of(features, known)
     # all weights by ascent of the conditional likelihood of the tags with exact marginals: what is seen less what is expected
     size = np.bincount(rows, minlength=len(y))
@@ -242,17 +260,38 @@ def fit_chain(texts: list[str], labels: np.ndarray) -> dict | None:
         move = np.array(model["move"])
         move += np.clip((seen - moves - 0.05 * move) / (seen + moves), -0.5, 0.5)
         model["move"], model["bias"] = move.tolist(), model["bias"] + float(np.clip((toxic - toxic_now - 0.05 * model["bias"]) / (toxic + toxic_now), -0.5, 0.5))
-    model["weights"] = gain
-    x = np.minimum(np.bincount(rows, weights=chain(rows, place, sums(), size, model)[0], minlength=len(y)), MOST_EVIDENCE)
-    a, c = 1.0, -1.0
+    return model | {"weights": gain}
+
+
+def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Logistic curve of log(1 + evidence), each row with its weight; its slope is not negative."""
+    a, c, x = 1.0, -1.0, np.log1p(x)
     for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
-        g = np.array([((q - y) * x * scale).sum() + 1e-3 * a, ((q - y) * scale).sum()])
-        s = q * (1 - q) * scale
+        g = np.array([((q - y) * x * weight).sum() + 1e-3 * a, ((q - y) * weight).sum()])
+        s = q * (1 - q) * weight
         hess = np.array([[(s * x * x).sum() + 1e-3, (s * x).sum()], [(s * x).sum(), s.sum() + 1e-6]])
         move_by = np.linalg.solve(hess, g)
-        a, c = a - np.clip(move_by[0], -1, 1), c - np.clip(move_by[1], -1, 1)
-    return model | {"slope": float(a), "shift": float(c)}
+        a, c = max(a - np.clip(move_by[0], -1, 1), 0.0), c - np.clip(move_by[1], -1, 1)
+    return {"slope": float(a), "shift": float(c)}
+
+
+def evidence_apart(sample: DataFrame, apart: list) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence and label of every row of (id, text, label), from the chain fitted without its fold; computed by the tasks."""
+    shared = sample.sparkSession.sparkContext.broadcast(apart)
+
+    def run(batches):
+        for batch in batches:
+            texts, out = batch.column(0), np.zeros(len(batch))
+            part = fold_of(texts)
+            for k, model in enumerate(shared.value):
+                at = np.flatnonzero(part == k)
+                if model and len(at):
+                    out[at] = tagged(texts.take(pa.array(at)), model)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(out), batch.column(1)], names=["evidence", "label"])
+
+    got = sorted(tuple(r) for r in sample.select("text", "label").mapInArrow(lean(run), "evidence double, label int").collect())
+    return np.array([g[0] for g in got]), np.array([g[1] for g in got])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> dict | None:
@@ -262,20 +301,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, text
     the documents, whose text is not shuffled. Rows without a label or text are not used, nor are texts of over
     ``SAMPLE_CHARS`` characters, so the driver sees a bounded number of characters.
     """
-    label, text = F.col(f"`{label_col}`").cast("int"), F.col(f"`{text_col}`")
-    rows = labels.select(F.col(f"`{id_col}`").alias("labelled"), label.alias("label")).where(F.col("label").isin(0, 1))
+    label, text, id_ = F.col(f"`{label_col}`").cast("int"), F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    rows = labels.select(id_.alias("labelled"), label.alias("label")).where(F.col("label").isin(0, 1))
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
     draw = F.pmod(F.xxhash64("labelled", F.lit("toxic-sample")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1, sample_docs / n) * (1 << 30)))])
-    drawn = F.broadcast(rows.where(draw < F.element_at(share, F.col("label"))))
-    sample = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(drawn, F.col("id") == F.col("labelled"))
+
+    def labelled(most: int) -> DataFrame:
+        share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1, most / n) * (1 << 30)))])
+        drawn = F.broadcast(rows.where(draw < F.element_at(share, F.col("label"))))
+        return docs.select(id_.alias("id"), text.alias("text")).where("text is not null").join(drawn, F.col("id") == F.col("labelled"))
+
+    sample = labelled(sample_docs).where(F.length("text") <= SAMPLE_CHARS)
     got = sorted((r[0], r[1], r[2]) for r in sample.select(F.col("id").cast("string"), "text", "label").collect())
-    model = fit_chain([g[1] for g in got], np.array([g[2] for g in got]))
-    del got
+    texts, y = [g[1] for g in got], np.array([g[2] for g in got])
+    model, part = fit_chain(texts, y), fold_of(pa.array(texts, pa.string()))
+    if model is None:
+        return None
+    apart = [fit_chain([t for t, k in zip(texts, part) if k != fold], y[part != fold]) for fold in range(FOLDS)]
+    del got, texts
     release()
-    return model
+    x, y = evidence_apart(labelled(CURVE_DOCS), apart)
+    scale = np.where(y > 0, counts[1] / max((y > 0).sum(), 1), counts[0] / max((y < 1).sum(), 1)) / (counts[0] + counts[1])
+    return model | curve(x, y, scale)
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,7 +342,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             q, spans = np.zeros(n), [[] for _ in range(n)]
             if net:
                 evidence, (row, start, end, p) = tagged(texts, net)
-                q = 1 / (1 + np.exp(-np.clip(net["slope"] * np.minimum(evidence, MOST_EVIDENCE) + net["shift"], -30, 30)))
+                q = 1 / (1 + np.exp(-np.clip(net["slope"] * np.log1p(evidence) + net["shift"], -30, 30)))
                 raw, offsets = flat(texts)
                 for r, s, e, x in zip(*(c[p >= 0.5].tolist() for c in (row, start, end, p))):
                     heads = (raw[offsets[r] : offsets[r] + e] & 0xC0) != 0x80
@@ -311,9 +360,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, spans of all documents; a null id, whose labels are never learnt, counts as held out.
+
+    Null and empty texts get the score of no evidence; repeated rows are scored alike; an empty table gives no rows.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = score(docs, fit(docs, _labels(spark, sf_dir)))
-    return out.select("doc.doc_id", (crc_part("doc.doc_id", 5) == 0).alias("held_out"), "score", "predicted", "spans")
+    return out.select("doc.doc_id", F.coalesce(crc_part("doc.doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted", "spans")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,37 @@ def test_marginals():
     assert np.isclose(got.sum(), sum(sizes) - len(sizes)) and 0 < number < sum(sizes)
 
 
+def brute_toxicity(text, model):
+    """Score of a text from its words: forward and backward over all of them, the marginals of those with a weight summed."""
+    weight = dict(zip(model["words"].tolist(), model["weights"].tolist()))
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())
+    marks = [toxicity.tokens(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[3][:, 0].tolist() for w in words]
+    known = [any(m in weight for m in each) for each in marks]
+    emit = [np.exp([0, sum(weight.get(m, 0) for m in each)]) for each in marks]
+    step = np.exp(np.array(model["move"])) * np.exp([0, model["bias"]])[None]
+    ahead, back = [], [np.ones(2)]
+    for t, e in enumerate(emit):
+        a = (ahead[-1] @ step if t else np.exp([0, model["bias"]])) * e
+        ahead.append(a / a.sum())
+    for e in emit[:0:-1]:
+        b = step @ (back[-1] * e)
+        back.append(b / b.sum())
+    p = [x * y for x, y in zip(ahead, back[::-1])]
+    evidence = sum(x[1] / x.sum() for x, k in zip(p, known) if k)
+    return 1 / (1 + math.exp(-(model["slope"] * math.log1p(evidence) + model["shift"])))
+
+
+def test_cross_fitting_sees_no_near_copy(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(400)], 300)) for _ in range(60)]
+    near = [t + " tail" for t in texts]
+    assert (toxicity.fold_of(pa.array(texts)) == toxicity.fold_of(pa.array(near))).mean() > 0.95 and len(set(toxicity.fold_of(pa.array([*texts, "", None])).tolist())) == toxicity.FOLDS
+    # labels that no word explains: what a chain has learnt by heart must not become a verdict
+    docs = spark.createDataFrame([(i, t, int(rng.integers(0, 4) == 0)) for i, t in enumerate(" ".join(rng.choice([f"w{i}" for i in range(3000)], 60)) for _ in range(400))], "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert toxicity.score(docs, model).where("predicted = 1 and doc.toxic = 0").count() <= 8
+
+
 def test_toxic_spans(spark, odd, none):
     rng = np.random.default_rng(0)
     plain = [f"w{i}" for i in range(200)]
@@ -92,6 +123,9 @@ def test_toxic_spans(spark, odd, none):
     assert all(r.predicted == r.toxic for r in got if r.doc_id >= 300)
     hit = next(r for r in got if r.predicted)
     assert all(re.match("(?i)idiot|scumbag|vilest", hit.text[s.start : s.end]) for s in hit.spans) and hit.spans
+    assert np.allclose([r.score for r in got], [brute_toxicity(r.text, model) for r in got])
+    long = spark.createDataFrame([(0, " ".join(f"W{i % 211}é" for i in range(30_000)) + " Idiots"), (1, "idiot " * 5)], "doc_id long, text string")
+    assert all(np.isclose(r.score, brute_toxicity(r.doc.text, model)) for r in toxicity.score(long, model).collect())
     edge = toxicity.score(odd, model)
     assert edge.count() == odd.count() and {r.predicted for r in edge.select("predicted").collect()} == {0}
     assert toxicity.score(none, model).count() == 0
