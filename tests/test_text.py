@@ -18,6 +18,12 @@ def test_sentences(value):
     assert value(split_sentences, "도시 사람이 다 요 가 왔다 그래 했다. 끝") == ["도시", "사람이 다", "요", "가 왔다", "그래 했다.", "끝"]
 
 
+def test_sentences_keep_their_digits(value):
+    # the n-th sentence once lost the digits of n at its ends
+    assert value(split_sentences, "0 none. 1 is next! 22 for 2. Was it 3? 44 in 4") == ["0 none.", "1 is next!", "22 for 2.", "Was it 3?", "44 in 4"]
+    assert value(split_sentences, " 0 spaced. ") == ["0 spaced."]
+
+
 def test_paragraphs(value):
     assert value(split_paragraphs, "First  one.\n\n\r\n \n\nsecond") == ["First one.", "second"]
 
