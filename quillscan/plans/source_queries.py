@@ -34,7 +34,8 @@ def _escaped(text: str = "text"):
 
 
 # Pages as they come: the head removed, block starts marked 1 and block ends 2, other tags as spaces.
-PLAIN = "replace(replace(replace(replace({}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+# References end in a semicolon or, as these four may in HTML, without one where a page is cut.
+PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&quot;?', '\"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g')"
 PAGES = rf"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?s)<head>.*</head>', ''), '(?s)<!--.*?-->', '', 'g') AS body FROM pages),
  m AS (SELECT page_id, html, body, regexp_replace(regexp_replace(regexp_replace(body, '<(?:p|li)>', chr(1), 'g'), '</?(?:p|li|div|h1|article|nav|ul|footer|body|html)[^>]*>', chr(2), 'g'), '<[^>]*>', ' ', 'g') AS marked FROM b),
  c AS (SELECT *, list_filter(list_transform(regexp_extract_all(marked, '\x01([^\x01\x02]*)', 1), lambda x: {norm(PLAIN.format("x"))}), lambda x: x <> '') AS ps FROM m)

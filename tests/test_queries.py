@@ -32,3 +32,15 @@ def test_query(spark, name):
     assert sorted(got.columns) == sorted(columns)
     key = lambda rows: sorted((tuple(plain(x) for x in r) for r in rows), key=str)
     assert key(got.select(*columns).collect()) == key(want.fetchall())
+
+
+def test_html_extract_of_cut_references(spark, tmp_path):
+    """A title that is cut within a reference: HTML reads it without its semicolon, and so does the SQL."""
+    pages = [(1, "u", '<html lang="en"><head><title>A &amp;&amp</title></head><body><h1>B &quot</h1><p>C &copy; &middot D &am</p></body></html>')]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL["html_extract"])
+    got = QUERIES["html_extract"](spark, str(tmp_path)).select(*[d[0] for d in want.description])
+    assert [tuple(r) for r in got.collect()] == want.fetchall()
+    assert got.first().title == "A &&" and got.first().heading == 'B "'
