@@ -55,6 +55,24 @@ def test_similar_pairs_edges(spark):
     assert similar_pairs(sets, 0.9, crowd=8).count() == sum(rows[i][2] == rows[j][2] for i in range(900) for j in range(i))
 
 
+def test_near_copies_of_a_long_text_make_few_keys(spark, monkeypatch):
+    from quillscan.operators import similarity
+
+    made, plain = {}, similarity.settled
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "settled", counted)
+    rows = [("a", n, [f"w{k}" for k in range(120)] + [f"own{n}"]) for n in range(90)]
+    pairs = similar_pairs(ordered_sets(spark.createDataFrame(rows, "book string, key long, w array<string>"), "book", "key", "w"), 0.85)
+    assert pairs.count() == 90 * 89 // 2
+    # not every choice of two, three, ... of the 32 words of a prefix, of which there are a million
+    assert sum(n for name, n in made.items() if name.startswith("similarity-keys")) <= 90 * 100
+
+
 def brute(sentences, low):
     found = {}
     for (book, at, w) in sentences:
