@@ -169,3 +169,16 @@ def test_ten_thousand_phrases(spark):
     t = from_texts(spark.createDataFrame(texts, "book_id string, chapter_seq long, file string, title string, text string"))
     found = {r.excerpt for r in residue.detect(t, {"chatbot_residue": {"patterns": [], "phrases": phrases}}).collect()}
     assert found == {x[4] for x in texts if any(p in x[4].lower() for p in phrases)} and len(found) > 150
+
+
+@pytest.mark.parametrize("most", [1, 4, 7, 100])
+def test_first_forms_of_a_book_are_pruned_by_chapter(spark, most):
+    lines = [[f"line {c} {n % 4} of this little chapter" for n in range(5)] + ["a line that all the chapters share"] for c in range(5)]
+    rows = repetition.eligible(from_sentences(spark, [(f"{c}", f"{c}", x) for c, x in enumerate(lines)]), 5)[0]
+    seen = list(dict.fromkeys(line for x in lines for line in x))
+    forms, counts = repetition.unique_forms(rows, most)
+    assert [r.text for r in sorted(forms.collect(), key=lambda r: r.r)] == seen[:most] and counts.first().n == len(seen)
+    # chapters that lie wholly beyond the bound are not sorted
+    chapters = repetition._before(rows.dropDuplicates(["norm"]), F.lit(1))
+    left = {r.ord.chapter_seq for r in repetition._within(rows, chapters, 4).collect()}
+    assert left == {0}
