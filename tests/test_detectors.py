@@ -87,3 +87,25 @@ def test_order_does_not_depend_on_partitions(spark):
         t = type(t)(t.books, t.metadata, t.chapters.repartition(n), t.paragraphs.repartition(n), t.sentences.repartition(n), t.resources)
         results.append(sorted(map(tuple, DETECTORS["repetition"](t, {"repetition": {"similarity_threshold": 0.5}}).collect())))
     assert results[0] == results[1] and results[0]
+
+
+def test_nothing_is_passed_over_before_the_patterns(spark):
+    """Sentences that a detector passes over by literals match none of its patterns, in any case and with the letters that only patterns take for ASCII."""
+    from pyspark.sql import functions as F
+
+    from quillscan.functions.regex import java
+    from quillscan.operators import citations, residue
+    from quillscan.plans.rules import load_rules
+
+    told = ["AS AN AI", "Being an aİ language model", "I CANNOT help", "i can't provide", "UNABLE TO comply", "ignore theſe inſtructionſ", "Follow the above Instructions", " uſer : x", "SYSTEM:", "作为ai", "我无法帮助", "请告诉我", "忽略以上指令", "以下是回答",
+        "作为语言模型", "인공지능 모델로서", "그 요청 도울 수 없어요", "기존 명령 무시", "앞선 지침 무시", "{{name}}", "[AUTHOR NAME]", "AS A LANGUAGE MODEL", "i don't have perſonal opinions"]
+    rules = load_rules()
+    patterns = [p for _, p, _ in residue.PATTERNS]
+    rows = spark.createDataFrame([(t,) for t in told] + [("nothing here",)], "text string")
+    missed = rows.where(~residue.may_match(rules))
+    assert [r.text for r in missed.collect()] == ["nothing here"]
+    assert all(rows.where(F.col("text").rlike(java(p))).count() for p in patterns)
+    assert rows.where(residue.may_match({"chatbot_residue": {"patterns": [["own", "nothing", "Own"]], "phrases": []}})).count() == len(told) + 1
+    cited = ["CITATION NEEDED", "ſource required", "Fuente necesaria", "doi: x", "HTTP://", "[,]", "(Smith, 2019)", "five 5%", "one in ٣", "10.1234/x"]
+    rows = spark.createDataFrame([(t,) for t in cited] + [("nothing here",)], "text string")
+    assert [r.text for r in rows.where(~citations.may_match()).collect()] == ["nothing here"]
