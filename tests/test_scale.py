@@ -2,17 +2,19 @@
 
 import sys
 import unicodedata
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillscan.functions.text import casefold, normalize_text, unsure
+from quillscan.functions.text import casefold, normalize_text, split_paragraphs, unsure
+from quillscan.operators import consistency, structure
 from quillscan.operators.links import UNDONE, link_findings, outcomes
 from quillscan.plans import post
 from quillscan.plans.analyze import Analysis
 from quillscan.plans.report import FIELDS, in_order, write_corpus
 from quillscan.sources.files import Limits, from_files
-from quillscan.tables import from_sentences, from_texts
+from quillscan.tables import DEALT, from_sentences, from_texts, spread
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +99,41 @@ def test_parts_of_the_corpus_report_are_in_order(spark, tmp_path):
 
     ids = [row["id"] for p in parts for row in csv.DictReader(p.open(newline="", encoding="utf-8"))]
     assert ids == want and csv.DictReader(parts[0].open(newline="")).fieldnames == ["book_id", *FIELDS]
+
+
+BOOK = "book_id string, chapter_seq long, file string, title string, text string"
+
+
+@pytest.mark.parametrize("operator, codes", [(consistency, ["multiple_ages", "multiple_dates"]), (consistency, ["multiple_percentages", "multiple_numbers"]), (structure, ["editorial_remnant"])])
+def test_only_rows_that_are_found_are_cut_into_sentences(spark, operator, codes):
+    """The paragraphs themselves give their first sentence: no join, and the text is read once."""
+    texts = [
+        "He was 12 years old. She was 25 Years Old, at 5% or 6 PERCENT.\n\nTODO later. On 1/2/2020 and May 3, 2021.", "3 AÑOS, 4 años. 1-2-03 y 4/5/2006", "Mayo 3,  2020 with junio 12 2021; draft note", "todos 1 year old", "待补充。 二",
+        "lorem ipsum", "Insert  text", "ﬁrst ⅷ 2 yearſ old and 3 years old. TBD", "x", "", None, "12 a 13\n\n\n. ! xxx", "may 1 may 2 2020",
+    ]
+    t = from_texts(spark.createDataFrame([(str(n % 2), n, f"{n}.txt", "t", x) for n, x in enumerate(texts)], BOOK))
+    found = operator.detect(t, only=codes)
+    joined = operator.detect(replace(t, cut=False), only=codes)
+    assert sorted(map(str, found.collect())) == sorted(map(str, joined.collect())) and found.count() > 1
+    # all codes together find the same as those asked for
+    assert sorted(map(str, found.collect())) == sorted(str(r) for r in operator.detect(t).collect() if r.code in codes)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_white_space_is_collapsed_as_before(spark):
+    texts = [" a  b\t\tc \n d", "a b", "\u00a0x\u2003 \u200b y\x1c\x00z ", "  ", "a\n b\n", "\x85a \x07", "q\ufeffr  s", ""]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    got = [r.x for r in rows.orderBy("n").select(normalize_text(F.col("t")).alias("x")).collect()]
+    assert got == [" ".join("".join(" " if unicodedata.category(c)[0] == "C" else c for c in unicodedata.normalize("NFKC", t)).split()) for t in texts]
+    # a NUL is no paragraph's end, whether or not the text goes through Python
+    parts = [r.x for r in spark.createDataFrame([(0, "a\x00b\n\nc"), (1, "é\n\nd")], "n int, t string").orderBy("n").select(split_paragraphs(F.col("t")).alias("x")).collect()]
+    assert parts == [["a b", "c"], ["é", "d"]]
+
+
+def test_parts_that_are_dealt_out_are_bounded(spark, monkeypatch):
+    rows = spark.range(100_000).selectExpr("id", "repeat('x', 1000) AS text")
+    monkeypatch.setattr("quillscan.tables.DEALT", 1 << 14)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert spread(rows, "id").rdd.getNumPartitions() == -(-size // (1 << 14)) > spark.sparkContext.defaultParallelism and DEALT < 128 << 20
+
