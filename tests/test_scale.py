@@ -1,5 +1,6 @@
 """Normalisation in the JVM, guards in the job that runs anyway, links by host and ordered output."""
 
+import re
 import sys
 import unicodedata
 from dataclasses import replace
@@ -137,3 +138,17 @@ def test_parts_that_are_dealt_out_are_bounded(spark, monkeypatch):
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert spread(rows, "id").rdd.getNumPartitions() == -(-size // (1 << 14)) > spark.sparkContext.defaultParallelism and DEALT < 128 << 20
 
+
+def test_language_moves_no_text(spark):
+    """The first 10,000 characters, in code points, sentences joined by one space; and only lengths are put in order."""
+    texts = {"at": "😀" * 9_999 + "한", "beyond": "😀" * 10_000 + "한", "later": "b" * 5_000 + ". " + "c" * 4_996 + ". 한 글", "last": "b" * 5_000 + ". " + "c" * 4_997 + ". 한", "out": "b" * 5_000 + ". " + "c" * 4_998 + ". 한", "none": "x. y"}
+    t = from_texts(spark.createDataFrame([(b, 0, "f", "t", x) for b, x in texts.items()], BOOK))
+    told = post.resolve_language(t)
+    assert {r.book_id: r.language for r in told.collect()} == {b: "ko" if re.search("[가-힣]", _joined(x)[:10_000]) else "en" for b, x in texts.items()}
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Window [" in line]
+    assert sorts and not any(re.search(r"\btext#", line) for line in sorts)
+
+
+def _joined(text: str) -> str:
+    return " ".join(re.split(r"(?<=[.!?])\s+", text))
