@@ -6,6 +6,7 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,29 @@ def test_phrase_lists(spark):
     assert rows.select(phrases_in(spark, F.col("text"), [""]).alias("p")).where(F.size("p") > 0).count() == 0
 
 
+def test_large_batches_are_looked_through_in_parts():
+    """A batch of many texts takes no more memory than a part of it, and finds the same."""
+    import tracemalloc
+
+    from quillscan.functions.phrases import AT_ONCE, _finder, automata, code_points, stretches
+
+    machine = automata(["needle", "hay"])[0]
+    texts = pa.array(["x" * 9_000 + ("NEEDLE" if n % 7 == 0 else "") + ("hay" if n % 3 == 0 else "") for n in range(3_000)] + [None, "", "hay" * 3])
+    parts = stretches(texts)
+    assert len(parts) > 5 and [a for a, _ in parts] == [0, *[b for _, b in parts[:-1]]] and parts[-1][1] == len(texts)
+    assert stretches(pa.array(["y" * (AT_ONCE + 1), "z"])) == [(0, 1), (1, 2)] and stretches(pa.array([], pa.string())) == []
+    shared = type("Shared", (), {"value": machine})
+    tracemalloc.start()
+    got = _finder(shared)(texts).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [[] for _ in range(len(texts))]
+    for row, phrase in zip(*machine.hits(*code_points(texts))):
+        want[row].append(phrase)
+    assert got == want and most < 40 * AT_ONCE
+    assert _finder(shared)(texts.slice(2_995)).to_pylist() == want[2_995:]
+
+
 def test_ten_thousand_phrases(spark):
     from quillscan.operators import residue
 
