@@ -209,3 +209,32 @@ def test_nothing_is_run_or_kept(spark, tmp_path):
     analyze_stream(spark, f"file://{tmp_path}/in", str(tmp_path / "out"), str(tmp_path / "ck"), sink=read, files_a_batch=1).awaitTermination()
     assert seen == [(n, 1, 1) for n in range(10)]
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_containers_are_opened_once(spark, tmp_path, monkeypatch):
+    """However many tables are read, a container is opened by one job; a member that turns out to be broken leaves the book out."""
+    import zipfile
+
+    from quillscan.plans.source_queries import _container
+
+    good, torn = _container(6, "One &amp; two"), bytearray(_container(7, "Three"))
+    with zipfile.ZipFile(io.BytesIO(bytes(torn))) as archive:
+        place = bytes(torn).index(b"pic 7")
+        assert archive.testzip() is None
+    torn[place] ^= 1
+    opened = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    schema = "book_id string, source_path string, content binary"
+    files = spark.createDataFrame([("good", "g.epub", good), ("torn", "t.epub", bytes(torn)), ("no", "n.epub", b"no"), ("none", "0.epub", None)], schema).mapInArrow(counted, schema)
+    t = from_epubs(files, fail=False)
+    assert [r.book_id for r in t.books.collect()] == ["good"] and t.books.first().sha256 == hashlib.sha256(good).hexdigest()
+    assert [(r.chapter_seq, r.text) for r in t.paragraphs.orderBy("chapter_seq", "par").collect()] == [(0, "Second 6"), (1, "One & two")]
+    assert {r.path for r in t.resources.collect()} >= {"OPS/pic.png", "OPS/no.png"} and {r.book_id for r in t.resources.collect()} == {"good"}
+    assert t.metadata.count() == 2 and opened.value == 4
+    with pytest.raises(ValueError, match="(t|n|0).epub"):
+        from_epubs(files)
