@@ -206,3 +206,20 @@ def test_first_forms_of_a_book_are_pruned_by_chapter(spark, most):
     chapters = repetition._before(rows.dropDuplicates(["norm"]), F.lit(1))
     left = {r.ord.chapter_seq for r in repetition._within(rows, chapters, 4).collect()}
     assert left == {0}
+
+
+def test_only_runs_that_occur_again_get_rows(spark):
+    """The first count is packed: rows are made of what is repeated, however it is dealt, and hashes of tokens are not kept."""
+    rng = random.Random(5)
+    sentences = [("b", n, [rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))]) for n in range(200)] + [("b", 200, [f"w{n}" for n in range(5_000)]), ("c", 201, list("abcdefgh"))]
+    rows = spark.createDataFrame(sentences, "book_id string, ord long, w array<string>").repartition(5)
+    numbered = repeats.numbered_sentences(rows, 3)
+    places = {r.sid: (r.book, r.ord) for r in numbered.collect()}
+    seen = {}
+    for book, at, w in sentences:
+        for i in range(len(w) - 2):
+            seen.setdefault((book, *w[i : i + 3]), set()).add((book, at, i))
+    want = {x for xs in seen.values() if len(xs) > 1 for x in xs}
+    for most in (repeats.BUCKET, 700):
+        assert {(*places[r.sid], r.pos) for r in repeats._again(numbered, 3, most).collect()} == want
+    assert 100 < len(want) < 2_000
