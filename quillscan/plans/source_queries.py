@@ -136,7 +136,7 @@ def _packed(number: pd.Series, page: pd.Series) -> pd.Series:
 
 def _containers(spark, sf) -> DataFrame:
     rows = _docs(spark, sf)
-    return rows.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".epub")).alias("source_path"), _packed(F.col("doc_id"), _escaped()).alias("content"))
+    return rows.select(F.col("doc_id").cast("string").alias("book_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".epub")).alias("source_path"), _packed(F.col("doc_id"), F.coalesce(_escaped(), F.lit(""))).alias("content"))
 
 
 @query("epub_errors", f"SELECT doc_id::VARCHAR AS book_id, {ERROR_SQL} AS error FROM documents", base=False)

@@ -1,5 +1,6 @@
 """Registered queries against their SQL on the smallest test tables."""
 
+import hashlib
 import math
 import os
 from pathlib import Path
@@ -44,3 +45,13 @@ def test_html_extract_of_cut_references(spark, tmp_path):
     got = QUERIES["html_extract"](spark, str(tmp_path)).select(*[d[0] for d in want.description])
     assert [tuple(r) for r in got.collect()] == want.fetchall()
     assert got.first().title == "A &&" and got.first().heading == 'B "'
+
+
+def test_epub_chapters_of_empty_texts(spark, tmp_path):
+    """A page without a filled block gives its whole body, here its heading, as the reference does; a null text is an empty one."""
+    rows = [(6, "", "s"), (7, " \n", "s"), (14, None, "s"), (15, "None", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["epub_chapters"](spark, str(tmp_path)).where("chapter_seq = 1")
+    told = {int(r.book_id): (r.title, r.text, r.filled) for r in got.collect()}
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    assert told == {n: (f"First {n}", digest(f"First {n}" if n < 15 else "None"), True) for n in (6, 7, 14, 15)}
