@@ -101,6 +101,34 @@ def test_maximal_repeats(spark, low):
         repeats.maximal_repeats(rows, 0)
 
 
+@pytest.mark.parametrize(("low", "span", "reach"), [(1, 2, 2), (1, 3, 5), (3, 4, 7), (2, 16, 20)])
+def test_maximal_repeats_by_each_step(spark, low, span, reach):
+    """The same phrases, whichever step finds them: together with their first tokens, in stretches, or by bisection."""
+    rng = random.Random(span)
+    text = [rng.choice("abcdefgh") for _ in range(60)]
+    sentences = [("p", n, [w if rng.random() < 0.95 else "z" for w in text]) for n in range(4)] + [("p", 10, list("xy" * 22)), ("p", 11, list("xy" * 15 + "q")), ("p", 12, ["same"] * 33), ("q", 13, ["same"] * 41), ("p", 14, ["same"] * 20 + ["end"])]
+    sentences += [("q", 20 + n, [rng.choice("ab") for _ in range(rng.randint(1, 40))]) for n in range(8)]
+    rows = spark.createDataFrame(sentences, "book_id string, ord long, w array<string>")
+    found = repeats.maximal_repeats(rows, low, span, reach).collect()
+    got = {(r.book_id, r.width, r.n, (r.first.ord, r.first.pos), (r.last.ord, r.last.pos), r.phrase) for r in found}
+    assert got == brute(sentences, low) and len(got) == len(found)
+
+
+def test_repeats_of_usual_length_need_no_levels(spark, monkeypatch):
+    made, plain = {}, repeats.settled
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "settled", counted)
+    rows = [("a", n, [f"w{n % 3}", "the", "same", "few", "words", f"in{n}"]) for n in range(40)] + [("a", 40 + n, ["again"] * 300) for n in range(2)]
+    assert repeats.maximal_repeats(spark.createDataFrame(rows, "book_id string, ord long, w array<string>")).where("phrase = 'the same few words'").first().n == 40
+    # neither a level for each binary digit of the longest line, nor rows beyond the places that may begin a phrase
+    assert not [name for name in made if "level" in name] and max(made.values()) < 1000
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_maximal_repeats_of_documents(spark):
     import duckdb
