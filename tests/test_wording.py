@@ -74,6 +74,40 @@ def test_near_copies_of_a_long_text_make_few_keys(spark, monkeypatch):
     assert sum(n for name, n in made.items() if name.startswith("similarity-keys")) <= 90 * 100
 
 
+def test_only_pairs_of_like_sketches_carry_words(spark, monkeypatch):
+    from quillscan.operators import similarity
+
+    made, plain = {}, similarity.settled
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "settled", counted)
+    rng = random.Random(5)
+    rows = [("a", n, rng.sample([f"w{k}" for k in range(300)], 40)) for n in range(200)]
+    rows += [("a", 1000 + n, [*w[1:], "new"]) for _, n, w in rows[:30]]
+    pairs = similar_pairs(ordered_sets(spark.createDataFrame(rows, "book string, key long, w array<string>"), "book", "key", "w"), 0.85)
+    assert {(r.i, r.j) for r in pairs.collect()} >= {(n, 1000 + n) for n in range(30)}
+    # of thousands that share a rare word
+    assert made["similarity-pairs"] <= 60
+
+
+@pytest.mark.parametrize(("together", "family"), [(20_000, 1_000_000), (7, 5), (1, 1)])
+def test_pairs_are_compared_wherever_they_are_dealt(spark, together, family):
+    from quillscan.operators import similarity
+
+    rng = random.Random(together)
+    rows = [(b, n, [f"w{k}" for k in range(12) if rng.random() < 0.8] or ["one"]) for b in "ab" for n in range(30)]
+    sets = ordered_sets(spark.createDataFrame(rows, "book string, key long, w array<string>"), "book", "key", "w").localCheckpoint()
+    sids = {(r.book, r.key): r.sid for r in sets.select("book", "key", "sid").collect()}
+    # every pair, also of different books, which are never similar
+    pairs = spark.createDataFrame([(min(x, y), max(x, y)) for x, y in itertools.combinations(sids.values(), 2)], "x long, y long")
+    got = sorted((r.book, r.i, r.j, r.dice) for r in similarity._compared(pairs, sets, 0.8, together, family).collect())
+    assert got == sorted((a, i, j, dice(set(x), set(y))) for (a, i, x), (b, j, y) in itertools.combinations(rows, 2) if a == b and dice(set(x), set(y)) >= 0.8) and got
+
+
 def brute(sentences, low):
     found = {}
     for (book, at, w) in sentences:
