@@ -285,3 +285,12 @@ def test_only_runs_that_occur_again_get_rows(spark):
     for most in (repeats.BUCKET, 700):
         assert {(*places[r.sid], r.pos) for r in repeats._again(numbered, 3, most).collect()} == want
     assert 100 < len(want) < 2_000
+
+
+def test_repetition_cuts_its_text_once(spark):
+    t = from_sentences(spark, [("a", "A", ["one line of five words here", "one line of five words here", "another line of other words there"])])
+    found = repetition.detect(t, load_rules())
+    # every part reads the words that were kept, and none cuts them out of the text again
+    assert "regexp_extract_all" in repetition.eligible(t, 5)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.where("code = 'exact_sentence'").count() == 1
